@@ -245,7 +245,7 @@ def as_of(d: Data) -> DataFrame:
 
 
 @query("SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, "
-       "round(regr_r2(y, x), 6) AS r2, regr_count(y, x) AS points FROM "
+       "round(regr_r2(y, x), 6) AS r2, CAST(regr_count(y, x) AS BIGINT) AS points FROM "
        "(SELECT c_acctbal AS x, length(c_mktsegment) AS y FROM customer)")
 def regression(d: Data) -> DataFrame:
     points = d.table("customer").select(F.col("c_acctbal").alias("x"),

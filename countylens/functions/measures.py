@@ -17,4 +17,4 @@ def pearson(x: Column, y: Column) -> Column:
 def correlation_title(signal: str, measure: str, r: Column) -> Column:
     title = F.concat(F.lit("Correlation between "), F.lit(signal), F.lit(" and "),
                      F.lit(measure), F.lit(": "))
-    return F.concat(title, F.coalesce(F.format_string("%.4f", r), F.lit("nan")))
+    return F.concat(title, F.when(r.isNull(), "nan").otherwise(F.format_string("%.4f", r)))

@@ -63,9 +63,10 @@ def vectorize(bag: DataFrame, doc: str = "doc_id",
 def fit(vectors: DataFrame, topics: int = TOPICS, passes: int = PASSES, batch: float = 1.0,
         seed: int = 0) -> LDAModel:
     """Topics of the texts. ``batch`` is the share of texts per step; all are seen ``passes``
-    times on average."""
+    times on average. Priors are symmetric and kept; early steps weigh most."""
     steps = max(1, round(passes / batch))
     return LDA(k=topics, maxIter=steps, optimizer="online", subsamplingRate=batch, seed=seed,
+               learningOffset=1.0, learningDecay=0.5, optimizeDocConcentration=False,
                featuresCol="features").fit(vectors)
 
 

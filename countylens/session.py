@@ -19,9 +19,10 @@ CLUSTER_CONF = {
 }
 
 
-def local_session(cores: str = "8", app: str = "countylens", memory: str = "8g") -> SparkSession:
+def local_session(cores: str = "8", app: str = "countylens", memory: str = "8g",
+                  conf: dict[str, str] | None = None) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
-    spark = (SparkSession.builder.master(f"local[{cores}]").appName(app)
+    spark = (SparkSession.builder.config(map=conf or {}).master(f"local[{cores}]").appName(app)
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", memory)
