@@ -27,6 +27,12 @@ SPLIT_RULES = (
     (None, r"\b(?:(can)(not)|(gon|wan)(na)|(got)(ta)|(gim|lem)(me))\b", r"\1\3\5\7 \2\4\6\8"),
 )
 
+# A word of letters and digits with at most one mark behind it, and the starts of words that the
+# last rule may cut in two.
+PLAIN = r"^[\p{L}\p{N}]+[.,:;?!]?\z"
+LAST_MARKS = (".", ",", ":", ";", "?", "!")
+TWO_WORD_STARTS = ("canno", "gonna", "wanna", "gotta", "gimme", "lemme")
+
 # Runs of letters, underscores and letter-like numbers; digits and marks end a run.
 LETTER_RUN = r"([\p{L}\p{Nl}\p{No}_]+)"
 
@@ -46,14 +52,36 @@ def one_line(text: Column) -> Column:
     return F.translate(text, "\n\r", "")
 
 
+def chunks(text: Column) -> Column:
+    """The lower-cased text without links, cut at blanks, as an array."""
+    return F.split(F.lower(strip_urls(text)), " ")
+
+
+def pieces(chunk: Column) -> Column:
+    """The words and marks of one chunk, as an array that may hold empty strings.
+
+    Rules look no further than the next white space, so a chunk can be cut by itself. Nearly all
+    chunks are a plain word, with a mark behind it or not, and need no rule.
+    """
+    plain = chunk.rlike(PLAIN) & ~F.substring(chunk, 1, 5).isin(*TWO_WORD_STARTS)
+    return (F.when(plain & F.right(chunk, F.lit(1)).isin(*LAST_MARKS),
+                   F.array(F.left(chunk, F.length(chunk) - 1), F.right(chunk, F.lit(1))))
+            .when(plain, F.array(chunk))
+            .otherwise(_cut(chunk)))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words and punctuation of a text, contractions split off, as an array."""
-    spaced = F.lower(strip_urls(text))
+    return F.filter(F.flatten(F.transform(chunks(text), pieces)), lambda t: t != "")
+
+
+def _cut(chunk: Column) -> Column:
+    spaced = chunk
     for needed, pattern, replacement in SPLIT_RULES:
         cut = F.regexp_replace(spaced, pattern, replacement.replace("\\", "$"))
         spaced = (cut if needed is None else
-                  F.when(F.contains(text, F.lit(needed)), cut).otherwise(spaced))
-    return F.filter(F.split(spaced, r"\s+"), lambda t: t != "")
+                  F.when(F.contains(chunk, F.lit(needed)), cut).otherwise(spaced))
+    return F.split(spaced, r"\s+")
 
 
 def is_counted_word(word: Column, stopwords: Iterable[str] = ()) -> Column:
@@ -66,14 +94,21 @@ def is_counted_word(word: Column, stopwords: Iterable[str] = ()) -> Column:
     return keep & ~word.isin(*stopwords) if stopwords else keep
 
 
+def letter_runs(text: Column) -> Column:
+    """Lower-cased runs of letters of a text, as an array."""
+    return F.regexp_extract_all(F.lower(text), F.lit(LETTER_RUN), F.lit(1))
+
+
+def is_letter_token(run: Column, shortest: int = 2, longest: int = 15) -> Column:
+    return F.length(run).between(shortest, longest) & ~F.startswith(run, F.lit("_"))
+
+
 def letter_tokens(text: Column, shortest: int = 2, longest: int = 15) -> Column:
-    """Lower-cased runs of letters of bounded length, for topic models."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(LETTER_RUN), F.lit(1))
-    return F.filter(runs, lambda t: F.length(t).between(shortest, longest)
-                    & ~F.startswith(t, F.lit("_")))
+    """Letter runs of bounded length, for topic models, as an array."""
+    return F.filter(letter_runs(text), lambda t: is_letter_token(t, shortest, longest))
 
 
 def is_topic_word(word: Column, stopwords: Iterable[str] = ()) -> Column:
     stopwords = list(stopwords)
-    keep = F.length(word) >= MIN_LETTERS
+    keep = is_letter_token(word) & (F.length(word) >= MIN_LETTERS)
     return keep & ~word.isin(*stopwords) if stopwords else keep

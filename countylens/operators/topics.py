@@ -20,7 +20,7 @@ TERMS_SHOWN = 10
 def bag_of_words(docs: DataFrame, doc: str = "doc_id", text: str = "text",
                  stopwords: Iterable[str] = catalog.STOPWORDS) -> DataFrame:
     """How often each topic word occurs in each text."""
-    found = docs.select(doc, F.explode(texts.letter_tokens(F.col(text))).alias("word"))
+    found = docs.select(doc, F.explode(texts.letter_runs(F.col(text))).alias("word"))
     return (found.filter(texts.is_topic_word(F.col("word"), stopwords))
             .groupBy(doc, "word").agg(F.count("*").alias("count")))
 

@@ -13,7 +13,9 @@ from countylens.functions import texts
 def words(df: DataFrame, text: str = "text", keep: Sequence[str] = (),
           stopwords: Iterable[str] = catalog.STOPWORDS) -> DataFrame:
     """One row per counted word, next to the kept columns."""
-    return (df.select(*keep, F.explode(texts.tokens(F.col(text))).alias("word"))
+    chunks = (df.select(*keep, F.explode(texts.chunks(F.col(text))).alias("_chunk"))
+              .filter(F.length("_chunk") >= texts.MIN_LETTERS))
+    return (chunks.select(*keep, F.explode(texts.pieces(F.col("_chunk"))).alias("word"))
             .filter(texts.is_counted_word(F.col("word"), stopwords)))
 
 

@@ -74,3 +74,22 @@ def test_letter_tokens(one, text, want):
 
 def test_one_line(one):
     assert one(texts.one_line(F.lit("a\nb\r\nc"))) == "abc"
+
+
+def test_rules_may_be_applied_chunk_by_chunk(spark):
+    """The chunk-wise words are those of the rules applied to whole texts in another engine."""
+    import duckdb
+
+    from checks.tables import tokens_sql
+    parts = ["it's", "don't.", "cannot,", "gonna", "(well)", "a.b.", "wait...", "x--y", "10:30", "é",
+             "1,000", "“so”", "'tis", "dogs'", "a,:b", ". .", "\t", "\n", "rock'n'roll", "why?!", "",
+             "gotta's", "u.s.", "http", "...", "'", ".'", "word", "Word:", "lemmex", "x_y", "a'"]
+    texts_ = [" ".join((a, b, c)) for i, a in enumerate(parts) for b in parts
+              for c in parts[i % 7::7]]
+    df = spark.createDataFrame([(t,) for t in texts_], "text string")
+    got = {r.text: r.t for r in df.select("text", texts.tokens(F.col("text")).alias("t")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE given(text VARCHAR)")
+    con.executemany("INSERT INTO given VALUES (?)", [(t,) for t in texts_])
+    for text, want in con.execute(f"SELECT text, {tokens_sql('text')} FROM given").fetchall():
+        assert got[text] == want, text
