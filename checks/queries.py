@@ -435,7 +435,7 @@ def drop_stopwords(d: Data) -> DataFrame:
     listed = d.table("nation").select(F.lower("n_name").alias("word")).unionByName(
         d.table("benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("word")))
     found = words.words(d.tweet_text, stopwords=())
-    return words.word_counts(words.drop_stopwords(found, listed.distinct()))
+    return words.drop_stopwords(words.word_counts(found), listed.distinct())
 
 
 @query("SELECT word, count(*) AS count FROM counted_words GROUP BY word")

@@ -235,7 +235,7 @@ def pearson_sql(x: str = "value", y: str = "measure_value") -> str:
 
 def tokens_sql(text: str) -> str:
     spaced = f"lower(regexp_replace({text}, {text_sql(texts.URL)}, ' ', 'g'))"
-    for _, pattern, replacement in texts.SPLIT_RULES:
+    for pattern, replacement in texts.SPLIT_RULES:
         spaced = f"regexp_replace({spaced}, {text_sql(pattern)}, {text_sql(replacement)}, 'g')"
     return f"list_filter(string_split_regex({spaced}, '\\s+'), lambda t: t <> '')"
 

@@ -14,18 +14,21 @@ SHORT_LINK = "//t.co"
 CUT_OFF = "..."
 MIN_LETTERS = 4
 
-# Word-splitting rules in the order they apply to lower-cased text: (needed, pattern, replacement).
-# A rule is skipped for texts that lack what it needs. No look-around, so that any SQL engine with
-# RE2-style patterns can run the same rules.
+# Word-splitting rules in the order they apply to lower-cased text: (pattern, replacement). No
+# look-around, so that any SQL engine with RE2-style patterns can run the same rules.
 SPLIT_RULES = (
-    # runs of dots, dashes and single marks stand alone
-    (None, r"(\.{2,}|--|[;@#$%&?!*()\[\]{}<>\"“”‘’«»„`])", r" \1 "),
+    # runs of dots, dashes, single marks and white space other than blanks stand alone
+    (r"(\.{2,}|--|[\t\n\x0b\f\r;@#$%&?!*()\[\]{}<>\"“”‘’«»„`])", r" \1 "),
     # a last dot leaves its word; colon and comma do unless a digit follows
-    (None, r"([^. ])(\.)('*)(\s|$)|([:,])([^0-9]|$)", r"\1 \2\5 \3\4\6"),
+    (r"([^. ])(\.)('*)(\s|$)|([:,])([^0-9]|$)", r"\1 \2\5 \3\4\6"),
     # contractions are cut in two
-    ("'", r"([^' ])('s|'m|'d|'ll|'re|'ve|n't|')(\s|$)", r"\1 \2\3"),
-    (None, r"\b(?:(can)(not)|(gon|wan)(na)|(got)(ta)|(gim|lem)(me))\b", r"\1\3\5\7 \2\4\6\8"),
+    (r"([^' ])('s|'m|'d|'ll|'re|'ve|n't|')(\s|$)", r"\1 \2\3"),
+    (r"\b(?:(can)(not)|(gon|wan)(na)|(got)(ta)|(gim|lem)(me))\b", r"\1\3\5\7 \2\4\6\8"),
 )
+ALWAYS, CONTRACTIONS = SPLIT_RULES[:2], SPLIT_RULES[2:]
+# Only texts with one of these have contractions.
+IN_CONTRACTIONS = ("'", "cannot", "gonna", "wanna", "gotta", "gimme", "lemme")
+NO_WORDS = ("", "\t", "\n", "\x0b", "\f", "\r")
 
 # A word of letters and digits with at most one mark behind it, and the starts of words that the
 # last rule may cut in two.
@@ -58,7 +61,7 @@ def chunks(text: Column) -> Column:
 
 
 def pieces(chunk: Column) -> Column:
-    """The words and marks of one chunk, as an array that may hold empty strings.
+    """The words and marks of one chunk, as an array that may hold ``NO_WORDS``.
 
     Rules look no further than the next white space, so a chunk can be cut by itself. Nearly all
     chunks are a plain word, with a mark behind it or not, and need no rule.
@@ -67,21 +70,26 @@ def pieces(chunk: Column) -> Column:
     return (F.when(plain & F.right(chunk, F.lit(1)).isin(*LAST_MARKS),
                    F.array(F.left(chunk, F.length(chunk) - 1), F.right(chunk, F.lit(1))))
             .when(plain, F.array(chunk))
-            .otherwise(_cut(chunk)))
+            .otherwise(F.split(_spaced(chunk), " ")))
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words and punctuation of a text, contractions split off, as an array."""
-    return F.filter(F.flatten(F.transform(chunks(text), pieces)), lambda t: t != "")
+    return F.filter(F.flatten(F.transform(chunks(text), pieces)), lambda t: ~t.isin(*NO_WORDS))
 
 
-def _cut(chunk: Column) -> Column:
-    spaced = chunk
-    for needed, pattern, replacement in SPLIT_RULES:
-        cut = F.regexp_replace(spaced, pattern, replacement.replace("\\", "$"))
-        spaced = (cut if needed is None else
-                  F.when(F.contains(chunk, F.lit(needed)), cut).otherwise(spaced))
-    return F.split(spaced, r"\s+")
+def _spaced(chunk: Column) -> Column:
+    marked = _apply(chunk, ALWAYS)
+    contracted = F.lit(False)
+    for sign in IN_CONTRACTIONS:
+        contracted |= F.contains(chunk, F.lit(sign))
+    return F.when(contracted, _apply(marked, CONTRACTIONS)).otherwise(marked)
+
+
+def _apply(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
+    for pattern, replacement in rules:
+        text = F.regexp_replace(text, pattern, replacement.replace("\\", "$"))
+    return text
 
 
 def is_counted_word(word: Column, stopwords: Iterable[str] = ()) -> Column:

@@ -20,7 +20,10 @@ def words(df: DataFrame, text: str = "text", keep: Sequence[str] = (),
 
 
 def drop_stopwords(words_df: DataFrame, stopwords: DataFrame) -> DataFrame:
-    """Words not in a stopword table."""
+    """Words not in a stopword table of any size.
+
+    Best given counted words: then each word is one row, and no hot word is shuffled.
+    """
     return words_df.join(stopwords.select("word"), "word", "left_anti").select(*words_df.columns)
 
 
