@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from countylens import catalog
 from countylens.functions import texts
@@ -48,21 +48,34 @@ def word_ranks(counts: DataFrame, by: Sequence[str] = (), head: int = 3) -> Data
     """The rank of every word by count, equal counts in word order, within each group or overall.
 
     A group's vocabulary is never brought together. Words are numbered inside small runs that are
-    neighbours in the final order (same count, same first letters); a running sum over the sizes of
-    the runs says how many words come before each.
+    neighbours in the final order (same count, same first letters). Running sums over the sizes of
+    the runs of a count, and over the sizes of the counts, say how many words come before each run.
+    Runs and counts are named by structs, which are never null, so a missing group counts as one,
+    and all uses of the counts share one shuffle.
     """
-    run = [*by, "count", "_head"]
-    headed = counts.withColumn("_head", F.substring("word", 1, head))
-    sizes = headed.groupBy(*run).agg(F.count("*").alias("_size"))
-    earlier = (Window.partitionBy(*by).orderBy(F.desc("count"), "_head")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = sizes.withColumn("_before", F.sum("_size").over(earlier) - F.col("_size"))
-    inside = F.row_number().over(Window.partitionBy(*run).orderBy("word"))
-    return (headed.join(before.drop("_size"), run)
-            .withColumn("rank", F.col("_before") + inside)
+    head = F.substring("word", 1, head)
+    headed = counts.withColumn("_run", F.struct(*by, F.col("count"), head.alias("_head")))
+    of_run = [F.col("_run").getField(c) for c in (*by, "count")]
+    sizes = (headed.groupBy("_run").agg(F.count("*").alias("_size"))
+             .withColumn("_level", F.struct(*[c.alias(n) for c, n in zip(of_run, (*by, "count"))])))
+    in_level = _earlier("_size", Window.partitionBy("_level").orderBy("_run._head"))
+    levels = sizes.groupBy("_level").agg(F.sum("_size").alias("_words"))
+    of_level = [F.col("_level").getField(c) for c in by]
+    above = _earlier("_words", Window.partitionBy(*of_level).orderBy(F.desc("_level.count")))
+    before = (sizes.select("_run", "_level", in_level.alias("_in_level"))
+              .join(levels.select("_level", above.alias("_above")), "_level")
+              .select("_run", (F.col("_above") + F.col("_in_level")).alias("_before")))
+    inside = F.row_number().over(Window.partitionBy("_run").orderBy("word"))
+    return (headed.join(before, "_run").withColumn("rank", F.col("_before") + inside)
             .select(*by, "word", "count", "rank"))
 
 
+def _earlier(size: str, order: WindowSpec) -> Column:
+    """The sum of all sizes before this one."""
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.sum(size).over(upto) - F.col(size)
+
+
 def shared_top_words(counts: DataFrame, n: int = catalog.TOP_WORDS) -> DataFrame:
     """In how many states' top words each word appears."""
     return (top_words_by(counts, ("state",), n)

@@ -44,6 +44,26 @@ def test_ranks_overall(counts, spark):
     assert got == ranked(list(total.items()))
 
 
+def test_missing_state_is_a_group(spark):
+    df = spark.createDataFrame([(None, "a", 2), (None, "b", 3), ("FL", "a", 1)],
+                               "state string, word string, count long")
+    got = {(r.state, r.word): r["rank"] for r in words.word_ranks(df, ("state",)).collect()}
+    assert got == {(None, "b"): 1, (None, "a"): 2, ("FL", "a"): 1}
+
+
+def test_words_are_cut_once_for_ranks(spark, plan):
+    texts = spark.createDataFrame([("FL", "stay home"), ("CA", "work")], "state string, text string")
+    ranks = words.word_ranks(words.word_counts(words.words(texts.repartition(2), keep=("state",)),
+                                               ("state",)), ("state",))
+    assert ranks.count() == 3
+    executed = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "ReusedExchange" in plan(ranks.select("*"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", executed)
+
+
 def test_top_words_ties_in_word_order(spark):
     df = spark.createDataFrame([("b", 2), ("a", 2), ("c", 9), ("d", 1)], "word string, count long")
     assert [r.word for r in words.top_words(df, 3).collect()] == ["c", "a", "b"]
