@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Adaptive execution sizes shuffle partitions, turns small shuffled sides into broadcasts and
@@ -35,6 +33,6 @@ def local_session(cores: str = "8", app: str = "countylens", memory: str = "8g",
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, named by the cluster; a new one only where none is named."""
+    """The folder all executors see: the one the cluster names, else one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="countylens-")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
