@@ -15,6 +15,7 @@ or empty text has no ids and decodes to the empty text. `LEXICON_WORDS` bounds t
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import os
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from countylens.llm import common as c
 
 LEXICON_WORDS = 1 << 16
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 END = "</w>"
 PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -215,7 +216,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, text: str = "text",
     from collections import Counter
 
     def counts(parts):
-        own = Vocabulary(vocabulary)
+        own = vocabulary_of(vocabulary)
         for part in parts:
             found = Counter()
             for x in part.column(0).to_pylist():
@@ -237,34 +238,55 @@ def compiled(spark: SparkSession, words: list[str], vocabulary: str) -> str:
     return os.path.basename(path)
 
 
+@functools.lru_cache(2)
+def vocabulary_of(path: str) -> Vocabulary:
+    """One per worker, kept over its tasks."""
+    return Vocabulary(path)
+
+
 class Coder:
-    """Encodes batches of texts in one worker."""
+    """Encodes and decodes the words of batches of texts in one worker.
+
+    A text's ids are those of its words in order, and so are its decoded tokens; both are kept by word,
+    written out, and joined by a space, as the tokenizer file, which names no decoder, asks for.
+    """
 
     def __init__(self, vocabulary: str, lexicon: str):
-        self.vocabulary = Vocabulary(vocabulary)
+        self.vocabulary = vocabulary_of(vocabulary)
         self.lexicon = Lexicon.load(SparkFiles.get(lexicon))
-        self.known: dict[str, list[int]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.known = {s: [i] for s, i in self.vocabulary.specials.items()}
+        self.ids: dict[str, str] = {}
+        self.said: dict[str, str] = {}
+        for special, i in self.vocabulary.specials.items():
+            self._keep(special, [i])
+
+    def _keep(self, word: str, ids: list[int]) -> None:
+        self.ids[word] = " ".join(map(str, ids))
+        self.said[word] = " ".join(map(self.vocabulary.tokens.__getitem__, ids))
 
     def learn(self, texts: list[list[str]]) -> None:
         """Looks up every word of a batch that is not remembered."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.ids) > CACHE_WORDS:
             self._reset()
-        new = list({w for t in texts for w in t} - self.known.keys())
+        new = list(set().union(*texts).difference(self.ids))
         for word, place in zip(new, self.lexicon.find([w.encode() for w in new])):
-            self.known[word] = (self.lexicon.output(int(place)) if place >= 0
-                                else self.vocabulary.merge(word))
+            self._keep(word, self.lexicon.output(int(place)) if place >= 0
+                       else self.vocabulary.merge(word))
+
+    def encode(self, text: list[str]) -> str:
+        """The ids, in decimal, joined by a space."""
+        return " ".join(map(self.ids.__getitem__, text))
+
+    def decode(self, text: list[str]) -> str:
+        return " ".join(map(self.said.__getitem__, text))
 
-    def encode(self, text: list[str]) -> list[int]:
-        known = self.known
-        return [i for w in text for i in known[w]]
 
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by a space, as the tokenizer file, which names no decoder, asks for."""
-        return " ".join(map(self.vocabulary.tokens.__getitem__, ids))
+@functools.lru_cache(1)
+def coder_of(vocabulary: str, lexicon: str) -> Coder:
+    """One per worker, kept over its tasks."""
+    return Coder(vocabulary, lexicon)
 
 
 def encoded(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text",
@@ -278,7 +300,7 @@ def encoded(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
         else {"ids": pa.list_(pa.int32())})
 
     def rows(parts):
-        coder = Coder(vocabulary, lexicon)
+        coder = coder_of(vocabulary, lexicon)
         for part in parts:
             *names, texts = (col.to_pylist() for col in part.columns)
             names = list(zip(*names))
@@ -287,11 +309,12 @@ def encoded(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
                 coder.learn(cut)
                 for name, t in zip(names[at:at + 100], cut):
                     ids = coder.encode(t)
+                    n = ids.count(" ") + 1 if t else 0
                     if digests:
-                        yield (*name, len(ids), c.sha256(" ".join(map(str, ids)).encode()),
-                               c.sha256(coder.decode(ids).encode()))
+                        yield (*name, n, c.sha256(ids.encode()),
+                               c.sha256(coder.decode(t).encode()))
                     else:
-                        yield *name, len(ids), ids
+                        yield *name, n, [int(i) for i in ids.split()]
 
     schema = ("doc_id bigint, " + "".join(f"`{n}` string, " for n in keep) + "n_tokens bigint, "
               + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"))
@@ -302,7 +325,7 @@ def encoded(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
 def decoded(rows: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """The given columns and the decoded text of their ids; null ids decode to the empty text."""
     def texts(parts):
-        own = Vocabulary(vocabulary)
+        own = vocabulary_of(vocabulary)
         for part in parts:
             out = [" ".join(own.tokens[i] for i in x or ()) for x in part.column(ids).to_pylist()]
             yield part.append_column("decoded", pa.array(out, pa.string()))
