@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks import tables as t
 from checks.tables import CASES, Data
-from countylens import catalog
+from countylens import catalog, schemas
 from countylens.functions import areas, texts, tweets as tweet_fn
 from countylens.operators import (
     clean, indicators, lookup, sampling, stats, topics, tweets, words,
@@ -111,10 +111,10 @@ def round_to(d: Data) -> DataFrame:
                                     areas.round_to(price, 10, up=False).alias("down"))
 
 
-@query("SELECT page_id, TRY_CAST(substr(url, 1, 10) AS DATE) AS day FROM pages UNION ALL "
+@query("SELECT page_id, TRY_CAST(url AS DATE) AS day FROM pages UNION ALL "
        "SELECT event_id, CAST(ts AS DATE) FROM events")
 def parse_date(d: Data) -> DataFrame:
-    stamps = d.table("pages").select("page_id", F.substring("url", 1, 10).alias("raw")).unionAll(
+    stamps = d.table("pages").select("page_id", F.col("url").alias("raw")).unionAll(
         d.table("events").select("event_id", F.col("ts").cast("string")))
     return stamps.select("page_id", areas.parse_date(F.col("raw")).alias("day"))
 
@@ -195,6 +195,20 @@ def range_stats_of_year(d: Data) -> DataFrame:
     return rounded(stats.range_stats(clean.date_range(d.cases, FIRST, LAST)), "average", "median")
 
 
+_RENAMED = ("(SELECT fips, value, area_name || CASE WHEN month(time_value) % 2 = 0 THEN ' (old)' ELSE '' "
+            "END AS area_name FROM valid_cases)")
+
+
+@query("SELECT fips, area_name, min(value) AS min, max(value) AS max, round(avg(value), 6) AS "
+       f"average, round(median(value), 6) AS median FROM {_RENAMED} "
+       "WHERE area_name IS NOT NULL GROUP BY fips, area_name")
+def range_stats_of_renamed(d: Data) -> DataFrame:
+    """Every county under two names."""
+    old = F.when(F.month("time_value") % 2 == 0, " (old)").otherwise("")
+    renamed = d.cases.withColumn("area_name", F.concat("area_name", old))
+    return rounded(stats.range_stats(renamed), "average", "median")
+
+
 @query("SELECT fips, area_name, round(avg(value), 6) AS value FROM valid_signals "
        "WHERE area_name IS NOT NULL AND signal = 'click' GROUP BY fips, area_name")
 def range_average(d: Data) -> DataFrame:
@@ -228,7 +242,7 @@ def _scatter(d: Data, **kw) -> reports.Scatter:
     return reports.scatter(clean.valid_values(d.cases), d.poverty, POVERTY, **kw)
 
 
-@query(f"SELECT round({t.pearson_sql()}, 6) AS correlation, count(*) AS points FROM {PAIRS}")
+@query(f"SELECT round({t.pearson_sql()}, 6) AS correlation, CAST(regr_count(measure_value, value) AS BIGINT) AS points FROM {PAIRS}")
 def correlation(d: Data) -> DataFrame:
     return rounded(_scatter(d).correlation, "correlation")
 
@@ -286,14 +300,14 @@ def _latest_signals(d: Data) -> DataFrame:
     return stats.latest(clean.valid_values(d.signals), ("signal", "fips"))
 
 
-@query(f"SELECT signal, measure, round({t.pearson_sql()}, 6) AS correlation, count(*) AS points "
+@query(f"SELECT signal, measure, round({t.pearson_sql()}, 6) AS correlation, CAST(regr_count(measure_value, value) AS BIGINT) AS points "
        f"FROM {ALL_PAIRS} GROUP BY signal, measure")
 def correlation_matrix(d: Data) -> DataFrame:
     return rounded(stats.correlation_matrix(_latest_signals(d), d.indicator_long), "correlation")
 
 
 @query(f"SELECT signal, measure, fips // 1000 AS state_fips, round({t.pearson_sql()}, 6) AS "
-       f"correlation, count(*) AS points FROM {ALL_PAIRS} GROUP BY signal, measure, fips // 1000")
+       f"correlation, CAST(regr_count(measure_value, value) AS BIGINT) AS points FROM {ALL_PAIRS} GROUP BY signal, measure, fips // 1000")
 def correlation_by_state(d: Data) -> DataFrame:
     return rounded(stats.correlation_by_state(_latest_signals(d), d.indicator_long), "correlation")
 
@@ -373,8 +387,8 @@ def preset_tweets(d: Data) -> DataFrame:
 
 
 def _preset_sql(view: str, measure: str, state: str) -> str:
-    return (f"SELECT round({t.pearson_sql()}, 6) AS correlation, count(*) AS points FROM (SELECT "
-            f"l.value, p.measure_value FROM {t.newest_sql('cases')} l JOIN (SELECT fips, "
+    return (f"SELECT round({t.pearson_sql()}, 6) AS correlation, CAST(regr_count(measure_value, value) AS BIGINT) AS points FROM (SELECT "
+            f"l.value, p.measure_value FROM {t.newest_sql('valid_cases')} l JOIN (SELECT fips, "
             f"\"{measure}\" AS measure_value FROM {view}) p USING (fips) WHERE l.fips // 1000 = "
             f"(SELECT state_fips FROM state_dim WHERE name = '{state}'))")
 
@@ -563,19 +577,29 @@ def sample_per_group(d: Data) -> DataFrame:
                               ("c_nationkey",), "c_custkey", 3)
 
 
-@query()
+@query("SELECT CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS strangers, TRUE AS whole_at_one, "
+       "TRUE AS in_band FROM (SELECT count(*) FROM orders)")
 def sample_bernoulli(d: Data) -> DataFrame:
-    return sampling.bernoulli(d.table("orders").select("o_orderkey"), sampling.id_fraction(0.1), 1)
+    """What must hold for any draw: rows of the table, none twice, and as many as chance allows."""
+    keys = d.table("orders").select("o_orderkey")
+    share = sampling.id_fraction(0.1)
+    drawn = sampling.bernoulli(keys, share, 1)
+    known = keys.select(F.col("o_orderkey").alias("k"), F.lit(1).alias("known"))
+    found = drawn.join(known, F.col("o_orderkey") == F.col("k"), "left").agg(
+        (F.count("*") - F.countDistinct("o_orderkey")).alias("repeated"),
+        F.count_if(F.col("known").isNull()).alias("strangers"), F.count("*").alias("n"))
+    whole = sampling.bernoulli(keys, 1.0).agg(F.count("*").alias("m"))
+    total = keys.agg(F.count("*").alias("total"))
+    off = F.abs(F.col("n") - share * F.col("total"))
+    return found.join(whole).join(total).select(
+        "repeated", "strangers", (F.col("m") == F.col("total")).alias("whole_at_one"),
+        (off <= 5 * F.sqrt(F.col("total") * share * (1 - share))).alias("in_band"))
 
 
 # --- topics ------------------------------------------------------------------------------------
 
-def _english_docs(d: Data) -> DataFrame:
-    return d.table("documents").filter(F.col("lang") == "en").select("doc_id", "text")
-
-
 def _bag(d: Data) -> DataFrame:
-    return topics.bag_of_words(_english_docs(d))
+    return topics.bag_of_words(d.table("documents"), stopwords=catalog.STOPWORDS)
 
 
 def _lexicon(d: Data) -> DataFrame:
@@ -610,14 +634,28 @@ def vocabulary(d: Data) -> DataFrame:
     return topics.vocabulary(_bag(d))
 
 
-@query()
+@query("SELECT CAST(t AS INTEGER) AS topic, CAST(10 AS BIGINT) AS words, CAST(0 AS BIGINT) AS unknown, "
+       "TRUE AS ranked, TRUE AS falling, TRUE AS within_one FROM range(10) AS r(t)")
 def topic_model(d: Data) -> DataFrame:
-    bag = topics.normalize(_bag(d), _lexicon(d))
+    """What must hold for any fit: ten words of the vocabulary per topic, by falling weight."""
+    bag = topics.normalize(_bag(d), _lexicon(d)).persist()
     terms, vectors = topics.vectorize(bag)
     vectors.persist()
     model = topics.fit(vectors)
     vectors.unpersist()
-    return topics.topic_lines(topics.describe(model, terms))
+    bag.unpersist()
+    known = bag.select(F.col("word").alias("w")).distinct()
+    shown = topics.describe(model, terms)
+    rows = shown.join(known, F.col("word") == F.col("w"), "left")
+    in_order = F.array_sort(F.collect_list(F.struct("rank", "weight")))
+    per = rows.groupBy("topic").agg(
+        F.count("*").alias("words"), F.count_if(F.col("w").isNull()).alias("unknown"),
+        in_order["rank"].alias("ranks"), in_order["weight"].alias("weights"))
+    return per.select(
+        "topic", "words", "unknown",
+        (F.col("ranks") == F.sequence(F.lit(1), F.lit(10))).alias("ranked"),
+        (F.col("weights") == F.sort_array("weights", False)).alias("falling"),
+        (F.aggregate("weights", F.lit(0.0), lambda a, w: a + w) <= 1.000001).alias("within_one"))
 
 
 # --- streaming and stored tables ---------------------------------------------------------------
@@ -630,7 +668,7 @@ def streamed_word_counts(d: Data) -> DataFrame:
     work = _work_dir(d.spark, "stream")
     schema = d.table("documents").schema
     texts_in = (d.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-                .parquet(d.folder).select(F.substring("source", 4, 10).alias("state"), "text"))
+                .parquet(d.folder).select(F.substring("source", F.lit(4), F.length("source")).alias("state"), "text"))
     word_counts.start(texts_in, f"{work}/counts", f"{work}/checkpoint").awaitTermination()
     return word_counts.counts_so_far(d.spark, f"{work}/counts")
 
@@ -640,7 +678,8 @@ def streamed_word_counts(d: Data) -> DataFrame:
 def stored_signal(d: Data) -> DataFrame:
     """All signals written as a table, and one read back."""
     work = _work_dir(d.spark, "tables")
-    writers.write_table(d.signals, f"{work}/signal", partition_by=("signal",), sort_by=("fips",))
+    writers.write_table(d.signals, f"{work}/signal", partition_by=("signal",),
+                        sort_by=("fips", "time_value"))
     return etl.load_signal(d.spark, work, CASES)
 
 
@@ -655,6 +694,73 @@ def append_unseen(d: Data) -> DataFrame:
     return d.spark.read.parquet(work).select("state", "id")
 
 
+def _as_csv(d: Data, df: DataFrame, name: str, header: dict[str, str]) -> str:
+    """A table written as CSV under the headers of a source, last column first, after an index."""
+    path = f"{_work_dir(d.spark, 'csv')}/{name}.csv"
+    columns = [F.col(f"`{new}`").alias(old) for old, new in reversed(list(header.items()))]
+    df.select(F.lit(0).alias("index"), *columns).write.csv(path, header=True)
+    return path
+
+
+@query("SELECT * FROM state_dim WHERE state_fips > 0")
+def csv_state_dim(d: Data) -> DataFrame:
+    return readers.read_state_dim(
+        d.spark, _as_csv(d, d.state_dim, "state", schemas.STATE_DIM_HEADER))
+
+
+@query("SELECT state_fips, county_fips, fips, state_name, area_name FROM county_dim")
+def csv_county_dim(d: Data) -> DataFrame:
+    return readers.read_county_dim(
+        d.spark, _as_csv(d, d.county_dim, "county", schemas.COUNTY_DIM_HEADER))
+
+
+@query("SELECT signal, fips, time_value, issue, value, state_name, area_name FROM "
+       f"{t.newest_sql('valid_cases', 'signal, fips')}")
+def csv_signal(d: Data) -> DataFrame:
+    """A running total: the newest row per county."""
+    return readers.read_signal(d.spark, _as_csv(d, d.cases, "cases", schemas.SIGNAL_HEADER), CASES)
+
+
+@query("SELECT geo_value, time_value, issue, value FROM cases_raw")
+def csv_signal_raw(d: Data) -> DataFrame:
+    names = {n: n for n in schemas.SIGNAL_RAW.names}
+    return readers.read_signal_raw(d.spark, _as_csv(d, d.cases_raw, "raw", names))
+
+
+@query(f"SELECT fips, \"{POVERTY}\" AS measure_value FROM poverty")
+def csv_indicator(d: Data) -> DataFrame:
+    names = list(catalog.indicator("Poverty").measures.values())
+    path = _as_csv(d, d.poverty, "poverty", {**schemas.INDICATOR_HEADER, **{m: m for m in names}})
+    return indicators.measure_of(readers.read_indicator(d.spark, path, "Poverty"), POVERTY)
+
+
+@query("SELECT doc_id AS id FROM documents")
+def text_tweet_ids(d: Data) -> DataFrame:
+    """Ids, one per line, among lines that are none."""
+    path = f"{_work_dir(d.spark, 'ids')}/ids"
+    lines = d.documents.select(F.explode(F.array(
+        F.col("doc_id").cast("string"), F.lit(""), F.lit("no id"))).alias("value"))
+    lines.write.text(path)
+    return readers.read_tweet_ids(d.spark, path).select("id")
+
+
+@query("SELECT id, lang, full_text, retweet_text, text, country_code FROM tweets")
+def json_tweets(d: Data) -> DataFrame:
+    path = f"{_work_dir(d.spark, 'json')}/tweets"
+    d.tweets.write.json(path)
+    return readers.read_tweets_json(d.spark, path).select(
+        "id", "lang", "full_text", F.col("retweeted_status.full_text").alias("retweet_text"), "text",
+        F.col("place.country_code").alias("country_code"))
+
+
+@query(f"SELECT {t._CODE} AS state, doc_id FROM documents_s")
+def stored_consolidated(d: Data) -> DataFrame:
+    """Lines filed by name or code, stored under the code and read back."""
+    path = f"{_work_dir(d.spark, 'filed')}/lines"
+    writers.write_consolidated(d.filed_lines, path)
+    return d.spark.read.parquet(path).select("state", "doc_id")
+
+
 def _work_dir(spark: SparkSession, name: str) -> str:
     import uuid
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from countylens import catalog, schemas
 from countylens.functions import areas, texts
-from countylens.operators import indicators
+from countylens.operators import clean, indicators
 from countylens.operators.lookup import one_row_per_code
 from countylens.plans import etl, reports
 from countylens.sources import readers
@@ -154,14 +154,14 @@ class Data:
 
     @cached_property
     def documents(self) -> DataFrame:
-        place = F.substring("source", 4, 10).cast("int")
+        place = F.substring("source", F.lit(4), F.length("source")).cast("int")
         return self.table("documents").withColumn("_s", place)
 
     @cached_property
     def tweet_text(self) -> DataFrame:
         endings = F.array(*[F.lit(e) for e in ENDINGS])
         ending = F.element_at(endings, (F.col("doc_id") % len(ENDINGS) + 1).cast("int"))
-        return self.documents.filter(F.col("lang") == "en").select(
+        return self.documents.select(
             "doc_id", _pick(CODES).alias("state"),
             F.concat(texts.one_line(F.col("text")), ending).alias("text"))
 
@@ -198,7 +198,8 @@ class Data:
             F.lit(None).cast("string").alias("state"), "html"))
 
     def report_tables(self) -> reports.Tables:
-        return reports.Tables(self.state_dim, self.county_dim, self.signals, self.indicators,
+        return reports.Tables(self.state_dim, self.county_dim, clean.valid_values(self.signals),
+                              self.indicators,
                               self.tweet_text)
 
 
@@ -346,8 +347,7 @@ VIEWS = {
     "documents_s": "SELECT *, CAST(substr(source, 4) AS INTEGER) AS s FROM documents",
     "tweet_text":
         f"SELECT doc_id, {_CODE} AS state, replace(replace(text, chr(10), ''), chr(13), '') || "
-        f"{list_sql(ENDINGS)}[doc_id % {len(ENDINGS)} + 1] AS text FROM documents_s "
-        "WHERE lang = 'en'",
+        f"{list_sql(ENDINGS)}[doc_id % {len(ENDINGS)} + 1] AS text FROM documents_s",
     "tweets":
         "SELECT doc_id AS id, lang, s % 5 <> 0 AS has_place, "
         "CASE WHEN s % 5 <> 0 THEN CASE WHEN s % 7 = 3 THEN 'CA' ELSE 'US' END END AS country_code, "
@@ -374,7 +374,7 @@ VIEWS = {
         "SELECT state, word, count(*) AS count FROM counted_words GROUP BY state, word",
     "bag":
         "SELECT doc_id, word, count(*) AS count FROM (SELECT doc_id, "
-        f"unnest({letter_tokens_sql('text')}) AS word FROM documents WHERE lang = 'en') "
+        f"unnest({letter_tokens_sql('text')}) AS word FROM documents) "
         f"WHERE length(word) > 3 AND word NOT IN "
         f"({', '.join(text_sql(w) for w in catalog.STOPWORDS)}) GROUP BY doc_id, word",
     "lexicon":

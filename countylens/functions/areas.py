@@ -39,7 +39,7 @@ def title_case(name: Column) -> Column:
     runs = F.regexp_extract_all(F.lower(name), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(0))
     return F.array_join(
         F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)),
-                                             F.substring(r, 2, 1_000_000))), "")
+                                             F.substring(r, F.lit(2), F.length(r)))), "")
 
 
 def round_to(number: Column, nearest: int, up: bool = True) -> Column:

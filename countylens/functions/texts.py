@@ -24,6 +24,8 @@ SPLIT_RULES = (
     # contractions are cut in two
     (r"([^' ])('s|'m|'d|'ll|'re|'ve|n't|')(\s|$)", r"\1 \2\3"),
     (r"\b(?:(can)(not)|(gon|wan)(na)|(got)(ta)|(gim|lem)(me))\b", r"\1\3\5\7 \2\4\6\8"),
+    (r"\b(?:(d)('ye)|(more)('n))\b", r"\1\3 \2\4"),
+    (r"(^|\s)('t)(is|was)\b", r"\1\2 \3"),
 )
 ALWAYS, CONTRACTIONS = SPLIT_RULES[:2], SPLIT_RULES[2:]
 # Only texts with one of these have contractions.

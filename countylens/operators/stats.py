@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from countylens.functions import areas, measures
 from countylens.operators import clean
-from countylens.operators.lookup import area_join
 
 STATISTICS = {"Max": "max", "Min": "min", "Average": "average", "Median": "median"}
 
@@ -16,17 +15,26 @@ STATISTICS = {"Max": "max", "Min": "min", "Average": "average", "Median": "media
 # the sketch that finds it. The slice is ten times wider than the error.
 SLICE = 0.001
 SKETCH_ACCURACY = 10_000
+PARTS = 1024
+COUNTY = ("fips", "area_name")
 
 
 def latest(signal: DataFrame, keys: Sequence[str] = ("fips",)) -> DataFrame:
     """The newest row per key; later issue, then greater value, where days tie.
 
-    One aggregation: rows of a hot key are reduced before they are shuffled.
+    First the newest day per key, a hash aggregation of two short columns; only the rows of that day
+    are then compared whole.
     """
-    order = [c for c in ("time_value", "issue", "value") if c in signal.columns]
-    rest = [c for c in signal.columns if c not in keys and c not in order]
-    newest = signal.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_row"))
-    return newest.select(*keys, "_row.*").select(*signal.columns)
+    order = [c for c in ("issue", "value") if c in signal.columns]
+    rest = [c for c in signal.columns if c not in keys and c not in order and c != "time_value"]
+    days = signal.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        F.max("time_value").alias("_day"))
+    same = F.col("time_value").eqNullSafe(F.col("_day"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    newest = (signal.join(days, same).select(*signal.columns).groupBy(*keys, "time_value")
+              .agg(F.max(F.struct(*order, *rest)).alias("_row")))
+    return newest.select(*keys, "time_value", "_row.*").select(*signal.columns)
 
 
 def latest_ranked(signal: DataFrame, keys: Sequence[str] = ("fips",)) -> DataFrame:
@@ -45,47 +53,67 @@ def date_ranges(signal: DataFrame) -> DataFrame:
                                         F.max("time_value").alias("max_date"))
 
 
+def _counties(signal: DataFrame) -> DataFrame:
+    """The rows that statistics per county are about: a code, a name and a valid value."""
+    return (clean.valid_values(signal)
+            .filter(F.col("fips").isNotNull() & F.col("area_name").isNotNull())
+            .select(*COUNTY, "value"))
+
+
 def range_stats(signal: DataFrame) -> DataFrame:
     """Min, max, average and exact median of the values per county.
 
-    Rows without an area name have no group. A median needs order, and one county may hold a third
-    of all rows, so no county is sorted whole: a sketch brackets the middle ranks of every county
-    (one small row each, broadcast), all values outside the bracket fall into one counted slot per
-    side, and only the distinct values inside it are ordered.
+    Rows without a code or an area name have no group; a code under two names has two. A median
+    needs order, and one county may hold a third of all rows, so no county is sorted whole: a
+    sketch brackets the middle ranks of every county, and all values outside the bracket fall
+    into one counted slot per side. The bracket is cut into ``PARTS`` parts, whose counts tell
+    which of them hold the median; only the distinct values of those are ordered.
     """
-    rows = (clean.valid_values(signal).filter(F.col("area_name").isNotNull())
-            .select("fips", "area_name", "value"))
+    rows = _counties(signal)
     middle = F.array(F.lit(0.5 - SLICE), F.lit(0.5 + SLICE))
-    brackets = (rows.groupBy("fips")
+    brackets = (rows.groupBy(*COUNTY)
                 .agg(F.percentile_approx("value", middle, SKETCH_ACCURACY).alias("cut"))
-                .select("fips", F.col("cut")[0].alias("lo"), F.col("cut")[1].alias("hi")))
+                .select(*COUNTY, F.col("cut")[0].alias("lo"), F.col("cut")[1].alias("hi")))
 
     value, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
-    slots = (area_join(rows, brackets)
-             .withColumn("zone", F.when(value < lo, -1).when(value > hi, 1).otherwise(0))
-             .withColumn("slot", F.least(F.greatest(value, lo), hi))
-             .groupBy("fips", "area_name", "zone", "slot")
+    share = F.when(hi > lo, (value - lo) / (hi - lo)).otherwise(0.0)
+    part = F.when(value < lo, -1).when(value > hi, PARTS).otherwise(
+        F.least(F.floor(share * PARTS), F.lit(PARTS - 1))).cast("int")
+    slots = (rows.join(brackets, list(COUNTY))
+             .select(*COUNTY, "value", part.alias("part"),
+                     F.least(F.greatest(value, lo), hi).alias("slot"))
+             .groupBy(*COUNTY, "part", "slot")
              .agg(F.count("*").alias("n"), F.sum("value").alias("total"),
                   F.min("value").alias("least"), F.max("value").alias("most")))
 
-    county = Window.partitionBy("fips", "area_name")
-    upto = F.sum("n").over(county.orderBy("zone", "slot")
-                           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = slots.withColumn("upto", upto).withColumn("rows", F.sum("n").over(county))
+    county = Window.partitionBy(*COUNTY)
+    parts = (slots.groupBy(*COUNTY, "part")
+             .agg(F.sum("n").alias("n"), F.sum("total").alias("total"),
+                  F.min("least").alias("least"), F.max("most").alias("most"))
+             .withColumn("upto", F.sum("n").over(county.orderBy("part")))
+             .withColumn("rows", F.sum("n").over(county)))
+    plain = parts.groupBy(*COUNTY).agg(
+        F.min("least").alias("min"), F.max("most").alias("max"),
+        (F.sum("total") / F.sum("n")).alias("average"))
     lower = F.floor((F.col("rows") + 1) / 2)
     upper = F.floor((F.col("rows") + 2) / 2)
-    return ranked.groupBy("fips", "area_name").agg(
-        F.min("least").alias("min"), F.max("most").alias("max"),
-        (F.sum("total") / F.sum("n")).alias("average"),
-        ((F.max(_value_at(lower)) + F.max(_value_at(upper))) / 2).alias("median"))
-
-
-def _value_at(rank: Column) -> Column:
+    before = F.col("upto") - F.col("n")
+    middle_parts = parts.filter((F.col("upto") >= lower) & (before < upper)).select(
+        *COUNTY, "part", before.alias("before"), lower.alias("lower"), upper.alias("upper"))
+    inside = slots.select(*COUNTY, "part", "slot", "n").join(middle_parts, [*COUNTY, "part"])
+    in_order = Window.partitionBy(*COUNTY, "part").orderBy("slot")
+    ranked = inside.withColumn("upto", F.col("before") + F.sum("n").over(in_order))
+    medians = ranked.groupBy(*COUNTY).agg(
+        ((F.max(_value_at("lower")) + F.max(_value_at("upper"))) / 2).alias("median"))
+    return plain.join(medians, list(COUNTY)).select(*COUNTY, "min", "max", "average", "median")
+
+
+def _value_at(rank: str) -> Column:
     """The slot's value where it covers the rank. A rank outside the bracket ends the job."""
-    covers = (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)
-    inside = F.when(F.col("zone") == 0, F.col("slot")).otherwise(
+    covers = (F.col("upto") >= F.col(rank)) & (F.col("upto") - F.col("n") < F.col(rank))
+    value = F.when(F.col("part").between(0, PARTS - 1), F.col("slot")).otherwise(
         F.raise_error(F.lit("median outside its bracket")).cast("double"))
-    return F.when(covers, inside)
+    return F.when(covers, value)
 
 
 def range_stat(signal: DataFrame, statistic: str = "Max") -> DataFrame:
@@ -99,14 +127,14 @@ def range_stat(signal: DataFrame, statistic: str = "Max") -> DataFrame:
     if name == "median":
         return range_stats(signal).select("fips", "area_name", F.col("median").alias("value"))
     function = {"max": F.max, "min": F.min, "average": F.avg}[name]
-    return (clean.valid_values(signal).filter(F.col("area_name").isNotNull())
-            .groupBy("fips", "area_name").agg(function("value").alias("value")))
+    return _counties(signal).groupBy(*COUNTY).agg(function("value").alias("value"))
 
 
 def correlation(points: DataFrame, x: str = "value", y: str = "measure_value",
                 by: Sequence[str | Column] = ()) -> DataFrame:
     return points.groupBy(*by).agg(
-        measures.pearson(F.col(x), F.col(y)).alias("correlation"), F.count("*").alias("points"))
+        measures.pearson(F.col(x), F.col(y)).alias("correlation"),
+        F.regr_count(y, x).alias("points"))
 
 
 def regression(points: DataFrame, x: str = "value", y: str = "measure_value",

@@ -8,7 +8,6 @@ from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import DataFrame, functions as F
 
-from countylens import catalog
 from countylens.functions import texts
 from countylens.operators import words
 
@@ -18,8 +17,9 @@ TERMS_SHOWN = 10
 
 
 def bag_of_words(docs: DataFrame, doc: str = "doc_id", text: str = "text",
-                 stopwords: Iterable[str] = catalog.STOPWORDS) -> DataFrame:
-    """How often each topic word occurs in each text."""
+                 *, stopwords: Iterable[str]) -> DataFrame:
+    """How often each topic word occurs in each text. Topic models want a longer list of stopwords
+    than word counts do, so there is no default."""
     found = docs.select(doc, F.explode(texts.letter_runs(F.col(text))).alias("word"))
     return (found.filter(texts.is_topic_word(F.col("word"), stopwords))
             .groupBy(doc, "word").agg(F.count("*").alias("count")))
@@ -49,14 +49,15 @@ def word_lists(bag: DataFrame, doc: str = "doc_id") -> DataFrame:
     return bag.groupBy(doc).agg(F.flatten(F.collect_list(repeated)).alias("words"))
 
 
-def vectorize(bag: DataFrame, doc: str = "doc_id",
-              vocab_size: int = 1 << 18) -> tuple[CountVectorizerModel, DataFrame]:
-    """Count vectors over the ``vocab_size`` most frequent words.
+def vectorize(bag: DataFrame, doc: str = "doc_id") -> tuple[CountVectorizerModel, DataFrame]:
+    """Count vectors over all words of the bag.
 
-    The vocabulary is part of the model and lives on the driver, so its size is a parameter.
+    The vocabulary is part of the model, as are the weights of all its words in every topic. Where
+    that is too much, cut the bag first, by a stopword table or a least count.
     """
     lists = word_lists(bag, doc)
-    model = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocab_size).fit(lists)
+    distinct = max(1, bag.select("word").distinct().count())
+    model = CountVectorizer(inputCol="words", outputCol="features", vocabSize=distinct).fit(lists)
     return model, model.transform(lists).select(doc, "features")
 
 
@@ -74,14 +75,18 @@ def describe(model: LDAModel, terms: CountVectorizerModel, shown: int = TERMS_SH
     """The heaviest words of every topic with their weights."""
     ranked = model.describeTopics(shown).select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("position", "term"))
-    index = model_words(ranked.sparkSession, terms)
+    index = model_words(ranked.sparkSession, terms, [
+        i for t in model.describeTopics(shown).collect() for i in t.termIndices])
     return (ranked.join(index, F.col("term.termIndices") == F.col("word_id"))
             .select("topic", (F.col("position") + 1).alias("rank"), "word",
                     F.col("term.termWeights").alias("weight")))
 
 
-def model_words(spark, terms: CountVectorizerModel) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(terms.vocabulary)), "word_id int, word string")
+def model_words(spark, terms: CountVectorizerModel, ids: Iterable[int]) -> DataFrame:
+    """The words of some ids."""
+    named = terms.vocabulary
+    return spark.createDataFrame([(i, named[i]) for i in sorted(set(ids))],
+                                 "word_id int, word string")
 
 
 def topic_lines(described: DataFrame) -> DataFrame:

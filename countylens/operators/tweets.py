@@ -47,14 +47,13 @@ def consolidate_states(rows: DataFrame, state: str = "state") -> DataFrame:
 
 
 def unseen(new: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
-    """New rows whose key is not stored, once each. Both steps share one shuffle by key."""
+    """New rows whose key is not stored, once each. Stored ones go before anything is compared."""
     others = [c for c in new.columns if c != key]
-    if others:
-        once = (new.groupBy(key).agg(F.max(F.struct(*others)).alias("_row"))
-                .select(key, "_row.*"))
-    else:
-        once = new.distinct()
-    return once.join(stored.select(key), key, "left_anti").select(new.columns)
+    fresh = new.join(stored.select(key), key, "left_anti")
+    if not others:
+        return fresh.distinct()
+    return (fresh.groupBy(key).agg(F.max(F.struct(*others)).alias("_row"))
+            .select(key, "_row.*").select(new.columns))
 
 
 def embed_fields(embeds: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ from countylens import catalog
 from countylens.functions import texts
 
 
+# First letters that name a run of words, and the size beyond which a run takes the next number.
+HEADS, RUN = (3, 8, 16), 10_000
+
+
 def words(df: DataFrame, text: str = "text", keep: Sequence[str] = (),
           stopwords: Iterable[str] = catalog.STOPWORDS) -> DataFrame:
     """One row per counted word, next to the kept columns."""
@@ -44,17 +48,24 @@ def top_words_by(counts: DataFrame, by: Sequence[str] = ("state",),
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def word_ranks(counts: DataFrame, by: Sequence[str] = (), head: int = 3) -> DataFrame:
+def word_ranks(counts: DataFrame, by: Sequence[str] = (), heads: Sequence[int] = HEADS,
+               most: int = RUN) -> DataFrame:
     """The rank of every word by count, equal counts in word order, within each group or overall.
 
     A group's vocabulary is never brought together. Words are numbered inside small runs that are
-    neighbours in the final order (same count, same first letters). Running sums over the sizes of
-    the runs of a count, and over the sizes of the counts, say how many words come before each run.
+    neighbours in the final order (same count, same first letters). A run of more than ``most`` words
+    is split by further letters. Running sums over the sizes of the runs of a count, and over the
+    sizes of the counts, say how many words come before each run; overall, a count is one row there.
     Runs and counts are named by structs, which are never null, so a missing group counts as one,
     and all uses of the counts share one shuffle.
     """
-    head = F.substring("word", 1, head)
-    headed = counts.withColumn("_run", F.struct(*by, F.col("count"), head.alias("_head")))
+    headed = counts.withColumn("_run", _run(by, heads[0]))
+    for longer in heads[1:]:
+        crowded = (headed.groupBy("_run").agg(F.count("*").alias("_size"))
+                   .filter(F.col("_size") > most).select("_run", F.lit(True).alias("_split")))
+        headed = (headed.join(crowded, "_run", "left")
+                  .withColumn("_run", F.when(F.col("_split"), _run(by, longer))
+                              .otherwise(F.col("_run"))).drop("_split"))
     of_run = [F.col("_run").getField(c) for c in (*by, "count")]
     sizes = (headed.groupBy("_run").agg(F.count("*").alias("_size"))
              .withColumn("_level", F.struct(*[c.alias(n) for c, n in zip(of_run, (*by, "count"))])))
@@ -70,6 +81,10 @@ def word_ranks(counts: DataFrame, by: Sequence[str] = (), head: int = 3) -> Data
             .select(*by, "word", "count", "rank"))
 
 
+def _run(by: Sequence[str], letters: int) -> Column:
+    return F.struct(*by, F.col("count"), F.substring("word", 1, letters).alias("_head"))
+
+
 def _earlier(size: str, order: WindowSpec) -> Column:
     """The sum of all sizes before this one."""
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

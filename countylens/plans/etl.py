@@ -44,8 +44,8 @@ def build_signal(raw: DataFrame, county_dim: DataFrame, name: str | None = None)
 def build_all(spark: SparkSession, raw: str, out: str) -> None:
     """All clean tables from a folder of raw files, as Parquet.
 
-    Signals are stored in a folder per signal and ordered by county, so that reading one signal or
-    one state touches only its files and row groups.
+    Signals are stored in a folder per signal, their files cut by county and day, so that reading one
+    signal or one state touches only its files.
     """
     state_dim = readers.read_state_sheet(spark, f"{raw}/fips/state_fips_2019.csv")
     county_sheet = readers.read_county_sheet(spark, f"{raw}/fips/area_fips_2019.csv")
@@ -57,7 +57,8 @@ def build_all(spark: SparkSession, raw: str, out: str) -> None:
     signals = readers._union(
         build_signal(df, county_dim, name)
         for name, df in readers.read_signals_raw(spark, f"{raw}/signals").items())
-    writers.write_table(signals, f"{out}/signal", partition_by=("signal",), sort_by=("fips",))
+    writers.write_table(signals, f"{out}/signal", partition_by=("signal",),
+                        sort_by=("fips", "time_value"))
 
     for spec in catalog.INDICATORS:
         sheet = readers.read_indicator_sheet(spark, f"{raw}/indicators/{spec.sheet}.csv",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # Adaptive execution sizes shuffle partitions, turns small shuffled sides into broadcasts and
-# splits hot join keys at run time. initialPartitionNum bounds the width of the first cut.
+# splits hot join keys at run time.
 CLUSTER_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -17,6 +17,11 @@ CLUSTER_CONF = {
 }
 
 
+def cluster_session(app: str = "countylens", conf: dict[str, str] | None = None) -> SparkSession:
+    """A session on the cluster that spark-submit names."""
+    return SparkSession.builder.config(map=CLUSTER_CONF | (conf or {})).appName(app).getOrCreate()
+
+
 def local_session(cores: str = "8", app: str = "countylens", memory: str = "8g",
                   conf: dict[str, str] | None = None) -> SparkSession:
     """A session for tests and benchmarks on one machine."""

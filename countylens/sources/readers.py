@@ -12,25 +12,36 @@ from countylens import catalog, schemas
 from countylens.functions import areas, tweets as tweet_fn
 from countylens.operators import clean, indicators, stats
 
-INDEX = "_index"
-
 
 def read_indexed_csv(spark: SparkSession, path: str | list[str], header: Mapping[str, str],
                      schema: StructType) -> DataFrame:
-    """A CSV with a row-index column first and the given header, in that order.
+    """Columns of a CSV by the names in its header, in any order; others are dropped.
 
-    Everything is read as text and converted with ``try_cast``, so a dirty cell is null.
+    Everything is read as text and converted with ``try_cast``, so a dirty cell is null. A missing
+    column is an error. Several files may differ in the order of their columns.
     """
-    text = StructType([StructField(INDEX, StringType())]
-                      + [StructField(c, StringType()) for c in header.values()])
-    raw = spark.read.schema(text).csv(path, header=True)
+    if not isinstance(path, str):
+        return _union(read_indexed_csv(spark, p, header, schema) for p in path)
     types = {f.name: f.dataType for f in schema}
+    raw = _named_csv(spark, path, header)
     return raw.select(*[
         F.trim(F.col(f"`{c}`")).try_cast(types.get(c, StringType())).alias(c)
         if not isinstance(types.get(c, StringType()), StringType) else F.col(f"`{c}`")
         for c in header.values()])
 
 
+def _named_csv(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame:
+    """Columns found by name and renamed, as text."""
+    names = _header(spark, path)
+    missing = [c for c in columns if c not in names]
+    if missing:
+        raise ValueError(f"{path} has no columns {missing}")
+    by_position = StructType([StructField(f"_c{i}", StringType()) for i in range(len(names))])
+    # names are matched here, so the reader is not to compare them with the positions
+    raw = spark.read.schema(by_position).csv(path, header=True, enforceSchema=True)
+    return raw.select(*[F.col(f"_c{names.index(old)}").alias(new) for old, new in columns.items()])
+
+
 def read_state_dim(spark: SparkSession, path: str) -> DataFrame:
     """States without the region and division rows, which carry code 0."""
     df = read_indexed_csv(spark, path, schemas.STATE_DIM_HEADER, schemas.STATE_DIM)
@@ -87,9 +98,7 @@ def read_signals(spark: SparkSession, folder: str, shown_only: bool = True) -> D
 
 def read_signal_raw(spark: SparkSession, path: str) -> DataFrame:
     """A signal as fetched; columns beyond the four known ones are dropped."""
-    names = _header(spark, path)
-    text = StructType([StructField(c or INDEX, StringType()) for c in names])
-    raw = spark.read.schema(text).csv(path, header=True)
+    raw = _named_csv(spark, path, {f.name: f.name for f in schemas.SIGNAL_RAW})
     return raw.select(*[F.trim(f.name).try_cast(f.dataType).alias(f.name)
                         for f in schemas.SIGNAL_RAW])
 

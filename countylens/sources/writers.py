@@ -12,12 +12,13 @@ from countylens.operators import tweets
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (),
                 sort_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """A table, optionally in folders by some columns and ordered within files, so that later
-    filters on either skip data."""
-    if partition_by:
-        df = df.hint("rebalance", *partition_by)
+    """A table, optionally in folders by some columns and ordered by others, so that later filters
+    on either skip data: an ordered table is dealt by ranges, and no two of its files overlap."""
     if sort_by:
-        df = df.sortWithinPartitions(*partition_by, *sort_by)
+        df = df.repartitionByRange(*partition_by, *sort_by).sortWithinPartitions(
+            *partition_by, *sort_by)
+    elif partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode).partitionBy(*partition_by)
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 

@@ -1,8 +1,9 @@
 """Word counts over a growing folder of texts.
 
-Counts of each batch are written to a folder of their own and added up when read. A batch that runs
-again after a failure replaces its folder, so nothing is counted twice, and no state grows with
-the vocabulary.
+Counts of each batch are written to a folder of their own, under the id of the query's checkpoint, and
+added up when read. A batch that runs again after a failure replaces its folder, so nothing is
+counted twice, and no state grows with the vocabulary. A query with a new checkpoint would count
+all files again, so it refuses a folder that holds another query's counts.
 """
 
 from __future__ import annotations
@@ -33,14 +34,34 @@ def start(texts: DataFrame, out: str, checkpoint: str, available_now: bool = Tru
     counted = words.words(texts, keep=("state",))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        others = [q for q in _queries(spark, out) if q != query]
+        if others:
+            raise ValueError(f"{out} holds counts of another query: {others}")
         (words.word_counts(batch, by=("state",))
-         .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
+         .write.mode("overwrite").parquet(f"{out}/query={query}/batch={batch_id}"))
 
     trigger = {"availableNow": True} if available_now else {"processingTime": every}
     return (counted.writeStream.foreachBatch(write_batch)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
+def _queries(spark: SparkSession, out: str) -> list[str]:
+    """Ids of the queries that have written counts to a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(path)]
+    return [n.removeprefix("query=") for n in names if n.startswith("query=")]
+
+
+def compact(spark: SparkSession, out: str, into: str) -> None:
+    """All counts so far, summed up, in a folder of their own that is read faster."""
+    counts_so_far(spark, out).write.mode("overwrite").parquet(into)
+
+
 def counts_so_far(spark: SparkSession, out: str) -> DataFrame:
     stored = spark.read.schema(COUNTS).parquet(out)
     return stored.groupBy("state", "word").agg(F.sum("count").alias("count"))

@@ -41,6 +41,18 @@ def test_signal(spark, tmp_path):
     assert {(r.fips, r.value) for r in newest} == {(1001, 6.5), (1005, 0.0)}
 
 
+def test_columns_go_by_name(spark, tmp_path):
+    """A reordered file gives the same rows; a missing column is an error."""
+    rows = [line.split(",") for line in SIGNAL.strip().split("\n")]
+    moved = "\n".join(",".join([r[0], r[4], *r[1:4], *r[5:]]) for r in rows) + "\n"
+    same = readers.read_signal(spark, write(tmp_path / "a.csv", SIGNAL), "Daily x")
+    other = readers.read_signal(spark, write(tmp_path / "b.csv", moved), "Daily x")
+    assert sorted(map(str, same.collect())) == sorted(map(str, other.collect())) and same.count() == 3
+    cut = "\n".join(",".join(r[:4] + r[5:]) for r in rows) + "\n"
+    with pytest.raises(ValueError, match="value"):
+        readers.read_signal(spark, write(tmp_path / "c.csv", cut), "Daily x")
+
+
 def test_all_signals(spark, tmp_path):
     for s in catalog.SIGNALS:
         write(tmp_path / f"{s.file}_fips.csv", SIGNAL)

@@ -77,6 +77,27 @@ def test_range_stats_drop_unnamed_and_invalid(spark):
     assert rows == {(3, "A", 2.0), (3, "other name", 3.0)}
 
 
+def test_county_under_two_names(spark):
+    """Each name has its own bracket, however far apart the values lie."""
+    rows = [("s", 1001, DAY, DAY, float(v), "x", "A") for v in range(1, 101)]
+    rows += [("s", 1001, DAY, DAY, float(v), "x", "B") for v in range(1000, 1101)]
+    got = {r.area_name: r.median for r in stats.range_stats(signal(spark, rows)).collect()}
+    assert got == {"A": 50.5, "B": 1050.0}
+
+
+def test_statistics_agree_on_codes(spark):
+    """Rows without a code have no group; a code of any length has one."""
+    df = signal(spark, [("s", None, DAY, DAY, 1.0, "x", "A"), ("s", 123456, DAY, DAY, 2.0, "x", "B")])
+    for name in stats.STATISTICS:
+        assert [(r.fips, r.value) for r in stats.range_stat(df, name).collect()] == [(123456, 2.0)]
+
+
+def test_latest_hashes_before_it_sorts(spark, plan):
+    df = signal(spark, [("s", 1, DAY, DAY, 1.0, "x", "A")])
+    text = plan(stats.latest(df))
+    assert "max(time_value" in text and "HashAggregate" in text
+
+
 @pytest.mark.parametrize("name,want", [("Max", 9.0), ("Min", 1.0), ("Average", 4.0), ("Median", 3.0)])
 def test_range_stat_by_name(spark, name, want):
     df = signal(spark, [("s", 3, DAY, DAY, v, "x", "A") for v in (1.0, 2.0, 4.0, 9.0)])

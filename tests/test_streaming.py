@@ -1,3 +1,5 @@
+import pytest
+
 from countylens.operators import words
 from countylens.sources import readers
 from countylens.streaming import word_counts
@@ -29,11 +31,26 @@ def test_counts_grow_with_the_folder(spark, tmp_path):
 
 def test_repeated_batch_is_counted_once(spark, tmp_path):
     """A batch that is run again, as after a lost driver, replaces what it wrote."""
+    texts, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    write(tmp_path / "in" / "FL.txt", "stay home\n")
+    for attempt in range(2):
+        word_counts.start(word_counts.read_stream(spark, texts), out, checkpoint).awaitTermination()
+        for done in (tmp_path / "checkpoint" / "commits").glob("*0*"):
+            done.unlink()  # as if the driver had been lost before it noted the batch as done
+    assert table(word_counts.counts_so_far(spark, out)) == {("FL", "stay"): 1, ("FL", "home"): 1}
+    word_counts.compact(spark, out, str(tmp_path / "all"))
+    assert spark.read.parquet(str(tmp_path / "all")).count() == 2
+
+
+def test_other_checkpoint_is_refused(spark, tmp_path):
+    """A query that would count all files anew does not touch another's counts."""
     texts, out = str(tmp_path / "in"), str(tmp_path / "out")
     write(tmp_path / "in" / "FL.txt", "stay home\n")
-    for attempt in ("a", "b"):
+    word_counts.start(word_counts.read_stream(spark, texts), out,
+                      str(tmp_path / "a")).awaitTermination()
+    with pytest.raises(Exception, match="another query"):
         word_counts.start(word_counts.read_stream(spark, texts), out,
-                          str(tmp_path / attempt)).awaitTermination()
+                          str(tmp_path / "b")).awaitTermination()
     assert table(word_counts.counts_so_far(spark, out)) == {("FL", "stay"): 1, ("FL", "home"): 1}
 
 

@@ -93,3 +93,12 @@ def test_rules_may_be_applied_chunk_by_chunk(spark):
     con.executemany("INSERT INTO given VALUES (?)", [(t,) for t in texts_])
     for text, want in con.execute(f"SELECT text, {tokens_sql('text')} FROM given").fetchall():
         assert got[text] == want, text
+
+
+@pytest.mark.parametrize("text,want", [
+    ("'tis so", ["'t", "is", "so"]), ("'Twas late", ["'t", "was", "late"]),
+    ("D'ye know", ["d", "'ye", "know"]), ("more'n one", ["more", "'n", "one"]),
+    ("cannot gonna", ["can", "not", "gon", "na"]), ("don't we'll", ["do", "n't", "we", "'ll"]),
+    ("wait.... end.", ["wait", "....", "end", "."]), ("at 10:30, yes", ["at", "10:30", ",", "yes"])])
+def test_fixed_tokens(one, text, want):
+    assert one(texts.tokens(F.lit(text))) == want

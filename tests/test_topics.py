@@ -1,5 +1,8 @@
 import pytest
 
+from pyspark.sql import functions as F
+
+from countylens.catalog import STOPWORDS
 from countylens.operators import topics
 
 
@@ -12,7 +15,7 @@ def docs(spark):
 
 
 def test_bag(docs):
-    bag = {(r.doc_id, r.word): r["count"] for r in topics.bag_of_words(docs).collect()}
+    bag = {(r.doc_id, r.word): r["count"] for r in topics.bag_of_words(docs, stopwords=STOPWORDS).collect()}
     assert bag[1, "goals"] == 3 and bag[0, "bread"] == 3
     assert (1, "while") not in bag
 
@@ -20,19 +23,19 @@ def test_bag(docs):
 def test_normalize(docs, spark):
     lexicon = spark.createDataFrame([("goals", "goal"), ("scored", "score"), ("scoring", "score")],
                                     "word string, base string")
-    bag = topics.normalize(topics.bag_of_words(docs), lexicon)
+    bag = topics.normalize(topics.bag_of_words(docs, stopwords=STOPWORDS), lexicon)
     rows = {(r.doc_id, r.word): r["count"] for r in bag.collect()}
     assert rows[1, "goal"] == 3 and rows[1, "score"] == 2 and rows[1, "teams"] == 2
 
 
 def test_vocabulary(docs):
-    rows = topics.vocabulary(topics.bag_of_words(docs)).orderBy("word_id").collect()
+    rows = topics.vocabulary(topics.bag_of_words(docs, stopwords=STOPWORDS)).orderBy("word_id").collect()
     assert [(r.word_id, r.word, r["count"]) for r in rows[:3]] == [
         (0, "bread", 30), (1, "goals", 30), (2, "butter", 20)]
 
 
 def test_model_finds_both_topics(docs):
-    bag = topics.bag_of_words(docs)
+    bag = topics.bag_of_words(docs, stopwords=STOPWORDS)
     terms, vectors = topics.vectorize(bag)
     assert vectors.count() == 20
     model = topics.fit(vectors, topics=2, passes=20, seed=1)
@@ -43,3 +46,13 @@ def test_model_finds_both_topics(docs):
     assert sorted(tops.values()) == ["bread", "goals"]
     line = topics.topic_lines(described).orderBy("topic").first().words
     assert line.count(" + ") == 2 and '*"' in line
+
+
+def test_no_word_is_left_out(spark):
+    """More distinct words than any usual bound on a vocabulary."""
+    n = 262_144 + 1_000
+    bag = spark.range(n).select((F.col("id") % 7).alias("doc_id"),
+                                F.concat(F.lit("word"), F.col("id").cast("string")).alias("word"),
+                                F.lit(1).cast("bigint").alias("count"))
+    model, _ = topics.vectorize(bag)
+    assert len(model.vocabulary) == n

@@ -3,6 +3,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from countylens import catalog
 from countylens.operators import words
 
@@ -30,7 +32,7 @@ def test_ranks_within_states(counts, head):
     for state in ("FL", "CA", "NY"):
         for word, rank in ranked([(w, n) for s, w, n in data if s == state]).items():
             want[state, word] = rank
-    got = {(r.state, r.word): r["rank"] for r in words.word_ranks(df, ("state",), head).collect()}
+    got = {(r.state, r.word): r["rank"] for r in words.word_ranks(df, ("state",), (head, head + 2), 3).collect()}
     assert got == want
 
 
@@ -104,3 +106,14 @@ def test_stopword_table(spark):
     stop = spark.createDataFrame([(w,) for w in catalog.STOPWORDS], "word string")
     assert [r.word for r in words.drop_stopwords(found, stop).collect()
             if r.word] == ["home"]
+
+
+def test_large_runs_are_split(spark):
+    """Words of one count and one beginning are numbered in many small runs."""
+    n = 30_000
+    counts = spark.range(n).select(F.format_string("and%09d", "id").alias("word"),
+                                   F.lit(1).cast("bigint").alias("count"))
+    ranked = words.word_ranks(counts, most=1_000)
+    rows = ranked.agg(F.count_if(F.col("rank") == F.substring("word", 4, 9).cast("bigint") + 1)
+                      .alias("right"), F.count("*").alias("all")).first()
+    assert rows == (n, n)
