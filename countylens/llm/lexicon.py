@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from countylens.llm import common as c
 
@@ -330,5 +330,5 @@ def decoded(rows: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
             out = [" ".join(own.tokens[i] for i in x or ()) for x in part.column(ids).to_pylist()]
             yield part.append_column("decoded", pa.array(out, pa.string()))
 
-    from pyspark.sql.types import StringType
-    return rows.mapInArrow(texts, rows.schema.add("decoded", StringType()))
+    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
+    return rows.mapInArrow(texts, schema)

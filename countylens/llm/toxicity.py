@@ -83,11 +83,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, features: int =
         F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         return None
-    odds = (F.log((F.col("toxic") + 0.5) / (kinds[True] + 1.0))
-            - F.log((F.col("clean") + 0.5) / (kinds[False] + 1.0)))
-    z = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    # Signed root of the likelihood ratio of how the texts with a feature divide over the two kinds.
+    share = kinds[True] / (kinds[True] + kinds[False])
+    seen = F.col("toxic") + F.col("clean")
+    ratio = 2 * sum(F.when(n > 0, n * F.log(n / (seen * part))).otherwise(0.0) for n, part in (
+        (F.col("toxic"), share), (F.col("clean"), 1 - share)))
+    z = F.sqrt(F.greatest(ratio, F.lit(0.0))) * F.signum(F.col("toxic") - seen * share)
     chosen = (feature_scores(rows).filter(F.col("toxic") + F.col("clean") >= 4)
-              .withColumn("z", z).filter(F.abs("z") > 3)
+              .withColumn("z", z).filter(F.abs("z") > 4)
               .orderBy(F.desc(F.abs("z")), "feature").limit(features).toPandas())
     place = {f: k for k, f in enumerate(chosen.feature)}
     marks = set(chosen.feature[chosen.z > 6]) or set(chosen.feature[chosen.z > 0])
