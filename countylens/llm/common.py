@@ -138,6 +138,15 @@ def key_columns(doc_id: str, text: str) -> dict[str, Column]:
             "__t": F.when(F.col(doc_id).isNull(), tag + F.lit(1 << 32)).otherwise(tag)}
 
 
+def by_position(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """The rows under column names that clash with nothing, and what the given columns are now called.
+
+    `toDF(*docs.columns)` gives the names back.
+    """
+    now = [f"c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*now), [now[docs.columns.index(n)] for n in names]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows per Arrow batch than Spark's own limit, as texts can be long; a lower one stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

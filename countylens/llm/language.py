@@ -38,7 +38,7 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 def letters(text: str | None) -> str:
     """Lower-case words between single blanks; empty if there is no letter."""
     words = NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
-    return f" {words} " if words else ""
+    return f" {words} " if any(map(str.isalpha, words)) else ""
 
 
 def codes(text: str) -> np.ndarray:
@@ -223,11 +223,13 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: Column |
           order: int = ORDER, most: int = MOST, calibrate: int = 20_000):
     """(model, slope, offset) from rows with a language; None if there is none.
 
-    A sixteenth of the rows by `key` is kept for calibration, of which `calibrate` rows at most are used.
+    A sixteenth of the rows by `key` is kept for calibration, of which the `calibrate` rows of lowest hash at
+    most are used.
     """
+    h = F.xxhash64(key if key is not None else F.col(text))
     known = docs.filter(F.col(lang).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"),
-        (F.pmod(F.xxhash64(key if key is not None else F.col(text)), F.lit(16)) == 0).alias("aside"))
+        F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h"),
+        (F.pmod(h, F.lit(16)) == 0).alias("aside"))
     counts = c.staged(gram_counts(known.filter("not aside").select("lang", "text"), order), "grams")
     if counts.isEmpty():
         return None
@@ -238,16 +240,17 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: Column |
     def margins(parts):
         def rows():
             for part in parts:
-                for name, x in zip(*(col.to_pylist() for col in part.columns)):
+                for name, x, at in zip(*(col.to_pylist() for col in part.columns)):
                     points = codes(letters(x))
                     if len(points):
                         bits = sent.value.entropy(points)
-                        yield (margin(bits, len(points)),
+                        yield (at, margin(bits, len(points)),
                                sent.value.langs[int(bits.argmin())] == name)
-        yield from c.batches({"m": pa.float64(), "right": pa.bool_()}, rows())
+        yield from c.batches({"h": pa.int64(), "m": pa.float64(), "right": pa.bool_()}, rows())
 
-    tried = known.filter("aside").select("lang", "text").mapInArrow(
-        margins, "m double, right boolean").limit(calibrate).toPandas()
+    tried = known.filter("aside").select("lang", "text", "h").mapInArrow(
+        margins, "h bigint, m double, right boolean").orderBy("h", "m", "right").limit(
+        calibrate).toPandas()
     tried = tried[np.isfinite(tried.m)]
     slope, offset = logistic(tried.m.to_numpy(float), tried.right.to_numpy(bool))
     return model, slope, offset

@@ -179,12 +179,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
           weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 1
           ) -> DataFrame:
-    """The documents, each as often as the mix takes it. Columns stay."""
-    names = docs.columns
-    copies = c.staged(mix(docs, doc_id, text, source, weights, share, most, seed).select(
+    """The documents, each as often as the mix takes it. Columns stay, whatever their names."""
+    plain, (i, x, s) = c.by_position(docs, doc_id, text, source)
+    copies = c.staged(mix(plain, i, x, s, weights, share, most, seed).select(
         "__i", "__t", F.coalesce(F.sha2("source", 256), F.lit("")).alias("__s"), "copies")
         .filter("copies > 0").distinct(), "copies")
-    keyed = docs.withColumns(c.key_columns(doc_id, text)).withColumn(
-        "__s", F.coalesce(F.sha2(source, 256), F.lit("")))
+    keyed = plain.withColumns(c.key_columns(i, x)).withColumn(
+        "__s", F.coalesce(F.sha2(s, 256), F.lit("")))
     taken = keyed.join(copies, ["__i", "__t", "__s"])
-    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
+        *plain.columns).toDF(*docs.columns)

@@ -258,8 +258,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
           threshold: float = 0.8) -> DataFrame:
-    """The documents, one of each component: the one with the smallest id. Columns stay."""
-    found = near_duplicates(docs, doc_id, text, words, threshold)
+    """The documents, one of each component: the one with the smallest id. Columns stay, whatever their names."""
+    plain, (i, x) = c.by_position(docs, doc_id, text)
+    found = near_duplicates(plain, i, x, words, threshold)
     gone = c.staged(found.filter(~F.col("kept")).select("__i", "__t").distinct(), "gone")
-    keyed = docs.withColumns(c.key_columns(doc_id, text))
-    return keyed.join(gone, ["__i", "__t"], "left_anti").select(*docs.columns)
+    keyed = plain.withColumns(c.key_columns(i, x))
+    return keyed.join(gone, ["__i", "__t"], "left_anti").select(*plain.columns).toDF(*docs.columns)

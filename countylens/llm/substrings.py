@@ -157,9 +157,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20,
           gram: int = 8) -> DataFrame:
-    """The documents with every factor cut out of the text; other columns and rows stay."""
-    names = docs.columns
-    parsed = factors(docs, doc_id, text, window, gram)
+    """The documents with every factor cut out of the text; other columns, whatever their names, and rows stay."""
+    plain, (i, words) = c.by_position(docs, doc_id, text)
+    parsed = factors(plain, i, words, window, gram)
 
     def cut(x, hits, firsts):
         import pandas as pd
@@ -171,7 +171,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     untouched = F.col("__hits").isNull()
     return parsed.select(*[
         F.when(untouched, F.col(n)).otherwise(cut_(F.col(n), F.col("__hits"), F.col("__firsts")))
-        .alias(n) if n == text else F.col(n) for n in names])
+        .alias(n) if n == words else F.col(n) for n in plain.columns]).toDF(*docs.columns)
 
 
 def _lists(values) -> list:

@@ -201,10 +201,8 @@ def graded(docs: DataFrame, model: Severity | None, keep: tuple[str, ...] = ("do
 
 
 def clean(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """The documents that are not toxic. Columns stay."""
-    names = docs.columns
-    model = fit(docs, labels, most)
-    renamed = docs.toDF(*[f"__{k}" for k in range(len(names))]) if names else docs
-    at = names.index("text")
-    kept = graded(renamed, model, tuple(renamed.columns), f"__{at}").filter("not toxic")
-    return kept.select(*[F.col(f"__{k}").alias(n) for k, n in enumerate(names)])
+    """The documents that are not toxic. Columns stay, whatever their names."""
+    plain, (i, x) = c.by_position(docs, "doc_id", "text")
+    model = fit(plain.select(F.col(i).alias("doc_id"), F.col(x).alias("text")), labels, most)
+    kept = graded(plain, model, tuple(plain.columns), x).filter("not toxic")
+    return kept.select(*plain.columns).toDF(*docs.columns)
