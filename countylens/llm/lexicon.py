@@ -3,23 +3,24 @@
 The frequent words of the corpus, counted over all documents, are encoded once and compiled into a
 minimal acyclic automaton: states with equal futures are one, so suffixes are shared. Every edge
 carries how many words are passed over by taking it; their sum along a word is the word's place in
-the list of id outputs. The automaton is a few flat arrays in one file, which Spark ships to every
-executor and the workers memory-map. A batch's distinct words walk it together, one byte a step.
+the list of id outputs. The automaton is a few flat arrays in one file of the shared folder, which
+Spark ships to every executor and the workers memory-map. A batch's distinct words walk it together, one byte a step.
 Words that it lacks are merged exactly, by the ranks of the vocabulary file.
 
 Texts are prepared as the tokenizer file says: its special strings first, then NFC, lower case
 character by character, and the split into contractions, letters, single digits and the rest. A null
-or empty text has no ids and decodes to the empty text. `LEXICON_WORDS` bounds the automaton, and
-`CACHE_WORDS` what a worker remembers; neither changes a result.
+or empty text has no ids and decodes to the empty text. `LEXICON_WORDS` words of at most
+`LEXICON_LETTERS` letters bound the automaton, and `CACHE_WORDS` what a worker remembers; none of them
+changes a result.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
+import io
 import json
 import os
-import tempfile
 import unicodedata
 import uuid
 
@@ -30,8 +31,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from countylens.llm import common as c
+from countylens.session import shared_dir
 
 LEXICON_WORDS = 1 << 16
+LEXICON_LETTERS = 64
 CACHE_WORDS = 500_000
 END = "</w>"
 PIECES = regex.compile(
@@ -162,10 +165,12 @@ class Lexicon:
             "ends": np.cumsum([len(x) for x in ids]).astype(np.int64),
             "ids": np.array([i for x in ids for i in x], np.int32)})
 
-    def save(self, path: str) -> None:
-        with open(path, "wb") as file:
-            for name in ("keys", "targets", "passed", "root", "accepts", "ends", "ids"):
-                np.save(file, self.__dict__[name])
+    def written(self) -> bytes:
+        """The arrays, one after another."""
+        file = io.BytesIO()
+        for name in ("keys", "targets", "passed", "root", "accepts", "ends", "ids"):
+            np.save(file, self.__dict__[name])
+        return file.getvalue()
 
     @classmethod
     def load(cls, path: str) -> Lexicon:
@@ -212,7 +217,8 @@ class Lexicon:
 
 def frequent_words(docs: DataFrame, vocabulary: str, text: str = "text",
                    most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all documents, ties by word: at most `most` reach the driver."""
+    """The most frequent words of all documents, ties by word: at most `most` of at most
+    LEXICON_LETTERS letters reach the driver."""
     from collections import Counter
 
     def counts(parts):
@@ -224,7 +230,8 @@ def frequent_words(docs: DataFrame, vocabulary: str, text: str = "text",
             yield from c.batches({"word": pa.string(), "n": pa.int64()},
                                  ((w, n) for w, n in found.items() if w not in own.specials), 20000)
 
-    top = (docs.select(text).mapInArrow(counts, "word string, n bigint").groupBy("word")
+    top = (docs.select(text).mapInArrow(counts, "word string, n bigint")
+           .filter(F.length("word") <= LEXICON_LETTERS).groupBy("word")
            .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most))
     return [r.word for r in top.select("word").collect()]
 
@@ -232,10 +239,15 @@ def frequent_words(docs: DataFrame, vocabulary: str, text: str = "text",
 def compiled(spark: SparkSession, words: list[str], vocabulary: str) -> str:
     """Compiles the words and ships the file; its name among the files of the session."""
     own = Vocabulary(vocabulary)
-    path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), f"lexicon-{uuid.uuid4().hex}.bin")
-    Lexicon.build({w.encode(): own.merge(w) for w in words}).save(path)
-    spark.sparkContext.addFile(path)
-    return os.path.basename(path)
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{shared_dir(spark).rstrip('/')}/{name}")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    file = store.create(path)
+    file.write(bytearray(Lexicon.build({w.encode(): own.merge(w) for w in words}).written()))
+    file.close()
+    spark.sparkContext.addFile(store.makeQualified(path).toString())
+    return name
 
 
 @functools.lru_cache(2)
