@@ -21,6 +21,7 @@ import heapq
 import io
 import json
 import os
+import re
 import unicodedata
 import uuid
 
@@ -38,7 +39,10 @@ LEXICON_LETTERS = 64
 CACHE_WORDS = 500_000
 END = "</w>"
 PIECES = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+    r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+#: The same for lower-case ASCII.
+PLAIN_PIECES = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\x20\x09-\x0Da-z0-9]+")
+SHORT, NO_MERGE = 64, (1 << 40, -1)
 
 
 def byte_letters() -> list[str]:
@@ -60,12 +64,37 @@ class Vocabulary:
         self.tokens = {i: t for t, i in self.ids.items()} | {
             i: t for t, i in self.specials.items()}
         self.letters = byte_letters()
+        self.pairs = {(self.ids[a], self.ids[b]): (r, self.ids[a + b])
+                      for (a, b), r in self.ranks.items()}
+        self.inner = [self.ids[s] for s in self.letters]
+        self.final = [self.ids[s + END] for s in self.letters]
         self.split = regex.compile("|".join(regex.escape(s) for s in sorted(
             self.specials, key=len, reverse=True)) or r"(?!)")
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: again and again the adjacent pair of lowest rank, leftmost first."""
-        parts = [self.letters[b] for b in word.encode()]
+        raw = word.encode()
+        return self._merge_short(raw) if len(raw) <= SHORT else self._merge_long(raw)
+
+    def _merge_short(self, raw: bytes) -> list[int]:
+        """Looks through all pairs at each step."""
+        parts = [self.inner[b] for b in raw]
+        parts[-1] = self.final[raw[-1]]
+        get = self.pairs.get
+        pairs = [get(pair, NO_MERGE) for pair in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) is not NO_MERGE:
+            k = pairs.index(best)
+            parts[k:k + 2] = [best[1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = get((parts[k - 1], best[1]), NO_MERGE)
+            if k < len(pairs):
+                pairs[k] = get((best[1], parts[k + 1]), NO_MERGE)
+        return parts
+
+    def _merge_long(self, raw: bytes) -> list[int]:
+        """Keeps the pairs in a heap, so that time stays near linear."""
+        parts = [self.letters[b] for b in raw]
         parts[-1] += END
         follow = [*range(1, len(parts)), -1]
         before = [*range(-1, len(parts) - 1)]
@@ -90,10 +119,11 @@ class Vocabulary:
 
 def prepared(text: str) -> list[str]:
     """Words of a text without special strings."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
-        if "Σ" in text:  # lower() alone would look at its neighbours
-            text = text.replace("Σ", "σ")
+    if text.isascii():
+        return PLAIN_PIECES.findall(text.lower())
+    text = unicodedata.normalize("NFC", text)
+    if "Σ" in text:  # lower() alone would look at its neighbours
+        text = text.replace("Σ", "σ")
     return PIECES.findall(text.lower())
 
 

@@ -57,6 +57,20 @@ def test_automaton_is_minimal_and_exact(tmp_path):
     assert lexicon.Lexicon.build({}).find([b"a"]).tolist() == [-1]
 
 
+def test_long_and_short_words_merge_alike():
+    own, pick = lexicon.Vocabulary(VOCABULARY), random.Random(12)
+    words = ["".join(pick.choices("etaoinshrdé日a", k=pick.randrange(1, 40))) for _ in range(2000)]
+    for raw in [w.encode()[:lexicon.SHORT] for w in words] + [b"a" * 64, b"ab" * 32]:
+        assert own._merge_short(raw) == own._merge_long(raw)
+
+
+def test_ascii_is_cut_alike():
+    pick = random.Random(13)
+    for _ in range(3000):
+        text = "".join(pick.choices("aZ'stdvelm019 !-\t\n\x00\x1c\x1f\x7f", k=30))
+        assert lexicon.prepared(text) == lexicon.PIECES.findall(text.lower())
+
+
 def test_counts_are_greedy(docs):
     own = lexicon.Vocabulary(VOCABULARY)
 
