@@ -12,8 +12,8 @@ Rejection is calibrated: a sixteenth of the learning documents is not counted an
 between the best two languages, times the square root of the characters, relates to being right. The score is
 that probability, and `accepted` is whether it reaches ACCEPT; the language is named either way.
 
-Bound: per language the MOST most frequent n-grams enter the model, found from the counts of counts, ties
-all in or all out. Memory follows the number of languages, not of documents.
+Bound: per language at most the MOST most frequent n-grams enter the model, found from how many there are of each
+count, nearly equal counts all in or all out. Memory follows the number of languages, not of documents.
 
 A null text or one without a letter is `und` with score 0. Documents without a language, or held out,
 teach nothing. If nothing can be learned, everything is `und`.
@@ -88,19 +88,6 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
         "lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Per language the n-grams above the least count that leaves at most `most`."""
-    spread = counts.groupBy("lang", F.least("n", F.lit(100_000)).alias("n")).agg(
-        F.count("*").alias("grams")).toPandas()  # bounded: counts of counts up to 100,000
-    floor = {}
-    for lang, rows in spread.groupby("lang"):
-        rows = rows.sort_values("n", ascending=False)
-        fits = rows[rows.grams.cumsum() <= most]
-        floor[lang] = int(fits.n.min()) if len(fits) else 100_001
-    least = counts.sparkSession.createDataFrame(list(floor.items()), "lang string, floor bigint")
-    return counts.join(F.broadcast(least), "lang").filter("n >= floor").drop("floor")
-
-
 class Model:
     """Sorted hashes and log probabilities per language, by order."""
 
@@ -233,7 +220,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: Column |
     counts = c.staged(gram_counts(known.filter("not aside").select("lang", "text"), order), "grams")
     if counts.isEmpty():
         return None
-    kept = most_frequent(counts, most)
+    kept = c.most_frequent(counts, most, "lang")
     model = Model(kept.toPandas(), order)  # at most `most` rows per language
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -247,7 +247,7 @@ class Lexicon:
 
 def frequent_words(docs: DataFrame, vocabulary: str, text: str = "text",
                    most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all documents, ties by word: at most `most` of at most
+    """The most frequent words of all documents that occur twice or more: at most `most` of at most
     LEXICON_LETTERS letters reach the driver."""
     from collections import Counter
 
@@ -260,10 +260,11 @@ def frequent_words(docs: DataFrame, vocabulary: str, text: str = "text",
             yield from c.batches({"word": pa.string(), "n": pa.int64()},
                                  ((w, n) for w, n in found.items() if w not in own.specials), 20000)
 
-    top = (docs.select(text).mapInArrow(counts, "word string, n bigint")
-           .filter(F.length("word") <= LEXICON_LETTERS).groupBy("word")
-           .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most))
-    return [r.word for r in top.select("word").collect()]
+    counted = c.staged(
+        docs.select(text).mapInArrow(counts, "word string, n bigint")
+        .filter(F.length("word") <= LEXICON_LETTERS).groupBy("word")
+        .agg(F.sum("n").alias("n")).filter("n > 1").withColumn("all", F.lit(0)), "words")
+    return [r.word for r in c.most_frequent(counted, most, "all").select("word").collect()]
 
 
 def compiled(spark: SparkSession, words: list[str], vocabulary: str) -> str:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from countylens.llm import fingerprints, language, lexicon, quality, token_counts, toxicity
+from countylens.llm import common, fingerprints, language, lexicon, quality, token_counts, toxicity
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -57,6 +57,18 @@ def test_automaton_is_minimal_and_exact(tmp_path):
     assert lexicon.Lexicon.build({}).find([b"a"]).tolist() == [-1]
 
 
+def test_most_frequent(spark):
+    """Far above any count of the given tables the bound holds as well."""
+    rows = [(g, k, scale * (k + 1)) for g, scale in (("a", 1), ("b", 10 ** 9)) for k in range(100)]
+    counts = spark.createDataFrame(rows + [("c", k, 7) for k in range(50)], "g string, k int, n bigint")
+    got = {}
+    for r in common.most_frequent(counts, 30, "g").collect():
+        got.setdefault(r.g, []).append(r.k)
+    assert set(got) == {"a", "b"} and all(
+        28 <= len(ks) <= 30 and sorted(ks) == list(range(100 - len(ks), 100)) for ks in got.values())
+    assert common.most_frequent(counts.filter("false"), 30, "g").count() == 0
+
+
 def test_long_and_short_words_merge_alike():
     own, pick = lexicon.Vocabulary(VOCABULARY), random.Random(12)
     words = ["".join(pick.choices("etaoinshrdé日a", k=pick.randrange(1, 40))) for _ in range(2000)]
