@@ -92,8 +92,6 @@ _STATE = "source string, __i bigint, __t bigint, size bigint, x double, node big
 
 def _round(rows: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
     """Reduces every (node, source) of the rows; x is 0, 1, or of the one that is left a fraction."""
-    spark = rows.sparkSession
-
     def reduce(parts):
         held = None
         for part in parts:
@@ -127,8 +125,8 @@ def _round(rows: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
             x[half] = np.round(x[half])
         return t.set_column(t.schema.get_field_index("x"), "x", pa.array(x))
 
-    dealt = rows.repartition(c.width(spark), "node", "source").sortWithinPartitions(
-        "node", "source", "__i", "__t")
+    # No number of partitions: adaptive execution joins small ones, so the upper levels write few files.
+    dealt = rows.repartition("node", "source").sortWithinPartitions("node", "source", "__i", "__t")
     return dealt.mapInArrow(reduce, _STATE)
 
 
