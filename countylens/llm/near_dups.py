@@ -8,15 +8,18 @@ the region: where labels are sparse a short prefix is enough, where they are cro
 prefixes are longer. A one-bit sketch of 128 hash values sorts out unlikely pairs, by a margin of five
 standard deviations; what passes is confirmed on the full sets, exactly.
 
-Dense regions. Of a node's passing neighbours the nearest `NEAREST` are taken in each tree, and the
-leader (lowest node) of its region. Leaders are confirmed first; neighbours are then confirmed
-only where they would join two components, so the work in a group of near copies grows with its
-members, not with their square.
-
-Recall. Two nodes at the threshold share a prefix of four values in a tree with probability 0.41; that
-all 24 trees miss them has probability 3e-6. A link can also be passed over where both ends lie in
-regions with more than `REACH` closer neighbours in every tree; then other links of these regions
-connect them.
+Dense regions. At first, of a node's passing neighbours the nearest `NEAREST` of `REACH` are taken in each
+tree, and the leader (lowest node) of its region. Leaders are confirmed first; neighbours are then
+confirmed only where they would join two components, so the work in a group of near copies grows with its
+members, not with their square. A region where a node stopped before it had seen all nodes in front
+of it is open. Open regions that by then are one component are done. In the others all pairs from
+different components are compared, on full sets where the sketch lets them pass: the nodes are dealt into
+blocks, and a task takes two blocks. Only this part can grow with a square, of nodes that are alike
+but not linked.
+
+Recall. Every two nodes of different components that share a prefix of four values in a tree are compared.
+Two nodes at the threshold share one in a tree with probability 0.41; that all 24 trees miss them has
+probability 3e-6.
 
 Rows with equal id and text count as one document. Null ids never become a component id unless all ids
 of a component are null. Texts with no word have an empty set, no link, and their own id.
@@ -26,12 +29,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from countylens.llm import common as c
 from countylens.llm.components import components
 
 TREES, DEPTH, LEAST, REACH, NEAREST = 24, 8, 4, 64, 3
+BLOCK, BLOCK_MEMBERS = 256, 1 << 18
 _HASHES = TREES * DEPTH
 _FACTOR = (c.numbers(11, _HASHES) | np.uint64(1))[:, None]
 _SHIFT = c.numbers(12, _HASHES)[:, None]
@@ -82,16 +86,23 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         "doc_id bigint, __i bigint, __t bigint, n int, node binary, bits binary, labels binary")
 
 
+def most_apart(threshold: float) -> int:
+    """Bits of the sketch in which linked nodes differ at most, five standard deviations above the mean."""
+    agree = (1 + threshold) / 2
+    return int(128 * (1 - agree + 5 * np.sqrt(agree * (1 - agree) / 128)))
+
+
 def neighbours(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, late) of nodes near in a tree; late 0: with the leader of a region, else 1.
 
-    Reads (tree, label, node, n, bits), dealt by ranges of the order and sorted, in a stream.
+    Rows with late 2 name the open regions in `a`. Reads (tree, label, node, n, bits), dealt by ranges of
+    the order and sorted, in a stream.
     """
-    agree = (1 + threshold) / 2
-    far = int(128 * (1 - agree + 5 * np.sqrt(agree * (1 - agree) / 128)))
+    far = most_apart(threshold)
 
     def pairs(parts):
         held: list[np.ndarray] | None = None
+        cut = False  # whether the open region has rows before the held ones
         for part in parts:
             new = _arrays(part)
             if not len(new[0]):
@@ -99,19 +110,21 @@ def neighbours(rows: DataFrame, threshold: float) -> DataFrame:
             if held is not None:
                 new = [np.concatenate([h, x]) for h, x in zip(held, new)]
             kept = 0 if held is None else len(held[0])
-            yield from _near(new, kept, threshold, far)
+            yield from _near(new, kept, threshold, far, cut)
             # The leader of the open region goes along in front of the last rows.
             head = new[0]
             start = int(np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))[-1])
             lead = start + int(np.argmin(new[1][start:]))
             tail = np.arange(max(start, len(head) - REACH), len(head))
+            cut = start < len(head) - REACH or cut and not start
             keep = np.unique(np.append(tail, lead))
             held = [x[keep] for x in new]
 
-    def _near(rows_, kept, limit, most):
+    def _near(rows_, kept, limit, most, cut):
         head, node, n, low, high = rows_
         at = np.arange(len(head))
         taken = np.zeros(len(head), np.int32)
+        seen = np.zeros(len(head), np.int32)  # rows in front that it has looked at
         found_a, found_b, late = [], [], []
         begin = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
         order = np.lexsort((node, np.repeat(np.arange(len(begin)),
@@ -139,6 +152,13 @@ def neighbours(rows: DataFrame, threshold: float) -> DataFrame:
             found_a.append(ok - j)
             found_b.append(ok)
             late.append(np.ones(len(ok), np.int32))
+            seen[live] = j
+        before = at - np.repeat(begin, np.diff(begin, append=len(head)))
+        open_ = before > seen
+        open_[:kept] = False
+        if cut:
+            open_[kept:] |= head[kept:] == head[0]
+        yield _open(head[open_])
         a, b, z = (np.concatenate(x) for x in (found_a, found_b, late))
         names = node.tolist()
         for s in range(0, len(a), 5000):
@@ -156,6 +176,20 @@ def neighbours(rows: DataFrame, threshold: float) -> DataFrame:
             .groupBy("a", "b").agg(F.min("late").alias("late")))
 
 
+def region(tree, labels) -> Column:
+    """The name of a node's region in a tree."""
+    return F.concat(F.substring(labels, tree * (2 * DEPTH) + 1, F.lit(2 * LEAST)),
+                    F.unhex(F.lpad(F.hex(tree), 2, "0")))
+
+
+def _open(heads: np.ndarray) -> pa.RecordBatch:
+    """Regions, once each, as rows of `neighbours`."""
+    names = [x[:2 * LEAST] + x[15:] for x in {h.tobytes() for h in heads}]
+    return pa.record_batch({"a": pa.array(names, pa.binary()),
+                            "b": pa.array([b""] * len(names), pa.binary()),
+                            "late": pa.array([2] * len(names), pa.int32())})
+
+
 def _arrays(part: pa.RecordBatch) -> list[np.ndarray]:
     """Region prefix, node, set size and the halves of the sketch."""
     tree, label, node, n, bits = part.columns
@@ -169,6 +203,11 @@ def _arrays(part: pa.RecordBatch) -> list[np.ndarray]:
     return [head.view("V16").ravel(), names, np.asarray(n), sketch[:, 0], sketch[:, 1]]
 
 
+def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose full sets are alike enough."""
     percent = round(100 * threshold)
@@ -178,9 +217,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             a, b, x, y = (part.column(n).to_pylist() for n in ("a", "b", "x", "y"))
             keep = []
             for p, q in zip(x, y):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+                keep.append(alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent))
             yield pa.record_batch({"a": pa.array([v for v, k in zip(a, keep) if k], pa.binary()),
                                    "b": pa.array([v for v, k in zip(b, keep) if k], pa.binary())})
 
@@ -205,6 +242,89 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                         "node binary, members binary").dropDuplicates(["node"]))
 
 
+def mixed(signed: DataFrame, open_: DataFrame, comps: DataFrame) -> DataFrame:
+    """(region, node, comp, major, minors, majors) of the open regions with more than one component.
+
+    major: whether the node is of the largest component there; minors and majors: blocks of the others and of it.
+    """
+    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: region(t, F.col("labels")))
+    at = (signed.filter("node is not null").select("node", "n", F.explode(trees).alias("region"))
+          .join(open_, "region", "left_semi").distinct())
+    at = c.staged(at.join(comps, "node", "left").select(
+        "region", "node", "n", F.coalesce("comp", "node").alias("comp")), "open")
+    spread = at.groupBy("region", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    most = F.max(F.struct("m", "n", "comp"))
+    sizes = spread.groupBy("region").agg(
+        F.count("*").alias("kinds"), F.sum("m").alias("m"), F.sum("n").alias("n"), most.alias("top"))
+
+    def blocks(m, n):
+        return F.ceil(F.greatest(m / BLOCK, n / BLOCK_MEMBERS)).cast("int")
+
+    sizes = sizes.filter("kinds > 1").select(
+        "region", F.col("top.comp").alias("top"), blocks(F.col("top.m"), F.col("top.n")).alias("majors"),
+        blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("minors"))
+    return c.staged(at.join(sizes, "region").select(
+        "region", "node", "comp", (F.col("comp") == F.col("top")).alias("major"), "minors", "majors"),
+        "mixed")
+
+
+def remaining(rows: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different components in the regions that `mixed` gives, enough to join all.
+
+    Reads (node, n, bits, labels) and (node, members). A pair is left to the first tree in which it shares
+    a region; if that region is not open, the pair has been compared.
+    """
+    percent, far = round(100 * threshold), most_apart(threshold)
+
+    def compared(key, table):
+        tree, p, q = key[0].as_py()[-1], key[1].as_py(), key[2].as_py()
+        block, n = (np.asarray(table.column(x)) for x in ("block", "n"))
+        names, comp, members = (table.column(x).to_pylist() for x in ("node", "comp", "members"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, 2)
+        heads = np.frombuffer(b"".join(table.column("labels").to_pylist()), np.uint64).reshape(
+            len(n), TREES, -1)[:, :tree, 0]
+        label = np.unique(np.array(comp, object), return_inverse=True)[1]
+        second = np.flatnonzero(block == q)
+        a, b = [], []
+        for i in np.flatnonzero(block == p):
+            j = second[second > i] if p == q else second
+            j = j[(label[j] != label[i])
+                  & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))]
+            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= far]
+            j = j[~(heads[j] == heads[i]).any(axis=1)]
+            for k in j:
+                if label[k] != label[i] and alike(np.frombuffer(members[i], np.uint64),
+                                                  np.frombuffer(members[k], np.uint64), percent):
+                    label[label == label[k]] = label[i]
+                    a.append(min(names[i], names[k]))
+                    b.append(max(names[i], names[k]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    block = F.when(F.col("major"), F.col("minors") + F.pmod(F.xxhash64("node"), "majors")).otherwise(
+        F.pmod(F.xxhash64("node"), "minors"))
+    last = F.when(F.col("major"), F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1
+    dealt = rows.select("region", "node", "comp", block.cast("int").alias("block"), F.explode(
+        F.sequence(F.lit(0), last)).alias("other"))
+    return (dealt.join(nodes, "node").join(sets, "node")
+            .withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
+            .groupBy("region", "p", "q").applyInArrow(compared, "a binary, b binary").distinct())
+
+
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, comp) once further links (a, b) are added."""
+    if links.isEmpty():
+        return comps
+    side = comps.select(F.col("node").alias("a"), F.col("comp").alias("p"))
+    other = comps.select(F.col("node").alias("b"), F.col("comp").alias("q"))
+    tops = components(links.join(side, "a", "left").join(other, "b", "left").select(
+        F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")))
+    tops = tops.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    inside = comps.join(tops, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    alone = tops.join(comps.select(F.col("node").alias("comp")), "comp", "left_anti").select(
+        F.col("comp").alias("node"), F.col("top").alias("comp"))
+    return c.staged(inside.unionByName(alone), "labels")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
                     threshold: float = 0.8) -> DataFrame:
     """doc_id, keys `__i`, `__t`, n_shingles, component_id and kept, a row per row of docs."""
@@ -220,7 +340,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "at.tree", "at.label", "node", "n", "bits")
     pairs = c.staged(neighbours(rows, threshold), "pairs")
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = pairs.filter("late < 2").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     lows = signed.filter("node is not null").groupBy("node").agg(
         F.min(F.struct((F.col("__t") >= 1 << 32).alias("late"), "__i", "__t")).alias("low"))
     lows = c.staged(lows.select("node", "low.late", "low.__i", "low.__t"), "lows")
@@ -234,15 +354,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_ = (pairs.filter("late = 1").join(side, "a", "left").join(other, "b", "left")
              .filter(~F.coalesce("p", "a").eqNullSafe(F.coalesce("q", "b"))).select("a", "b"))
     more = c.staged(confirmed(open_, sets, threshold), "links")
-    if not more.isEmpty():
-        joined = components(more.join(side, "a", "left").join(other, "b", "left").select(
-            F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")))
-        joined = joined.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        inside = comps.join(joined, "comp", "left").select(
-            "node", F.coalesce("top", "comp").alias("comp"))
-        alone = joined.join(comps.select(F.col("node").alias("comp")), "comp", "left_anti").select(
-            F.col("comp").alias("node"), F.col("top").alias("comp"))
-        comps = c.staged(inside.unionByName(alone), "labels")
+    comps = joined(comps, more)
+
+    open_ = c.staged(pairs.filter("late = 2").select(F.col("a").alias("region")), "regions")
+    rest = mixed(signed, open_, comps)
+    if not rest.isEmpty():
+        names = c.staged(rest.select("node").distinct(), "names")
+        lacking = lows.join(names, "node", "left_semi").join(
+            sets.select("node"), "node", "left_anti").select("node", "__i", "__t")
+        sets = sets.unionByName(c.staged(full_sets(keyed, lacking, words), "sets"))
+        plain = signed.select("node", "n", "bits", "labels").join(
+            names, "node", "left_semi").dropDuplicates(["node"])
+        comps = joined(comps, c.staged(remaining(rest, plain, sets, threshold), "links"))
 
     placed = c.staged(lows.join(comps, "node", "left").select(
         "node", F.coalesce("comp", "node").alias("comp"),

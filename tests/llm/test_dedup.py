@@ -139,6 +139,31 @@ def test_borderline_links_are_found(spark):
     assert found.filter("kept").count() == 60
 
 
+def test_templated_family_is_as_brute_force(spark):
+    """Members are 0.77 to 0.79 alike, hardly ever linked; some have one partner just above 0.8."""
+    pick, base = random.Random(31), [f"w{k}" for k in range(500)]
+
+    def changed(words, n):
+        words = list(words)
+        for k in pick.sample(range(len(words)), n):
+            words[k] = f"y{pick.randrange(10 ** 9)}"
+        return words
+
+    family = [changed(base, pick.randrange(31, 33)) for _ in range(300)]
+    family += [changed(x, 54) for x in family[:60]]
+    sets = [set(x) for x in family]
+    links = [(a, b) for b in range(len(sets)) for a in range(b)
+             if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = list(range(len(sets)))
+    for _ in want:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(family)],
+                               "doc_id bigint, text string")
+    found = near_dups.near_duplicates(df, words=1)
+    assert [r.component_id for r in found.orderBy("doc_id").collect()] == want
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert substrings.digest(empty).count() == 0
