@@ -12,7 +12,7 @@ Dense regions. At first, of a node's passing neighbours the nearest `NEAREST` of
 tree, and the leader (lowest node) of its region. Leaders are confirmed first; neighbours are then
 confirmed only where they would join two components, so the work in a group of near copies grows with its
 members, not with their square. A region where a node stopped before it had seen all nodes in front
-of it is open. Open regions that by then are one component are done. In the others all pairs from
+of it is open, and so is one at either end of a range of the order, as it may be cut there. Open regions that by then are one component are done. In the others all pairs from
 different components are compared, on full sets where the sketch lets them pass: the nodes are dealt into
 blocks, and a task takes two blocks. Only this part can grow with a square, of nodes that are alike
 but not linked.
@@ -110,6 +110,8 @@ def neighbours(rows: DataFrame, threshold: float) -> DataFrame:
             if held is not None:
                 new = [np.concatenate([h, x]) for h, x in zip(held, new)]
             kept = 0 if held is None else len(held[0])
+            if held is None:
+                yield _open(new[0][:1])  # it may have begun in the range before
             yield from _near(new, kept, threshold, far, cut)
             # The leader of the open region goes along in front of the last rows.
             head = new[0]
@@ -119,6 +121,8 @@ def neighbours(rows: DataFrame, threshold: float) -> DataFrame:
             cut = start < len(head) - REACH or cut and not start
             keep = np.unique(np.append(tail, lead))
             held = [x[keep] for x in new]
+        if held is not None:
+            yield _open(held[0][-1:])  # it may go on in the range behind
 
     def _near(rows_, kept, limit, most, cut):
         head, node, n, low, high = rows_

@@ -164,6 +164,14 @@ def test_templated_family_is_as_brute_force(spark):
     assert [r.component_id for r in found.orderBy("doc_id").collect()] == want
 
 
+def test_regions_cut_by_ranges_are_open(spark):
+    """Three nodes of one region, dealt to different ranges: all pairs are found, or the region is open."""
+    rows = [(0, bytes(8) + bytes([k] * 8), bytes([k] * 16), 10, bytes(16)) for k in range(3)]
+    df = spark.createDataFrame(rows, "tree int, label binary, node binary, n int, bits binary")
+    found = near_dups.neighbours(df, 0.8).collect()
+    assert sum(r.late < 2 for r in found) == 3 or bytes(9) in {bytes(r.a) for r in found if r.late == 2}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert substrings.digest(empty).count() == 0
