@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from countylens.llm import (
-    chat, fingerprints, language, lexicon, mixing, near_dups, quality, substrings, token_counts,
-    toxicity,
+    chat, divergence, filter_audit, fingerprints, language, lexicon, mixing, near_dups, quality, simhash,
+    substrings, token_counts, toxicity,
 )
 from countylens.llm.common import small_batches
 
@@ -83,10 +83,24 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return lexicon.encoded(_table(spark, folder, "documents"), VOCABULARY, digests=True)
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(_table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents")).select(
+        "doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix, op2_token_counts, op3_fingerprints, op4_substring_dedup, op5_language_id,
-        op6_near_dups, op7_chat, op8_toxicity, op9_quality, op10_bpe)
+        op6_near_dups, op7_chat, op8_toxicity, op9_quality, op10_bpe, op11_source_divergence,
+        op12_filter_audit, op13_simhash)
 } | {"pipeline": corpus_pipeline.run}
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -134,6 +148,60 @@ x AS (SELECT conv_id, count(*) AS n_turns,
   FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
   sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM x""",
+    "op11_source_divergence": """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+t AS (SELECT r, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, (SELECT count(*) FROM kept k WHERE k.lang = g.lang) AS v,
+    (SELECT coalesce(sum(n), 0) FROM kept k WHERE k.lang = g.lang) AS total FROM (SELECT DISTINCT lang FROM d) g),
+cells AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (SELECT g.lang, g.source, v, langs.total AS lang_total, coalesce(sum(c.n), 0) AS total
+    FROM (SELECT DISTINCT lang, source FROM d) g JOIN langs USING (lang)
+    LEFT JOIN cells c USING (lang, source) GROUP BY ALL),
+share AS (SELECT grp.lang, grp.source, kept.term, coalesce(cells.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(cells.n, 0) + 5)) // (grp.total + 5 * v) AS p,
+    1 + (1000000000::HUGEINT * (kept.n + 5)) // (lang_total + 5 * v) AS q
+    FROM grp JOIN kept USING (lang) LEFT JOIN cells USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM share a JOIN share b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM share WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked
+WHERE part = 'pair' OR rank <= 50""",
+    "op12_filter_audit": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+    min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+f AS (SELECT r, part,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) IS TRUE AS good,
+    doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) IS TRUE AS toxic,
+    [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+     100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+     regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails FROM w),
+l AS (SELECT * FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) x(c)),
+orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a, l b, l c, l d, l e
+    WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+steps AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS f,
+    list_transform(string_split(filter_order[1:step - 1], ''), lambda x: ascii(x) - 64) AS before
+    FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+kinds AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS hit,
+    step > 1 AND len(list_filter(before, lambda b: fails[b])) > 0 AS gone,
+    len(list_filter(fails, lambda y: y)) = 1 AND fails[f] AS only_this FROM kinds, steps),
+y AS (SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS removed,
+    coalesce(sum(n) FILTER (gone AND hit), 0) AS redundant, coalesce(sum(n) FILTER (only_this), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (NOT gone AND hit AND good), 0) AS good_lost,
+    coalesce(sum(n) FILTER (NOT gone AND hit AND toxic), 0) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+  redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM y""",
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
