@@ -635,18 +635,17 @@ def vocabulary(d: Data) -> DataFrame:
 
 
 @query("SELECT CAST(t AS INTEGER) AS topic, CAST(10 AS BIGINT) AS words, CAST(0 AS BIGINT) AS unknown, "
-       "TRUE AS ranked, TRUE AS falling, TRUE AS within_one FROM range(10) AS r(t)")
+       "TRUE AS ranked, TRUE AS falling, TRUE AS within_one, (SELECT sum(count) FROM bag)::BIGINT AS counted, "
+       "(SELECT count(DISTINCT word) FROM (SELECT coalesce(l.base, b.word) AS word FROM bag b "
+       "LEFT JOIN lexicon l USING (word)))::BIGINT AS known FROM range(10) AS r(t)")
 def topic_model(d: Data) -> DataFrame:
-    """What must hold for any fit: ten words of the vocabulary per topic, by falling weight."""
-    bag = topics.normalize(_bag(d), _lexicon(d)).persist()
-    terms, vectors = topics.vectorize(bag)
-    vectors.persist()
-    model = topics.fit(vectors)
-    vectors.unpersist()
-    bag.unpersist()
-    known = bag.select(F.col("word").alias("w")).distinct()
-    shown = topics.describe(model, terms)
-    rows = shown.join(known, F.col("word") == F.col("w"), "left")
+    """What must hold for any fit: ten words of the vocabulary per topic, by falling weight; all words of the
+    bag have weights, which add up to the words' counts and the priors."""
+    bag = topics.normalize(_bag(d), _lexicon(d))
+    model = topics.fit(bag, passes=4)
+    words_ = model.weights.select(F.col("word").alias("w"))
+    known = words_.count()
+    rows = topics.describe(model).join(words_, F.col("word") == F.col("w"), "left")
     in_order = F.array_sort(F.collect_list(F.struct("rank", "weight")))
     per = rows.groupBy("topic").agg(
         F.count("*").alias("words"), F.count_if(F.col("w").isNull()).alias("unknown"),
@@ -655,7 +654,9 @@ def topic_model(d: Data) -> DataFrame:
         "topic", "words", "unknown",
         (F.col("ranks") == F.sequence(F.lit(1), F.lit(10))).alias("ranked"),
         (F.col("weights") == F.sort_array("weights", False)).alias("falling"),
-        (F.aggregate("weights", F.lit(0.0), lambda a, w: a + w) <= 1.000001).alias("within_one"))
+        (F.aggregate("weights", F.lit(0.0), lambda a, w: a + w) <= 1.000001).alias("within_one"),
+        F.lit(round(sum(model.totals) - known)).cast("bigint").alias("counted"),
+        F.lit(known).cast("bigint").alias("known"))
 
 
 # --- streaming and stored tables ---------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Aggregate expressions on two numeric columns."""
+"""Expressions on numeric columns: aggregates of two, digits of one."""
 
 from __future__ import annotations
 
@@ -18,3 +18,24 @@ def correlation_title(signal: str, measure: str, r: Column) -> Column:
     title = F.concat(F.lit("Correlation between "), F.lit(signal), F.lit(" and "),
                      F.lit(measure), F.lit(": "))
     return F.concat(title, F.when(r.isNull(), "nan").otherwise(F.format_string("%.4f", r)))
+
+
+def digamma(x: Column) -> Column:
+    """The derivative of log gamma, for x > 0: moved up by six, then its asymptotic series."""
+    low = sum((1 / (x + k) for k in range(1, 6)), 1 / x)
+    y = 1 / (x + 6)
+    z = y * y
+    return F.log(x + 6) - y / 2 - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z / 240))) - low
+
+
+def binary_place(x: Column, digits: int) -> Column:
+    """The exponent of a number from 0 on and so many binary digits behind its first one, as a whole
+    number in the same order: equal or greater for greater numbers. For at most 32 digits.
+
+    Where the logarithm of a number just beside a power of two is rounded over it, the exponent is one
+    off, and the digits make up for it but for the last of 52. Powers of two are exact.
+    """
+    exponent = F.least(F.floor(F.log2(x)), F.lit(1023)).cast("double")
+    place = F.floor((exponent + x / F.pow(F.lit(2.0), exponent)) * float(1 << digits))
+    beyond = 1100 << digits  # in front of the least number, or behind the greatest
+    return F.when(x == 0, F.lit(-beyond)).when(x == float("inf"), F.lit(beyond)).otherwise(place)

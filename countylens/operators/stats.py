@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -11,12 +12,11 @@ from countylens.operators import clean
 
 STATISTICS = {"Max": "max", "Min": "min", "Average": "average", "Median": "median"}
 
-# Half width of the slice of ranks looked at closely for a median, and the rank error promised by
-# the sketch that finds it. The slice is ten times wider than the error.
-SLICE = 0.001
-SKETCH_ACCURACY = 10_000
-PARTS = 1024
+# Binary digits behind a value's first one by which values are counted to find a median.
+HEAD, MIDDLE = 4, 20
 COUNTY = ("fips", "area_name")
+# What goes along with the part of a county's values that holds its middle ranks.
+CARRIED = ("before", "lower", "upper", "min", "max", "average")
 
 
 def latest(signal: DataFrame, keys: Sequence[str] = ("fips",)) -> DataFrame:
@@ -64,56 +64,54 @@ def range_stats(signal: DataFrame) -> DataFrame:
     """Min, max, average and exact median of the values per county.
 
     Rows without a code or an area name have no group; a code under two names has two. A median
-    needs order, and one county may hold a third of all rows, so no county is sorted whole: a
-    sketch brackets the middle ranks of every county, and all values outside the bracket fall
-    into one counted slot per side. The bracket is cut into ``PARTS`` parts, whose counts tell
-    which of them hold the median; only the distinct values of those are ordered.
+    needs order, and one county may hold a third of all rows, so no county is sorted whole: values
+    are counted by exponent and the next four binary digits, at most some 35,000 counts a county. The
+    counts tell which heads hold the middle ranks; only values with these heads are read again, each
+    value once and counted, and of them only those that share 16 more digits are put in order. The
+    facts are read twice, and all is exact at any size.
     """
-    rows = _counties(signal)
-    middle = F.array(F.lit(0.5 - SLICE), F.lit(0.5 + SLICE))
-    brackets = (rows.groupBy(*COUNTY)
-                .agg(F.percentile_approx("value", middle, SKETCH_ACCURACY).alias("cut"))
-                .select(*COUNTY, F.col("cut")[0].alias("lo"), F.col("cut")[1].alias("hi")))
-
-    value, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
-    share = F.when(hi > lo, (value - lo) / (hi - lo)).otherwise(0.0)
-    part = F.when(value < lo, -1).when(value > hi, PARTS).otherwise(
-        F.least(F.floor(share * PARTS), F.lit(PARTS - 1))).cast("int")
-    slots = (rows.join(brackets, list(COUNTY))
-             .select(*COUNTY, "value", part.alias("part"),
-                     F.least(F.greatest(value, lo), hi).alias("slot"))
-             .groupBy(*COUNTY, "part", "slot")
-             .agg(F.count("*").alias("n"), F.sum("value").alias("total"),
-                  F.min("value").alias("least"), F.max("value").alias("most")))
-
+    rows = _counties(signal).withColumn("head", measures.binary_place(F.col("value"), HEAD))
+    heads = rows.groupBy(*COUNTY, "head").agg(
+        F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("least"),
+        F.max("value").alias("most"))
     county = Window.partitionBy(*COUNTY)
-    parts = (slots.groupBy(*COUNTY, "part")
-             .agg(F.sum("n").alias("n"), F.sum("total").alias("total"),
-                  F.min("least").alias("least"), F.max("most").alias("most"))
-             .withColumn("upto", F.sum("n").over(county.orderBy("part")))
-             .withColumn("rows", F.sum("n").over(county)))
-    plain = parts.groupBy(*COUNTY).agg(
-        F.min("least").alias("min"), F.max("most").alias("max"),
-        (F.sum("total") / F.sum("n")).alias("average"))
-    lower = F.floor((F.col("rows") + 1) / 2)
-    upper = F.floor((F.col("rows") + 2) / 2)
-    before = F.col("upto") - F.col("n")
-    middle_parts = parts.filter((F.col("upto") >= lower) & (before < upper)).select(
-        *COUNTY, "part", before.alias("before"), lower.alias("lower"), upper.alias("upper"))
-    inside = slots.select(*COUNTY, "part", "slot", "n").join(middle_parts, [*COUNTY, "part"])
-    in_order = Window.partitionBy(*COUNTY, "part").orderBy("slot")
-    ranked = inside.withColumn("upto", F.col("before") + F.sum("n").over(in_order))
-    medians = ranked.groupBy(*COUNTY).agg(
-        ((F.max(_value_at("lower")) + F.max(_value_at("upper"))) / 2).alias("median"))
-    return plain.join(medians, list(COUNTY)).select(*COUNTY, "min", "max", "average", "median")
-
-
-def _value_at(rank: str) -> Column:
-    """The slot's value where it covers the rank. A rank outside the bracket ends the job."""
-    covers = (F.col("upto") >= F.col(rank)) & (F.col("upto") - F.col("n") < F.col(rank))
-    value = F.when(F.col("part").between(0, PARTS - 1), F.col("slot")).otherwise(
-        F.raise_error(F.lit("median outside its bracket")).cast("double"))
-    return F.when(covers, value)
+    total = F.sum("n").over(county)
+    heads = heads.select(
+        *COUNTY, "head", "n", F.lit(0).cast("bigint").alias("before"), F.floor((total + 1) / 2).alias("lower"),
+        F.floor((total + 2) / 2).alias("upper"), F.min("least").over(county).alias("min"),
+        F.max("most").over(county).alias("max"), (F.sum("total").over(county) / total).alias("average"))
+    values = _within(rows, _holding(heads, COUNTY, "head"), [*COUNTY, "head"]).groupBy(
+        *COUNTY, "head", *CARRIED, "value").agg(F.count("*").alias("n"))
+    values = values.withColumn("middle", measures.binary_place(F.col("value"), MIDDLE))
+    # What is read of the values is the same in both uses, so that they are made once.
+    middles = values.groupBy(*COUNTY, "head", *CARRIED, "middle").agg(
+        F.sum("n").alias("n"), F.max("value").alias("most"))
+    chosen = _holding(middles.filter(F.col("most") >= 0), [*COUNTY, "head"], "middle")
+    last = _within(values.select(*COUNTY, "head", "middle", "value", "n"), chosen, [*COUNTY, "head", "middle"])
+    ends = _holding(last, [*COUNTY, "head", "middle"], "value")
+    # What is left covers both ranks, so its ends are the values at them.
+    low, high = F.min("value"), F.max("value")
+    return ends.groupBy(*COUNTY, "min", "max", "average").agg(
+        F.when(low == high, low).otherwise((low + high) / 2).alias("median"))
+
+
+def _within(rows: DataFrame, slots: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows in chosen slots, with what the slots carry."""
+    named = slots.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return rows.join(named, same).drop(*[f"_{k}" for k in keys])
+
+
+def _holding(counts: DataFrame, group: Sequence[str], slot: str) -> DataFrame:
+    """The slots of each group, in order, that hold the rank ``lower`` or ``upper``.
+
+    ``before`` comes in as the number of values in front of the group, and goes out as the number of
+    those in front of the slot.
+    """
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*group).orderBy(slot))
+    found = counts.withColumn("_upto", upto)
+    holds = (F.col("_upto") >= F.col("lower")) & (F.col("_upto") - F.col("n") < F.col("upper"))
+    return found.filter(holds).withColumn("before", F.col("_upto") - F.col("n")).select(*group, slot, *CARRIED)
 
 
 def range_stat(signal: DataFrame, statistic: str = "Max") -> DataFrame:

@@ -1,19 +1,32 @@
-"""Bags of words and topic models."""
+"""Bags of words and topic models.
+
+A model is a table: per word its weight in every topic. It is fitted by variational Bayes with symmetric
+priors of one over the number of topics. In each step the words of some texts are joined with the
+weights; per text, the shares of its topics are settled (numpy on the rows of some texts at a time); what each
+word adds to each topic is summed up per task, then per word. Neither words nor weights are ever
+brought together: the driver sees one number per topic.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from countylens.functions import texts
+from countylens import storage
+from countylens.functions import measures, texts
 from countylens.operators import words
 
 TOPICS = 10
 PASSES = 10
 TERMS_SHOWN = 10
+# Sweeps over a text's words, and the mean change of its weights below which it has settled.
+SWEEPS, SETTLED = 50, 1e-3
+# Words of a task that are handled at a time, beyond those of its last text.
+HELD = 1 << 16
 
 
 def bag_of_words(docs: DataFrame, doc: str = "doc_id", text: str = "text",
@@ -43,50 +56,221 @@ def vocabulary(bag: DataFrame) -> DataFrame:
     return words.word_ranks(totals).select((F.col("rank") - 1).alias("word_id"), "word", "count")
 
 
-def word_lists(bag: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """A list of words per text, repeated as often as they occur."""
-    repeated = F.array_repeat("word", F.col("count").cast("int"))
-    return bag.groupBy(doc).agg(F.flatten(F.collect_list(repeated)).alias("words"))
+def numbered(bag: DataFrame, terms: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The bag by numbers of a vocabulary; words outside it are left out."""
+    return bag.join(terms.select("word", "word_id"), "word").select(doc, "word_id", "count")
+
+
+def vectors(bag: DataFrame, terms: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """A text's words as two lists, numbers in order and counts. Texts without known words are left out."""
+    pairs = F.array_sort(F.collect_list(F.struct("word_id", "count")))
+    held = numbered(bag, terms, doc).groupBy(doc).agg(pairs.alias("pairs"))
+    return held.select(doc, F.col("pairs.word_id").alias("word_ids"), F.col("pairs.count").alias("counts"))
+
+
+@dataclass(frozen=True)
+class TopicModel:
+    """``weights`` holds (word_id, word, weights), a weight per topic; ``totals`` their sums over all words."""
+
+    weights: DataFrame
+    totals: tuple[float, ...]
+
+    @property
+    def topics(self) -> int:
+        return len(self.totals)
+
+    def save(self, path: str) -> None:
+        self.weights.write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str) -> TopicModel:
+    weights = spark.read.parquet(path)
+    return TopicModel(weights, _totals(weights))
+
+
+def fit(bag: DataFrame, doc: str = "doc_id", topics: int = TOPICS, passes: int = PASSES, batch: float = 1.0,
+        seed: int = 0) -> TopicModel:
+    """Topics of the texts of a bag (doc, word, count).
+
+    ``batch`` is the share of texts per step: with 1 every step sees all texts and replaces the weights;
+    with less, texts are dealt into batches by a hash, and a step moves the weights towards what its
+    batch says, early steps most. All texts are seen ``passes`` times. Draws are hashes of word and
+    topic, so a fit does not depend on how rows lie. A step's weights are written out and the ones
+    before are removed, so the plan does not grow and a lost executor costs a part of one step.
+    """
+    spark = bag.sparkSession
+    folder = storage.work_folder(spark, "topics")
+    terms = storage.staged(vocabulary(bag), f"{folder}/vocabulary")
+    batches = max(1, round(1 / batch))
+    dealt = F.pmod(F.xxhash64(F.lit(seed), F.col(doc)), F.lit(batches)).cast("int")
+    rows = storage.staged(numbered(bag, terms, doc).withColumn("batch", dealt), f"{folder}/bag")
+    weights = storage.staged(terms.select("word_id", _start("word", topics, seed).alias("weights")),
+                             f"{folder}/weights-0")
+    prior = 1 / topics
+    for step in range(passes * batches):
+        at, before = step % batches, f"{folder}/weights-{step}"
+        part = rows.filter(F.col("batch") == at) if batches > 1 else rows
+        found = additions(part.select(doc, "word_id", "count"), _factors(weights, _totals(weights)), topics, doc)
+        pace = 1.0 if batches == 1 else (1 + step) ** -0.5
+        joined = weights.join(found, "word_id", "left")
+        said = [prior + batches * F.coalesce(F.col(f"_t{k}"), F.lit(0.0)) for k in range(topics)]
+        moved = F.array(*[(1 - pace) * F.col("weights")[k] + pace * said[k] for k in range(topics)])
+        weights = storage.staged(joined.select("word_id", moved.alias("weights")), f"{folder}/weights-{step + 1}")
+        storage.remove(spark, before)
+    storage.remove(spark, f"{folder}/bag")
+    named = storage.staged(terms.select("word_id", "word").join(weights, "word_id"), f"{folder}/model")
+    return TopicModel(named, _totals(named, topics))
+
+
+def additions(rows: DataFrame, factors: DataFrame, topics: int, doc: str = "doc_id") -> DataFrame:
+    """What each word of the texts adds to each topic: (word_id, _t0, _t1, ...)."""
+    def found(parts):
+        for _, _, ids, count, factor, starts in _texts_of(parts, topics):
+            share, _ = _settled(count, factor, starts, topics)
+            per_row = count[:, None] * share
+            seen, code = np.unique(ids, return_inverse=True)
+            order = np.argsort(code, kind="stable")
+            sums = np.add.reduceat(per_row[order], np.searchsorted(code[order], np.arange(len(seen))))
+            yield pa.record_batch({"word_id": pa.array(seen)} | {
+                f"_t{k}": pa.array(sums[:, k]) for k in range(topics)})
+
+    kinds = ", ".join(f"_t{k} double" for k in range(topics))
+    return _by_text(rows, factors, doc).mapInArrow(found, f"word_id bigint, {kinds}").groupBy("word_id").agg(
+        *[F.sum(f"_t{k}").alias(f"_t{k}") for k in range(topics)])
+
+
+def assign(bag: DataFrame, model: TopicModel, doc: str = "doc_id") -> DataFrame:
+    """The share of every topic in every text: (doc, topic, share). Texts without known words are left out."""
+    topics = model.topics
+    factors = _factors(model.weights, model.totals)
+
+    def found(parts):
+        for docs, spans, _, count, factor, starts in _texts_of(parts, topics):
+            _, gamma = _settled(count, factor, starts, topics)
+            gamma = gamma / gamma.sum(axis=1, keepdims=True)
+            n = len(spans)
+            yield pa.record_batch({
+                doc: docs.take(pa.array(np.repeat(spans, topics))), "topic": pa.array(np.tile(np.arange(topics, dtype=np.int32), n)),
+                "share": pa.array(gamma.ravel())})
+
+    kind = dict(bag.dtypes)[doc]
+    rows = numbered(bag, model.weights, doc)
+    return _by_text(rows, factors, doc).mapInArrow(found, f"`{doc}` {kind}, topic int, share double")
+
+
+def _by_text(rows: DataFrame, factors: DataFrame, doc: str) -> DataFrame:
+    """Rows of a bag with their words' factors, each text in one task and in one piece."""
+    joined = rows.join(factors, "word_id").select(doc, "word_id", "count", "factors")
+    return joined.repartition(doc).sortWithinPartitions(doc, "word_id")
+
+
+def _texts_of(parts, topics: int):
+    """Whole texts, some at a time: their names, the first rows and places of the texts, word numbers,
+    counts and factors."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in parts:
+        if not part.num_rows:
+            continue
+        held.append(part)
+        size += part.num_rows
+        if size < HELD:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        code = _codes(table)
+        last = int(np.flatnonzero(np.diff(code, prepend=code[0] - 1))[-1])
+        if last:  # the last text may go on
+            yield _arrays(table.slice(0, last), topics)
+        held = table.slice(last).to_batches()
+        size = 0 if last else -table.num_rows  # one text alone: wait for as much again
+    if held:
+        yield _arrays(pa.Table.from_batches(held).combine_chunks(), topics)
+
+
+def _codes(table: pa.Table) -> np.ndarray:
+    names = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+    return np.asarray(names.indices).astype(np.int64)
+
+
+def _arrays(table: pa.Table, topics: int):
+    code = _codes(table)
+    starts = np.flatnonzero(np.diff(code, prepend=code[0] - 1))
+    factor = table.column("factors").combine_chunks().flatten().to_numpy().reshape(-1, topics)
+    return (table.column(0).combine_chunks(), starts, table.column("word_id").to_numpy(),
+            table.column("count").to_numpy().astype(float), factor, starts)
+
+
+def _settled(count: np.ndarray, factor: np.ndarray, starts: np.ndarray, topics: int
+             ) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the topics in every word, and the weights of the topics in every text, once they settle."""
+    prior, n = 1 / topics, len(starts)
+    sizes = np.diff(starts, append=len(count))
+    total = np.add.reduceat(count, starts)
+    gamma = np.repeat((prior + total / topics)[:, None], topics, axis=1)
+    live = np.arange(n)
+    row, of = np.arange(len(count)), np.repeat(np.arange(n), sizes)
+    for _ in range(SWEEPS):
+        theta = np.exp(digamma(gamma[live]))
+        f = factor[row]
+        mass = np.einsum("ij,ij->i", theta[of], f) + 1e-100
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        new = prior + theta * np.add.reduceat((count[row] / mass)[:, None] * f, first)
+        moving = np.abs(new - gamma[live]).mean(axis=1) > SETTLED
+        gamma[live] = new
+        if not moving.any():
+            break
+        rows_moving = moving[of]
+        row, of = row[rows_moving], np.cumsum(moving)[of[rows_moving]] - 1
+        live = live[moving]
+    share = np.exp(digamma(gamma))[np.repeat(np.arange(n), sizes)] * factor
+    return share / (share.sum(axis=1, keepdims=True) + 1e-100), gamma
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """The derivative of log gamma, for x > 0: moved up by six, then its asymptotic series."""
+    low = sum(1 / (x + k) for k in range(6))
+    y = 1 / (x + 6)
+    z = y * y
+    return np.log(x + 6) - y / 2 - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z / 240))) - low
+
+
+def _start(word: str, topics: int, seed: int) -> Column:
+    """First weights: normal draws of mean 1 and deviation 0.1 from hashes of word and topic."""
+    def uniform(k: int, draw: int) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), F.lit(draw), F.col(word)), 11)
+        return (bits.cast("double") + 0.5) / float(1 << 53)
+
+    return F.array(*[1 + 0.1 * F.sqrt(-2 * F.log(uniform(k, 0))) * F.cos(2 * np.pi * uniform(k, 1))
+                     for k in range(topics)])
+
+
+def _factors(weights: DataFrame, totals: Iterable[float]) -> DataFrame:
+    """How much each topic favours a word: the exponent of its expected log weight."""
+    whole = digamma(np.maximum(list(totals), 1e-100))
+    return weights.select("word_id", F.array(*[
+        F.exp(measures.digamma(F.col("weights")[k]) - float(t)) for k, t in enumerate(whole)]).alias("factors"))
+
+
+def _totals(weights: DataFrame, topics: int | None = None) -> tuple[float, ...]:
+    if topics is None:
+        found = weights.select(F.size("weights").alias("n")).first()
+        topics = found.n if found else 0
+    if not topics:
+        return ()
+    sums = weights.agg(*[F.sum(F.col("weights")[k]).alias(f"_t{k}") for k in range(topics)]).first()
+    return tuple(s or 0.0 for s in sums)
 
 
-def vectorize(bag: DataFrame, doc: str = "doc_id") -> tuple[CountVectorizerModel, DataFrame]:
-    """Count vectors over all words of the bag.
+def describe(model: TopicModel, shown: int = TERMS_SHOWN) -> DataFrame:
+    """The heaviest words of every topic with their shares; equal ones in word order.
 
-    The vocabulary is part of the model, as are the weights of all its words in every topic. Where
-    that is too much, cut the bag first, by a stopword table or a least count.
+    Each task sends at most ``shown`` words per topic.
     """
-    lists = word_lists(bag, doc)
-    distinct = max(1, bag.select("word").distinct().count())
-    model = CountVectorizer(inputCol="words", outputCol="features", vocabSize=distinct).fit(lists)
-    return model, model.transform(lists).select(doc, "features")
-
-
-def fit(vectors: DataFrame, topics: int = TOPICS, passes: int = PASSES, batch: float = 1.0,
-        seed: int = 0) -> LDAModel:
-    """Topics of the texts. ``batch`` is the share of texts per step; all are seen ``passes``
-    times on average. Priors are symmetric and kept; early steps weigh most."""
-    steps = max(1, round(passes / batch))
-    return LDA(k=topics, maxIter=steps, optimizer="online", subsamplingRate=batch, seed=seed,
-               learningOffset=1.0, learningDecay=0.5, optimizeDocConcentration=False,
-               featuresCol="features").fit(vectors)
-
-
-def describe(model: LDAModel, terms: CountVectorizerModel, shown: int = TERMS_SHOWN) -> DataFrame:
-    """The heaviest words of every topic with their weights."""
-    ranked = model.describeTopics(shown).select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("position", "term"))
-    index = model_words(ranked.sparkSession, terms, [
-        i for t in model.describeTopics(shown).collect() for i in t.termIndices])
-    return (ranked.join(index, F.col("term.termIndices") == F.col("word_id"))
-            .select("topic", (F.col("position") + 1).alias("rank"), "word",
-                    F.col("term.termWeights").alias("weight")))
-
-
-def model_words(spark, terms: CountVectorizerModel, ids: Iterable[int]) -> DataFrame:
-    """The words of some ids."""
-    named = terms.vocabulary
-    return spark.createDataFrame([(i, named[i]) for i in sorted(set(ids))],
-                                 "word_id int, word string")
+    share = F.transform("weights", lambda w, k: w / F.array(*map(F.lit, model.totals))[k])
+    per_topic = model.weights.select("word", F.posexplode(share).alias("topic", "weight"))
+    heaviest = Window.partitionBy("topic").orderBy(F.desc("weight"), "word")
+    return (per_topic.withColumn("rank", F.row_number().over(heaviest)).filter(F.col("rank") <= shown)
+            .select("topic", "rank", "word", "weight"))
 
 
 def topic_lines(described: DataFrame) -> DataFrame:

@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from countylens import catalog
+from countylens import catalog, storage
 from countylens.functions import texts
 
 
-# First letters that name a run of words, and the size beyond which a run takes the next number.
-HEADS, RUN = (3, 8, 16), 10_000
-
-
 def words(df: DataFrame, text: str = "text", keep: Sequence[str] = (),
           stopwords: Iterable[str] = catalog.STOPWORDS) -> DataFrame:
     """One row per counted word, next to the kept columns."""
@@ -48,49 +44,31 @@ def top_words_by(counts: DataFrame, by: Sequence[str] = ("state",),
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def word_ranks(counts: DataFrame, by: Sequence[str] = (), heads: Sequence[int] = HEADS,
-               most: int = RUN) -> DataFrame:
+def word_ranks(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The rank of every word by count, equal counts in word order, within each group or overall.
 
-    A group's vocabulary is never brought together. Words are numbered inside small runs that are
-    neighbours in the final order (same count, same first letters). A run of more than ``most`` words
-    is split by further letters. Running sums over the sizes of the runs of a count, and over the
-    sizes of the counts, say how many words come before each run; overall, a count is one row there.
-    Runs and counts are named by structs, which are never null, so a missing group counts as one,
-    and all uses of the counts share one shuffle.
+    A group's vocabulary is never brought together. Words are dealt by sampled ranges of the final order,
+    (group, count falling, word), whatever counts or letters they share, sorted once, numbered in
+    place and written out. Each group's stretch of a range then needs only the number of its words in the ranges
+    before: a small table, a row per range and group in it. The words are written so that all uses
+    see the same ranges. Groups are named by structs, which are never null, so a missing group counts
+    as one.
     """
-    headed = counts.withColumn("_run", _run(by, heads[0]))
-    for longer in heads[1:]:
-        crowded = (headed.groupBy("_run").agg(F.count("*").alias("_size"))
-                   .filter(F.col("_size") > most).select("_run", F.lit(True).alias("_split")))
-        headed = (headed.join(crowded, "_run", "left")
-                  .withColumn("_run", F.when(F.col("_split"), _run(by, longer))
-                              .otherwise(F.col("_run"))).drop("_split"))
-    of_run = [F.col("_run").getField(c) for c in (*by, "count")]
-    sizes = (headed.groupBy("_run").agg(F.count("*").alias("_size"))
-             .withColumn("_level", F.struct(*[c.alias(n) for c, n in zip(of_run, (*by, "count"))])))
-    in_level = _earlier("_size", Window.partitionBy("_level").orderBy("_run._head"))
-    levels = sizes.groupBy("_level").agg(F.sum("_size").alias("_words"))
-    of_level = [F.col("_level").getField(c) for c in by]
-    above = _earlier("_words", Window.partitionBy(*of_level).orderBy(F.desc("_level.count")))
-    before = (sizes.select("_run", "_level", in_level.alias("_in_level"))
-              .join(levels.select("_level", above.alias("_above")), "_level")
-              .select("_run", (F.col("_above") + F.col("_in_level")).alias("_before")))
-    inside = F.row_number().over(Window.partitionBy("_run").orderBy("word"))
-    return (headed.join(before, "_run").withColumn("rank", F.col("_before") + inside)
+    order = [*by, F.desc("count"), "word"]
+    folder = storage.work_folder(counts.sparkSession, "ranks")
+    sorted_ = counts.select(*by, "word", "count").repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = storage.staged(sorted_.withColumn("_place", F.monotonically_increasing_id()), folder).withColumn(
+        "_stretch", F.struct(F.shiftright("_place", 33).alias("range"), *by))
+    stretches = placed.groupBy("_stretch").agg(F.count("*").alias("_words"), F.min("_place").alias("_first"))
+    group = F.struct(*[F.col("_stretch").getField(c) for c in by]) if by else F.lit(0)
+    earlier = Window.partitionBy(group).orderBy("_stretch.range").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    before = F.sum("_words").over(earlier) - F.col("_words") - F.col("_first") + 1
+    offsets = stretches.select("_stretch", before.alias("_before"))
+    return (placed.join(offsets, "_stretch").withColumn("rank", F.col("_place") + F.col("_before"))
             .select(*by, "word", "count", "rank"))
 
 
-def _run(by: Sequence[str], letters: int) -> Column:
-    return F.struct(*by, F.col("count"), F.substring("word", 1, letters).alias("_head"))
-
-
-def _earlier(size: str, order: WindowSpec) -> Column:
-    """The sum of all sizes before this one."""
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.sum(size).over(upto) - F.col(size)
-
-
 def shared_top_words(counts: DataFrame, n: int = catalog.TOP_WORDS) -> DataFrame:
     """In how many states' top words each word appears."""
     return (top_words_by(counts, ("state",), n)

@@ -38,6 +38,16 @@ def local_session(cores: str = "8", app: str = "countylens", memory: str = "8g",
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: the one the cluster names, else one in the warehouse."""
+    """The folder all executors see: the one the cluster names, else one in the warehouse.
+
+    On a cluster a warehouse on a local disk is seen by one machine only, and refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(warehouse)
+    local = path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+    if local and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir: the warehouse {warehouse} is a folder of one machine")
+    return f"{warehouse}/work"

@@ -1,27 +1,38 @@
-"""Readers of stored tables, sheets, texts and tweet objects."""
+"""Readers of stored tables, sheets, texts and tweet objects.
+
+CSV columns are known by name. Files of one path may differ in which columns they have and in what order:
+the header of every file is looked at, files with equal headers form a layout, and each layout is one
+scan that finds its columns by position. A file that lacks a column is an error that names it; a file of
+no bytes holds no rows.
+"""
 
 from __future__ import annotations
 
 import csv
+import re
+from collections import defaultdict
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from countylens import catalog, schemas
+from countylens import catalog, schemas, storage
 from countylens.functions import areas, tweets as tweet_fn
 from countylens.operators import clean, indicators, stats
 
 
+# Headers that are read at a time.
+OPEN = 16
+
+
 def read_indexed_csv(spark: SparkSession, path: str | list[str], header: Mapping[str, str],
                      schema: StructType) -> DataFrame:
     """Columns of a CSV by the names in its header, in any order; others are dropped.
 
-    Everything is read as text and converted with ``try_cast``, so a dirty cell is null. A missing
-    column is an error. Several files may differ in the order of their columns.
+    Everything is read as text and converted with ``try_cast``, so a dirty cell is null. Several files,
+    or a folder of them, may differ in their columns; one that lacks a wanted column is an error.
     """
-    if not isinstance(path, str):
-        return _union(read_indexed_csv(spark, p, header, schema) for p in path)
     types = {f.name: f.dataType for f in schema}
     raw = _named_csv(spark, path, header)
     return raw.select(*[
@@ -30,16 +41,41 @@ def read_indexed_csv(spark: SparkSession, path: str | list[str], header: Mapping
         for c in header.values()])
 
 
-def _named_csv(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame:
-    """Columns found by name and renamed, as text."""
-    names = _header(spark, path)
-    missing = [c for c in columns if c not in names]
-    if missing:
-        raise ValueError(f"{path} has no columns {missing}")
-    by_position = StructType([StructField(f"_c{i}", StringType()) for i in range(len(names))])
-    # names are matched here, so the reader is not to compare them with the positions
-    raw = spark.read.schema(by_position).csv(path, header=True, enforceSchema=True)
-    return raw.select(*[F.col(f"_c{names.index(old)}").alias(new) for old, new in columns.items()])
+def _named_csv(spark: SparkSession, path: str | list[str], columns: Mapping[str, str],
+               above: int | None = None) -> DataFrame:
+    """Columns found by name and renamed, as text. With ``above``, the header comes after so many lines,
+    and they and it are left among the rows."""
+    parts = []
+    for names, files in layouts(spark, path, columns, above or 0).items():
+        by_position = StructType([StructField(f"_c{i}", StringType()) for i in range(len(names))])
+        # names are matched here, so the reader is not to compare them with the positions
+        raw = spark.read.schema(by_position).csv(files, header=above is None, enforceSchema=True)
+        parts.append(raw.select(*[F.col(f"_c{names.index(old)}").alias(new) for old, new in columns.items()]))
+    return _union(parts)
+
+
+def layouts(spark: SparkSession, path: str | list[str], columns: Iterable[str], above: int = 0
+            ) -> dict[tuple[str, ...], list[str]]:
+    """The files of a path by their column names, in the line after ``above`` others.
+
+    Of each file the first lines are read, some files at a time; there are few layouts, however many
+    files. A name that comes twice in a header is found at its first place.
+    """
+    found = defaultdict(list)
+    files = storage.data_files(spark.read.text(path))
+    with ThreadPoolExecutor(OPEN) as pool:
+        heads = pool.map(lambda f: storage.first_lines(spark, re.sub(r"\\(.)", r"\1", f), above + 1), files)
+        for file, lines in zip(files, heads):
+            if lines is None:
+                continue
+            names = tuple(next(csv.reader(lines[above:]), ()))
+            missing = [c for c in columns if c not in names]
+            if missing:
+                raise ValueError(f"{file} has no columns {missing} in line {above + 1}")
+            found[names].append(file)
+    if not found:
+        raise ValueError(f"{path} holds no file with a header")
+    return dict(found)
 
 
 def read_state_dim(spark: SparkSession, path: str) -> DataFrame:
@@ -114,14 +150,7 @@ def read_sheet_csv(spark: SparkSession, path: str, columns: Mapping[str, str], p
     ``columns`` maps sheet headers to names; ``key`` is the name of a column that is numeric in
     every data row, which tells data from the lines above it.
     """
-    names = _header(spark, path, preamble)
-    missing = [c for c in columns if c not in names]
-    if missing:
-        raise ValueError(f"{path} has no columns {missing} in line {preamble + 1}")
-    by_position = [f"_c{i}" for i in range(len(names))]
-    raw = spark.read.schema(StructType([StructField(c, StringType()) for c in by_position])).csv(path)
-    chosen = raw.select(*[F.col(by_position[names.index(c)]).alias(new)
-                          for c, new in columns.items()])
+    chosen = _named_csv(spark, path, columns, preamble)
     return chosen.filter(F.trim(F.col(key)).try_cast("double").isNotNull())
 
 
@@ -193,13 +222,6 @@ def _whole(text):
     return F.trim(text).try_cast("double").try_cast("bigint")
 
 
-def _header(spark: SparkSession, path: str, above: int = 0) -> list[str]:
-    """The column names in the line after ``above`` others: a handful of lines, as any CSV reader
-    that knows columns by name must look at."""
-    lines = spark.read.text(path).limit(above + 1).collect()
-    return next(csv.reader([lines[above].value]))
-
-
 def _union(parts: Iterable[DataFrame]) -> DataFrame:
     parts = iter(parts)
     whole = next(parts)

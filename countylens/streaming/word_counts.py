@@ -4,17 +4,27 @@ Counts of each batch are written to a folder of their own, under the id of the q
 added up when read. A batch that runs again after a failure replaces its folder, so nothing is
 counted twice, and no state grows with the vocabulary. A query with a new checkpoint would count
 all files again, so it refuses a folder that holds another query's counts.
+
+Ten batches are merged into one folder, ten such into one of the next level, and so on. A merge writes
+its folder first and then a record of which batches it holds; readers follow the records, so a merge that
+was cut short leaves litter but nothing counted twice, and is done again. A thousand batches are read as
+one folder, and each count is written once per level.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from countylens import storage
 from countylens.operators import words
 from countylens.sources.readers import _file_state
 
 COUNTS = "state string, word string, count bigint"
+# Folders that become one of the next level.
+FOLD = 10
 
 
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,6 +51,7 @@ def start(texts: DataFrame, out: str, checkpoint: str, available_now: bool = Tru
             raise ValueError(f"{out} holds counts of another query: {others}")
         (words.word_counts(batch, by=("state",))
          .write.mode("overwrite").parquet(f"{out}/query={query}/batch={batch_id}"))
+        merge(spark, out, query, batch_id + 1)
 
     trigger = {"availableNow": True} if available_now else {"processingTime": every}
     return (counted.writeStream.foreachBatch(write_batch)
@@ -49,19 +60,71 @@ def start(texts: DataFrame, out: str, checkpoint: str, available_now: bool = Tru
 
 def _queries(spark: SparkSession, out: str) -> list[str]:
     """Ids of the queries that have written counts to a folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    names = [f.getPath().getName() for f in files.listStatus(path)]
-    return [n.removeprefix("query=") for n in names if n.startswith("query=")]
+    return [n.removeprefix("query=") for n in storage.names(spark, out) if n.startswith("query=")]
+
+
+def _merged(spark: SparkSession, out: str, query: str) -> list[tuple[int, int]]:
+    """The recorded merges: the first batch, and the one behind the last."""
+    records = [n for n in storage.names(spark, f"{out}/query={query}/merged") if n.endswith(".json")]
+    return [tuple(map(int, n.removesuffix(".json").split("-"))) for n in records]
+
+
+def _live(spark: SparkSession, out: str, query: str, behind: int | None = None) -> list[tuple[int, int, str]]:
+    """The folders that hold each batch once, in order, with the batches they hold: the largest merges,
+    and the batches in none. With ``behind``, only those that hold no batch from there on."""
+    home = f"{out}/query={query}"
+    units = [(int(n[6:]), int(n[6:]) + 1, None) for n in storage.names(spark, home) if n.startswith("batch=")]
+    units += [(a, b, f"{home}/merged/{a}-{b}.json") for a, b in _merged(spark, out, query)]
+    live, at = [], -1
+    for first, end, record in sorted(units, key=lambda u: (u[0], -u[1])):
+        if first >= at and (behind is None or end <= behind):
+            folder = f"merged/{storage.record(spark, record)['folder']}" if record else f"batch={first}"
+            live.append((first, end, f"{home}/{folder}"))
+            at = end
+    return live
+
+
+def merge(spark: SparkSession, out: str, query: str, behind: int) -> None:
+    """Merge what is whole of the batches before ``behind``, level by level."""
+    size = FOLD
+    while size <= behind:
+        done = _merged(spark, out, query)
+        for first in range(0, behind - size + 1, size):
+            if any(a <= first and b >= first + size for a, b in done):
+                continue
+            parts = [f for a, b, f in _live(spark, out, query, first + size) if a >= first]
+            folder = f"{first}-{first + size}-{uuid.uuid4().hex}"
+            place = f"{out}/query={query}/merged"
+            _added(spark, parts).write.parquet(f"{place}/{folder}")
+            storage.put_record(spark, f"{place}/{first}-{first + size}.json",
+                               {"first": first, "behind": first + size, "folder": folder})
+        size *= FOLD
+
+
+def clean(spark: SparkSession, out: str) -> None:
+    """Remove batches and merges that larger merges hold, and what cut-short merges left. Only safe while
+    no batch is being written and no reader of older folders is at work."""
+    for query in _queries(spark, out):
+        home, live = f"{out}/query={query}", {f for *_, f in _live(spark, out, query)}
+        for name in storage.names(spark, home):
+            if name.startswith("batch=") and f"{home}/{name}" not in live:
+                storage.remove(spark, f"{home}/{name}")
+        for name in storage.names(spark, f"{home}/merged"):
+            if not name.endswith(".json") and f"{home}/merged/{name}" not in live:
+                storage.remove(spark, f"{home}/merged/{name}")
 
 
 def compact(spark: SparkSession, out: str, into: str) -> None:
-    """All counts so far, summed up, in a folder of their own that is read faster."""
+    """All counts so far, summed up, in a folder of their own."""
     counts_so_far(spark, out).write.mode("overwrite").parquet(into)
 
 
 def counts_so_far(spark: SparkSession, out: str) -> DataFrame:
-    stored = spark.read.schema(COUNTS).parquet(out)
-    return stored.groupBy("state", "word").agg(F.sum("count").alias("count"))
+    """Counts of all batches, read from the newest merges and the batches after them."""
+    return _added(spark, [f for q in _queries(spark, out) for *_, f in _live(spark, out, q)])
+
+
+def _added(spark: SparkSession, folders: list[str]) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], COUNTS)
+    return spark.read.schema(COUNTS).parquet(*folders).groupBy("state", "word").agg(F.sum("count").alias("count"))

@@ -53,6 +53,31 @@ def test_columns_go_by_name(spark, tmp_path):
         readers.read_signal(spark, write(tmp_path / "c.csv", cut), "Daily x")
 
 
+def test_files_of_a_folder_have_their_own_headers(spark, tmp_path):
+    """Other columns, order, line ends, marks and packing; every file's rows by name."""
+    import gzip
+
+    write(tmp_path / "in" / "a.csv", SIGNAL)
+    write(tmp_path / "in" / "b [x].csv", "value,extra,Area Name,FIPS,issue,time_value,State Name\n"
+                                       "7.25,q,\"C, D\",2001,2020-11-03,2020-11-01,Alaska\n")
+    (tmp_path / "in" / "c.csv").write_bytes(b"\xef\xbb\xbf" + SIGNAL.replace("1001", "3001").replace("\n", "\r\n").encode())
+    (tmp_path / "in" / "d.csv.gz").write_bytes(gzip.compress(SIGNAL.replace("1001", "4001").encode()))
+    write(tmp_path / "in" / "empty.csv", "")
+    got = readers.read_signal(spark, str(tmp_path / "in"), "Daily x")
+    assert {(r.fips, r.value, r.area_name) for r in got.collect()} >= {
+        (1001, 5.5, "A"), (2001, 7.25, "C, D"), (3001, 5.5, "A"), (4001, 6.5, "A")}
+    assert got.count() == 3 * 3 + 1
+    assert got.filter("fips = 2001").first().time_value == date(2020, 11, 1)
+    assert len(readers.layouts(spark, str(tmp_path / "in"), ["FIPS"])) == 2  # one scan for each
+    both = [str(tmp_path / "in" / n) for n in ("a.csv", "d.csv.gz")]
+    assert readers.read_signal(spark, both, "Daily x").count() == 6
+    write(tmp_path / "in" / "e.csv", "FIPS,value\n1,2\n")
+    with pytest.raises(ValueError, match="e.csv"):
+        readers.read_signal(spark, str(tmp_path / "in"), "Daily x")
+    with pytest.raises(ValueError, match="no file"):
+        readers.read_signal(spark, write(tmp_path / "none.csv", ""), "Daily x")
+
+
 def test_all_signals(spark, tmp_path):
     for s in catalog.SIGNALS:
         write(tmp_path / f"{s.file}_fips.csv", SIGNAL)

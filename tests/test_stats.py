@@ -1,10 +1,13 @@
 import math
 import random
 import statistics
+import struct
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
+from countylens.functions import measures
 from countylens.operators import stats
 
 DAY = date(2020, 11, 1)
@@ -106,10 +109,45 @@ def test_range_stat_by_name(spark, name, want):
         stats.range_stat(df, "Mode")
 
 
-def test_median_sorts_no_county_whole(spark, plan):
-    df = signal(spark, [("s", 3, DAY, DAY, 1.0, "x", "A")])
-    text = plan(stats.range_stats(df))
-    assert "percentile_approx" in text and "slot" in text and " median(" not in text
+def test_median_sorts_no_county_whole(spark, plan, tmp_path):
+    """No sketch and no object aggregation; the facts are read twice, whatever is made of them."""
+    signal(spark, [("s", 3, DAY, DAY, v, "x", "A") for v in (1.0, 2.0)]).write.parquet(f"{tmp_path}/s")
+    found = stats.range_stats(spark.read.parquet(f"{tmp_path}/s"))
+    assert [r.median for r in found.collect()] == [1.5]
+    text = plan(found).split("Initial Plan")[0]
+    assert "isFinalPlan=true" in text
+    assert "ObjectHashAggregate" not in text and "percentile" not in text and " median(" not in text
+    assert text.count("FileScan parquet") <= 2
+
+
+def test_median_of_extremes(spark):
+    """Negative numbers do not count; zeros, tiny, huge and infinite ones do."""
+    tiny = 5e-324
+    sets = {1001: [0.0, tiny, 2 * tiny], 1003: [0.0, -0.0, 0.0, tiny], 1005: [1e308, math.inf, 1.0],
+            1007: [math.inf, math.inf], 1009: [1 + k * 2.0 ** -52 for k in range(9)],
+            1011: [2.2250738585072014e-308, 2.225073858507201e-308, 1e-310]}
+    rows = [("s", f, DAY, DAY, v, "x", "A") for f, values in sets.items() for v in values]
+    got = {r.fips: r.median for r in stats.range_stats(signal(spark, rows)).collect()}
+    assert got == {f: statistics.median(values) for f, values in sets.items()}
+
+
+def test_binary_places(spark):
+    """In the order of the numbers, of every magnitude and on both sides of every power of two."""
+    rng = random.Random(9)
+    values = {0.0, -0.0, 1.0, math.inf, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308}
+    values |= {struct.unpack("<d", struct.pack("<Q", rng.getrandbits(63)))[0] for _ in range(3000)}
+    for k in range(-1074, 1024):
+        values |= {2.0 ** k, math.nextafter(2.0 ** k, 0), math.nextafter(2.0 ** k, math.inf)}
+    values = sorted(v for v in values if not math.isnan(v))
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    found = frame.select("v", *[measures.binary_place(F.col("v"), d).alias(f"d{d}") for d in (4, 20, 32)])
+    rows = sorted(found.collect())
+    for d in ("d4", "d20", "d32"):
+        places = [r[d] for r in rows]
+        assert places == sorted(places)
+    places = {r.v: r.d20 for r in rows}
+    assert places[1.0] == 1 << 20 and places[0.0] < places[5e-324] and places[math.inf] > places[1.7976931348623157e308]
+    assert spark.range(1).select(measures.binary_place(F.lit(1.75), 4)).first()[0] == 16 + 12
 
 
 def test_date_ranges(spark):

@@ -42,6 +42,74 @@ def test_repeated_batch_is_counted_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "all")).count() == 2
 
 
+def batches(spark, out, first, behind):
+    """Batches as the query would write them: one word of their own, one of all."""
+    for n in range(first, behind):
+        rows = [("FL", f"word{n}", 1), ("FL", "all", 2)]
+        spark.createDataFrame(rows, word_counts.COUNTS).coalesce(1).write.mode("overwrite").parquet(
+            f"{out}/query=q/batch={n}")
+        word_counts.merge(spark, out, "q", n + 1)
+
+
+def whole(n):
+    return {("FL", f"word{k}"): 1 for k in range(n)} | {("FL", "all"): 2 * n}
+
+
+def test_merges_hold_each_batch_once(spark, tmp_path, monkeypatch):
+    """With three to a merge: levels of 3, 9 and 27 batches, few folders to read, all counts right."""
+    monkeypatch.setattr(word_counts, "FOLD", 3)
+    out = str(tmp_path)
+    batches(spark, out, 0, 32)
+    assert [u[:2] for u in word_counts._live(spark, out, "q")] == [(0, 27), (27, 30), (30, 31), (31, 32)]
+    assert table(word_counts.counts_so_far(spark, out)) == whole(32)
+    batches(spark, out, 4, 5)  # a batch that is run again after it was merged
+    assert table(word_counts.counts_so_far(spark, out)) == whole(32)
+    word_counts.clean(spark, out)
+    assert sorted(p.name for p in (tmp_path / "query=q").glob("batch=*")) == ["batch=30", "batch=31"]
+    assert len([p for p in (tmp_path / "query=q" / "merged").iterdir() if p.is_dir()]) == 2
+    batches(spark, out, 32, 36)
+    assert table(word_counts.counts_so_far(spark, out)) == whole(36)
+    assert len(word_counts.counts_so_far(spark, out).inputFiles()) < 10
+
+
+def test_merge_cut_short_before_its_record(spark, tmp_path, monkeypatch):
+    """The folder of a merge without a record is not read; the next batch merges again."""
+    monkeypatch.setattr(word_counts, "FOLD", 3)
+    out = str(tmp_path)
+    batches(spark, out, 0, 2)
+    put = word_counts.storage.put_record
+    monkeypatch.setattr(word_counts.storage, "put_record", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        batches(spark, out, 2, 3)
+    monkeypatch.setattr(word_counts.storage, "put_record", put)
+    assert len(word_counts._live(spark, out, "q")) == 3
+    assert table(word_counts.counts_so_far(spark, out)) == whole(3)
+    batches(spark, out, 3, 4)
+    assert [u[:2] for u in word_counts._live(spark, out, "q")] == [(0, 3), (3, 4)]
+    assert table(word_counts.counts_so_far(spark, out)) == whole(4)
+    word_counts.clean(spark, out)
+    assert len([p for p in (tmp_path / "query=q" / "merged").iterdir() if p.is_dir()]) == 1
+    assert table(word_counts.counts_so_far(spark, out)) == whole(4)
+
+
+def test_a_thousand_batches_are_one_folder(spark, tmp_path):
+    """Of the records of a thousand and three batches, four folders are live."""
+    home = tmp_path / "query=q"
+    for n in range(1003):
+        (home / f"batch={n}").mkdir(parents=True)
+    (home / "merged").mkdir()
+    for size in (10, 100, 1000):
+        for first in range(0, 1000, size):
+            (home / "merged" / f"{first}-{first + size}.json").write_text('{"folder": "m%d-%d"}' % (size, first))
+    live = word_counts._live(spark, str(tmp_path), "q")
+    assert [u[:2] for u in live] == [(0, 1000), (1000, 1001), (1001, 1002), (1002, 1003)]
+    assert live[0][2].endswith("m1000-0")
+
+
+def test_nothing_counted(spark, tmp_path):
+    assert word_counts.counts_so_far(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_other_checkpoint_is_refused(spark, tmp_path):
     """A query that would count all files anew does not touch another's counts."""
     texts, out = str(tmp_path / "in"), str(tmp_path / "out")

@@ -1,8 +1,12 @@
+import random
+
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from countylens.catalog import STOPWORDS
+from countylens.functions import measures
 from countylens.operators import topics
 
 
@@ -36,23 +40,111 @@ def test_vocabulary(docs):
 
 def test_model_finds_both_topics(docs):
     bag = topics.bag_of_words(docs, stopwords=STOPWORDS)
-    terms, vectors = topics.vectorize(bag)
-    assert vectors.count() == 20
-    model = topics.fit(vectors, topics=2, passes=20, seed=1)
-    described = topics.describe(model, terms, 3)
+    model = topics.fit(bag, topics=2, passes=20, seed=1)
+    described = topics.describe(model, 3)
     rows = described.collect()
     assert len(rows) == 6 and {r["rank"] for r in rows} == {1, 2, 3}
     tops = {r.topic: r.word for r in rows if r["rank"] == 1}
     assert sorted(tops.values()) == ["bread", "goals"]
     line = topics.topic_lines(described).orderBy("topic").first().words
     assert line.count(" + ") == 2 and '*"' in line
+    shares = {(r.doc_id % 2, r.topic): r.share for r in topics.assign(bag, model).collect()}
+    assert len(shares) == 4 and shares[0, 0] + shares[0, 1] == pytest.approx(1)
+    food = next(t for t, w in tops.items() if w == "bread")
+    assert shares[0, food] > 0.9 and shares[1, food] < 0.1
+
+
+def test_vectors(docs):
+    bag = topics.bag_of_words(docs, stopwords=STOPWORDS)
+    terms = topics.vocabulary(bag)
+    row = topics.vectors(bag, terms).filter("doc_id = 0").first()
+    words = {r.word_id: r.word for r in terms.collect()}
+    assert row.word_ids == sorted(row.word_ids)
+    assert {words[w]: n for w, n in zip(row.word_ids, row.counts)} == {"bread": 3, "butter": 2, "cheese": 2, "eating": 1}
+
+
+def plain_fit(rows, words, topics, passes, start):
+    """Variational Bayes text by text, as the textbook has it."""
+    prior, weights = 1 / topics, start.copy()
+    for _ in range(passes):
+        factors = np.exp(topics_module.digamma(weights) - topics_module.digamma(weights.sum(axis=0)))
+        new = np.full_like(weights, prior)
+        for counts in rows.values():
+            ids = np.array([words.index(w) for w in counts])
+            n = np.array(list(counts.values()), float)
+            gamma = np.full(topics, prior + n.sum() / topics)
+            for _ in range(topics_module.SWEEPS):
+                theta = np.exp(topics_module.digamma(gamma))
+                share = theta * factors[ids]
+                share /= share.sum(axis=1, keepdims=True)
+                last, gamma = gamma, prior + n @ share
+                if np.abs(gamma - last).mean() <= topics_module.SETTLED:
+                    break
+            share = np.exp(topics_module.digamma(gamma)) * factors[ids]
+            share /= share.sum(axis=1, keepdims=True)
+            np.add.at(new, ids, n[:, None] * share)
+        weights = new
+    return weights
+
+
+topics_module = topics
+
+
+@pytest.mark.parametrize("held", [1 << 16, 7])
+def test_fit_is_as_by_hand(spark, monkeypatch, held):
+    """The same weights as a plain loop over texts, also where a task takes a few words at a time."""
+    monkeypatch.setattr(topics, "HELD", held)
+    rng = random.Random(3)
+    rows = {k: {f"w{rng.randrange(25)}": rng.randint(1, 4) for _ in range(rng.randint(1, 12))} for k in range(40)}
+    rows[None] = {"w1": 2, "w3": 1}
+    bag = spark.createDataFrame([(k, w, n) for k, c in rows.items() for w, n in c.items()],
+                                "doc_id long, word string, count long").repartition(5)
+    first = topics.fit(bag, topics=3, passes=0, seed=4)
+    named = {r.word: r.weights for r in first.weights.collect()}
+    words = sorted(named)
+    want = plain_fit(rows, words, 3, 4, np.array([named[w] for w in words]))
+    model = topics.fit(bag, topics=3, passes=4, seed=4)
+    got = {r.word: r.weights for r in model.weights.collect()}
+    assert np.allclose([got[w] for w in words], want, rtol=1e-6, atol=1e-8)
+    assert np.allclose(model.totals, want.sum(axis=0))
+
+
+def test_fit_by_batches(docs, tmp_path, spark):
+    """Steps on halves of the texts; a saved model is read back whole."""
+    bag = topics.bag_of_words(docs, stopwords=STOPWORDS)
+    model = topics.fit(bag, topics=2, passes=20, batch=0.5, seed=2)
+    again = topics.fit(bag.repartition(3), topics=2, passes=20, batch=0.5, seed=2)
+    assert sorted(map(str, topics.describe(model, 3).select("topic", "word").collect())) == sorted(
+        map(str, topics.describe(again, 3).select("topic", "word").collect()))
+    model.save(str(tmp_path / "m"))
+    back = topics.load(spark, str(tmp_path / "m"))
+    assert back.totals == pytest.approx(model.totals) and back.weights.count() == model.weights.count()
+
+
+def test_fit_of_nothing(spark):
+    bag = spark.createDataFrame([], "doc_id long, word string, count long")
+    model = topics.fit(bag, passes=1)
+    assert topics.describe(model).count() == 0 and topics.assign(bag, model).count() == 0
+
+
+def test_digamma(spark):
+    """The recurrence, known values, and the same numbers from Spark and numpy."""
+    x = np.array([1e-3, 0.1, 0.5, 1.0, 2.0, 7.5, 1e6])
+    assert np.allclose(topics.digamma(x + 1) - topics.digamma(x), 1 / x)
+    assert topics.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329)
+    frame = spark.createDataFrame([(float(v),) for v in x], "v double")
+    got = [r[0] for r in frame.select(measures.digamma(F.col("v"))).collect()]
+    assert np.allclose(got, topics.digamma(x), rtol=1e-9)
 
 
-def test_no_word_is_left_out(spark):
-    """More distinct words than any usual bound on a vocabulary."""
-    n = 262_144 + 1_000
-    bag = spark.range(n).select((F.col("id") % 7).alias("doc_id"),
+def test_a_million_words_stay_off_the_driver(spark, plan):
+    """A model of a million words: no vocabulary in the model's own memory, tables all the way."""
+    n = 1_000_000
+    bag = spark.range(n).select((F.col("id") % 1000).alias("doc_id"),
                                 F.concat(F.lit("word"), F.col("id").cast("string")).alias("word"),
                                 F.lit(1).cast("bigint").alias("count"))
-    model, _ = topics.vectorize(bag)
-    assert len(model.vocabulary) == n
+    model = topics.fit(bag, topics=3, passes=1)
+    assert model.weights.count() == n and len(model.totals) == 3
+    text = plan(topics.describe(model))
+    assert "WindowGroupLimit" in text and "LocalTableScan" not in text
+    assert topics.describe(model).count() == 30

@@ -25,14 +25,13 @@ def ranked(rows):
     return {w: i + 1 for i, (w, _) in enumerate(order)}
 
 
-@pytest.mark.parametrize("head", [1, 3])
-def test_ranks_within_states(counts, head):
+def test_ranks_within_states(counts):
     data, df = counts
     want = {}
     for state in ("FL", "CA", "NY"):
         for word, rank in ranked([(w, n) for s, w, n in data if s == state]).items():
             want[state, word] = rank
-    got = {(r.state, r.word): r["rank"] for r in words.word_ranks(df, ("state",), (head, head + 2), 3).collect()}
+    got = {(r.state, r.word): r["rank"] for r in words.word_ranks(df, ("state",)).collect()}
     assert got == want
 
 
@@ -53,19 +52,6 @@ def test_missing_state_is_a_group(spark):
     assert got == {(None, "b"): 1, (None, "a"): 2, ("FL", "a"): 1}
 
 
-def test_words_are_cut_once_for_ranks(spark, plan):
-    texts = spark.createDataFrame([("FL", "stay home"), ("CA", "work")], "state string, text string")
-    ranks = words.word_ranks(words.word_counts(words.words(texts.repartition(2), keep=("state",)),
-                                               ("state",)), ("state",))
-    assert ranks.count() == 3
-    executed = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        assert "ReusedExchange" in plan(ranks.select("*"))
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", executed)
-
-
 def test_top_words_ties_in_word_order(spark):
     df = spark.createDataFrame([("b", 2), ("a", 2), ("c", 9), ("d", 1)], "word string, count long")
     assert [r.word for r in words.top_words(df, 3).collect()] == ["c", "a", "b"]
@@ -108,12 +94,29 @@ def test_stopword_table(spark):
             if r.word] == ["home"]
 
 
-def test_large_runs_are_split(spark):
-    """Words of one count and one beginning are numbered in many small runs."""
-    n = 30_000
-    counts = spark.range(n).select(F.format_string("and%09d", "id").alias("word"),
+def test_words_of_one_count_and_beginning_are_spread(spark):
+    """100,000 words of one count that share 30 letters are dealt over all ranges and ranked right."""
+    n = 100_000
+    counts = spark.range(n).select(F.format_string("a" * 30 + "%09d", "id").alias("word"),
                                    F.lit(1).cast("bigint").alias("count"))
-    ranked = words.word_ranks(counts, most=1_000)
-    rows = ranked.agg(F.count_if(F.col("rank") == F.substring("word", 4, 9).cast("bigint") + 1)
-                      .alias("right"), F.count("*").alias("all")).first()
-    assert rows == (n, n)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = words.word_ranks(counts)
+        rows = ranked.agg(F.count_if(F.col("rank") == F.substring("word", 31, 9).cast("bigint") + 1)
+                          .alias("right"), F.count("*").alias("all")).first()
+        placed = ranked._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert rows == (n, n) and "_place" in placed
+    folder = next(f for f in ranked.inputFiles())
+    written = spark.read.parquet(folder.rsplit("/", 1)[0])
+    sizes = [r["count"] for r in written.groupBy(F.shiftright("_place", 33)).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < n / 4
+
+
+def test_ranks_with_missing_groups_and_none(spark):
+    rows = [(None, "b", 2), (None, "a", 2), ("x", "a", 1), ("", "a", 9), ("", None, 9)]
+    ranked = words.word_ranks(spark.createDataFrame(rows, "state string, word string, count long"), ("state",))
+    assert {(r.state, r.word): r["rank"] for r in ranked.collect()} == {
+        (None, "a"): 1, (None, "b"): 2, ("x", "a"): 1, ("", None): 1, ("", "a"): 2}
+    assert words.word_ranks(spark.createDataFrame([], "word string, count long")).count() == 0
