@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -9,14 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks import tables as t
 from checks.tables import CASES, Data
-from countylens import catalog, schemas
+from countylens import catalog, schemas, storage
 from countylens.functions import areas, texts, tweets as tweet_fn
 from countylens.operators import (
     clean, indicators, lookup, sampling, stats, topics, tweets, words,
 )
 from countylens.plans import etl, reports
-from countylens.session import shared_dir
-from countylens.sources import readers, writers
+from countylens.sources import readers, store, writers
 from countylens.streaming import word_counts
 
 Builder = Callable[[Data], DataFrame]
@@ -762,6 +762,202 @@ def stored_consolidated(d: Data) -> DataFrame:
     return d.spark.read.parquet(path).select("state", "doc_id")
 
 
+@query("SELECT state_fips, county_fips, fips, state_name, area_name FROM county_dim")
+def csv_layouts(d: Data) -> DataFrame:
+    """A folder of two files with other columns in another order."""
+    path = f"{_work_dir(d.spark, 'layouts')}/county.csv"
+    old = {new: old for old, new in schemas.COUNTY_DIM_HEADER.items()}
+    for rest, names in ((0, list(old)), (1, list(old)[::-1])):
+        part = d.county_dim.filter(F.col("fips") % 2 == rest)
+        columns = [F.col(n).alias(old[n]) for n in names] + [F.lit("x").alias("note")] * rest
+        part.select(*columns).write.mode("append").csv(path, header=True)
+    return readers.read_county_dim(d.spark, path)
+
+
+_DEALT = ", ".join(f"({k}, {t.text_sql(s.name)})" for k, s in enumerate(catalog.SIGNALS) if s.shown)
+
+
+_OF_SIGNAL = (f"(SELECT n.name AS signal, c.* EXCLUDE (signal) FROM valid_cases c JOIN (VALUES {_DEALT}) n(k, name) "
+              f"ON day(c.time_value) % {len(catalog.SIGNALS)} = n.k) AS of_signal")
+
+
+@query(f"SELECT * FROM {_OF_SIGNAL} WHERE NOT contains(lower(signal), 'cumulative') UNION ALL "
+       f"SELECT * FROM {t.newest_sql(_OF_SIGNAL, 'signal, fips')} WHERE contains(lower(signal), 'cumulative')")
+def csv_all_signals(d: Data) -> DataFrame:
+    """Every signal of the catalogue from a file of its own; of running totals the newest rows."""
+    folder = _work_dir(d.spark, "signals")
+    old = {new: old for old, new in schemas.SIGNAL_HEADER.items()}
+    for k, s in enumerate(catalog.SIGNALS):
+        if s.shown:
+            rows = d.cases.filter(F.dayofmonth("time_value") % len(catalog.SIGNALS) == k)
+            names = list(old)[k % 2::] + list(old)[:k % 2]
+            rows.select(*[F.col(n).alias(old[n]) for n in names]).write.csv(
+                f"{folder}/{s.file}_fips.csv", header=True)
+    return readers.read_signals(d.spark, folder)
+
+
+def _as_sheet(d: Data, df: DataFrame, name: str, preamble: int) -> str:
+    """A table as an exported sheet: lines above its header, one line per row, a footnote."""
+    head = [",".join(f'"line {k + 1}, of the sheet"' if c == 0 else "" for c in range(len(df.columns)))
+            for k in range(preamble)] + [",".join(f'"{c}"' for c in df.columns)]
+    cells = [F.concat(F.lit('"'), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit('"')) for c in df.columns]
+    data = df.select(F.lit(len(head)).alias("at"), F.concat_ws(",", *cells).alias("value"))
+    extra = d.spark.createDataFrame(list(enumerate(head)) + [(len(head) + 1, "a footnote")], "at int, value string")
+    path = f"{_work_dir(d.spark, 'sheets')}/{name}.csv"
+    data.unionByName(extra).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return path
+
+
+@query("SELECT * FROM county_built")
+def sheet_counties(d: Data) -> DataFrame:
+    """The county table built from sheets of states and areas, as exported."""
+    states = d.state_dim.select(F.col("state_fips").alias("State (FIPS)"), F.col("name").alias("Name"))
+    areas_ = d.county_sheet.select(
+        F.col("summary_level").alias("Summary Level"), F.col("state_fips").cast("double").alias("State Code (FIPS)"),
+        F.col("county_fips").alias("County Code (FIPS)"), F.lit("x").alias("Place Code (FIPS)"),
+        F.col("area_name").alias("Area Name (including legal/statistical area description)"))
+    return etl.build_county_dim(
+        readers.read_county_sheet(d.spark, _as_sheet(d, areas_, "areas", 4)),
+        readers.real_states(readers.read_state_sheet(d.spark, _as_sheet(d, states, "states", 5))))
+
+
+@query(f"SELECT fips, state_abrv, area_name, \"{POVERTY}\" AS poverty FROM poverty")
+def sheet_indicator(d: Data) -> DataFrame:
+    spec = catalog.indicator("Poverty")
+    columns = [F.col(f"`{new}`").alias(old) for old, new in
+               {**dict(zip(spec.keys, catalog.AREA_KEYS)), **spec.measures}.items()]
+    path = _as_sheet(d, d.poverty.select(F.lit("z").alias("Other"), *columns), "poverty", spec.preamble)
+    return readers.read_indicator_sheet(d.spark, path, "Poverty").select(
+        *catalog.AREA_KEYS, F.col(f"`{POVERTY}`").alias("poverty"))
+
+
+def _as_state_files(d: Data, lines: DataFrame, name: str) -> str:
+    """Lines (state, value) as a text file per state, named by it."""
+    folder = _work_dir(d.spark, name)
+    lines.repartition("state").write.partitionBy("state").text(f"{folder}/dealt")
+    for part in storage.names(d.spark, f"{folder}/dealt"):
+        if part.startswith("state="):
+            file = next(f for f in storage.names(d.spark, f"{folder}/dealt/{part}") if f.startswith("part-"))
+            storage.rename(d.spark, f"{folder}/dealt/{part}/{file}", f"{folder}/files/{part[6:]}.txt")
+    return f"{folder}/files"
+
+
+@query("SELECT state, text FROM tweet_text")
+def text_tweets(d: Data) -> DataFrame:
+    """Texts filed by state, read with the state of the file."""
+    folder = _as_state_files(d, d.tweet_text.select("state", F.col("text").alias("value")), "texts")
+    return readers.read_tweet_text(d.spark, folder)
+
+
+@query("SELECT text FROM tweet_text WHERE state = 'FL'")
+def text_tweets_of_state(d: Data) -> DataFrame:
+    folder = _as_state_files(d, d.tweet_text.select("state", F.col("text").alias("value")), "texts")
+    return readers.read_tweet_text(d.spark, folder, "FL").select("text")
+
+
+@query("SELECT state, doc_id AS id FROM tweet_text")
+def text_state_ids(d: Data) -> DataFrame:
+    """Ids filed by state, with lines that are none."""
+    lines = d.tweet_text.select("state", F.explode(F.array(
+        F.col("doc_id").cast("string"), F.lit(""), F.lit("none"))).alias("value"))
+    return readers.read_tweet_ids(d.spark, _as_state_files(d, lines, "state-ids"))
+
+
+@query("SELECT CASE page_id % 3 WHEN 0 THEN 'FL' WHEN 1 THEN 'CA' ELSE 'NY' END AS state, "
+       "regexp_replace(html || chr(10), '\\r?\\n([^\\n])', chr(10) || chr(10) || '\\1', 'g') AS html "
+       "FROM pages")
+def saved_embeds(d: Data) -> DataFrame:
+    """One file per page in a folder per state, read one row per file."""
+    folder = _work_dir(d.spark, "embeds")
+    of = F.when(F.col("page_id") % 3 == 0, "FL").when(F.col("page_id") % 3 == 1, "CA").otherwise("NY")
+    d.table("pages").select(of.alias("state"), F.col("html").alias("value")).write.option(
+        "maxRecordsPerFile", 1).partitionBy("state").text(folder)
+    return readers.read_embeds(d.spark, folder).withColumn("state", F.regexp_replace("state", "^state=", ""))
+
+
+@query("SELECT state, 2 * count(*) AS rows, CAST(2 AS BIGINT) AS runs FROM tweet_text GROUP BY state")
+def run_stamps(d: Data) -> DataFrame:
+    """Rows appended by state in two runs, each with files and a stamp of its own."""
+    path = _work_dir(d.spark, "runs")
+    for _ in range(2):
+        writers.append_by_state(d.tweet_text.select("state", "doc_id"), path)
+    return d.spark.read.parquet(path).groupBy("state").agg(
+        F.count("*").alias("rows"), F.countDistinct("run_ts").alias("runs"))
+
+
+@query("SELECT DISTINCT doc_id AS id, state FROM tweet_text")
+def stored_once(d: Data) -> DataFrame:
+    """Ids appended in runs that overlap and are repeated, merged, and read by the records of the runs."""
+    path = _work_dir(d.spark, "store")
+    ids = d.tweet_text.select(F.col("doc_id").alias("id"), "state")
+    store.create(d.spark, path, ids.schema, buckets=8)
+    for run, part in (("even", ids.filter("id % 2 = 0")), ("third", ids.filter("id % 3 = 0")), ("all", ids),
+                      ("third", ids), ("again", ids.unionAll(ids))):
+        store.append(part, path, run)
+    store.merge(d.spark, path)
+    return store.read(d.spark, path)
+
+
+@query("SELECT state, word, count FROM state_counts")
+def running_word_counts(d: Data) -> DataFrame:
+    """The texts as a stream, counted in the state of the stream."""
+    work = _work_dir(d.spark, "running")
+    lines = d.tweet_text.select("state", "text")
+    lines.write.parquet(f"{work}/texts")
+    stream = d.spark.readStream.schema(lines.schema).parquet(f"{work}/texts")
+    name = f"running_{uuid.uuid4().hex}"
+    query_ = (word_counts.running_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name)
+              .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start())
+    query_.awaitTermination()
+    return d.spark.table(name)
+
+
+@query("SELECT doc_id, string_agg(word_id || ':' || count, ' ' ORDER BY word_id) AS words FROM (SELECT doc_id, "
+       "count, dense_rank() OVER (ORDER BY total DESC, word) - 1 AS word_id FROM (SELECT *, "
+       "sum(count) OVER (PARTITION BY word) AS total FROM bag)) GROUP BY doc_id")
+def word_vectors(d: Data) -> DataFrame:
+    """Every text as counts by the numbers of its words."""
+    bag = _bag(d)
+    pairs = F.zip_with("word_ids", "counts", lambda w, n: F.concat_ws(":", w.cast("string"), n.cast("string")))
+    return topics.vectors(bag, topics.vocabulary(bag)).select("doc_id", F.array_join(pairs, " ").alias("words"))
+
+
+@query("SELECT DISTINCT doc_id, CAST(10 AS BIGINT) AS topics, TRUE AS whole FROM bag")
+def topic_shares(d: Data) -> DataFrame:
+    """What must hold for any model: every text with words has a share of every topic, one in all."""
+    bag = _bag(d)
+    shares = topics.assign(bag, topics.fit(bag, passes=1))
+    return shares.groupBy("doc_id").agg(
+        F.countDistinct("topic").alias("topics"),
+        ((F.abs(F.sum("share") - 1) < 1e-9) & (F.min("share") > 0)).alias("whole"))
+
+
+_SIGNAL_ROWS = ", ".join(
+    f"({k}, {t.text_sql(s.name)}, {t.text_sql(s.file)}, {s.shown})" for k, s in enumerate(catalog.SIGNALS))
+_MEASURE_ROWS = ", ".join(
+    f"({k}, {t.text_sql(i.category)}, {t.text_sql(m)})" for k, i in enumerate(catalog.INDICATORS) for m in i.measures.values())
+
+
+@query(f"SELECT v.position, v.name, v.file, contains(lower(v.name), 'cumulative') AS is_cumulative, v.shown, "
+       f"count(s.fips) AS rows FROM (VALUES {_SIGNAL_ROWS}) v(position, name, file, shown) "
+       "LEFT JOIN signals s ON s.signal = v.name GROUP BY ALL")
+def signal_catalogue(d: Data) -> DataFrame:
+    """The catalogue in display order, with the rows there are of each signal."""
+    counts = d.signals.groupBy(F.col("signal").alias("name")).agg(F.count("fips").alias("rows"))
+    return catalog.signals_table(d.spark).drop("signal").join(counts, "name", "left").select(
+        "position", "name", "file", "is_cumulative", "shown", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+@query(f"SELECT v.position, v.category, v.measure, count(i.fips) AS counties FROM (VALUES {_MEASURE_ROWS}) "
+       "v(position, category, measure) LEFT JOIN indicator_long i ON i.category = v.category AND "
+       "i.measure = v.measure AND i.measure_value IS NOT NULL GROUP BY ALL")
+def indicator_catalogue(d: Data) -> DataFrame:
+    """Measures in display order, with the counties that have a value."""
+    counts = d.indicator_long.filter("measure_value IS NOT NULL").groupBy("category", "measure").agg(
+        F.count("fips").alias("counties"))
+    return catalog.indicators_table(d.spark).join(counts, ["category", "measure"], "left").select(
+        "position", "category", "measure", F.coalesce("counties", F.lit(0)).alias("counties"))
+
+
 def _work_dir(spark: SparkSession, name: str) -> str:
-    import uuid
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return storage.work_folder(spark, name)

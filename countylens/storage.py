@@ -41,6 +41,14 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def rename(spark: SparkSession, path: str, new: str) -> None:
+    files, at = _file(spark, path)
+    to = spark._jvm.org.apache.hadoop.fs.Path(new)
+    files.mkdirs(to.getParent())
+    if not files.rename(at, to):
+        raise OSError(f"{path} could not be named {new}")
+
+
 def put_record(spark: SparkSession, path: str, record: dict) -> bool:
     """A record as JSON, put in place whole: written beside it and renamed. False if there is one already.
 
