@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,11 +57,6 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         [pa.array(values, kind) for values, kind in zip(zip(*rows), schema.types)], schema=schema)
 
 
-def mapped(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
-    """mapInArrow; the function takes and yields record batches."""
-    return df.mapInArrow(function, schema)
-
-
 def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
@@ -109,6 +104,46 @@ def word_hashes(data: bytes, lower: bool = False) -> np.ndarray:
     return mix(np.add.reduceat(terms, first) + length.astype(np.uint64))
 
 
+def pieces(texts: pa.BinaryArray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, behind) with at most so many bytes of text; a longer text is a run of its own."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    first = 0
+    while first < len(texts):
+        behind = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+        yield first, min(behind, len(texts))
+        first = behind
+
+
+def hashed(texts: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes of some texts in one array, as `word_hashes` has them, and where each text ends in it.
+
+    Null counts as empty. Texts are hashed together, since most are short.
+    """
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    solid = ~_IS_SPACE[raw]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    heads = ends[:-1][ends[:-1] < ends[1:]]
+    begins[heads] = solid[heads]
+    first_byte = np.flatnonzero(begins)
+    if not len(first_byte):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    at = np.flatnonzero(solid)
+    first = np.searchsorted(at, first_byte)
+    length = np.diff(first, append=len(at))
+    place = np.arange(len(at)) - np.repeat(first, length)
+    longest = int(length.max())
+    if longest > len(_OF_PLACE[0]):
+        _OF_PLACE[0] = numbers(2, 2 * longest) | np.uint64(1)
+    terms = _OF_BYTE[raw[at]] * _OF_PLACE[0][place]
+    found = mix(np.add.reduceat(terms, first) + length.astype(np.uint64))
+    return found, np.searchsorted(first_byte, ends[1:])
+
+
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of every k neighbouring words."""
     n = len(hashes) - k + 1
@@ -148,13 +183,23 @@ def most_frequent(counts: DataFrame, most: int, group: str) -> DataFrame:
 
 
 def key_columns(doc_id: str, text: str) -> dict[str, Column]:
-    """What tells rows apart: the id, and a checksum of the text, raised where the id is null.
+    """What tells rows apart: the id and 63 bits of the text's MD5; where the id is null, 127 bits of it.
 
-    Rows with equal id and equal text have equal keys and count as one document.
+    The last bit of `__t` says whether the id is null. Rows with equal id and equal text have equal keys
+    and count as one document.
     """
-    tag = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    return {"__i": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0).cast("bigint")),
-            "__t": F.when(F.col(doc_id).isNull(), tag + F.lit(1 << 32)).otherwise(tag)}
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+    def half(start: int) -> Column:
+        return F.conv(F.substring(digest, start, 16), 16, -10).cast("bigint")
+
+    marked = half(17).bitwiseAND(F.lit(-2)).bitwiseOR(F.col(doc_id).isNull().cast("bigint"))
+    return {"__i": F.coalesce(F.col(doc_id).cast("bigint"), half(1)), "__t": marked}
+
+
+def late(tag: str = "__t") -> Column:
+    """Whether the row of a key has a null id; such rows come last in every order."""
+    return F.col(tag).bitwiseAND(F.lit(1)) == 1
 
 
 def by_position(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:

@@ -12,10 +12,12 @@ Dense regions. At first, of a node's passing neighbours the nearest `NEAREST` of
 tree, and the leader (lowest node) of its region. Leaders are confirmed first; neighbours are then
 confirmed only where they would join two components, so the work in a group of near copies grows with its
 members, not with their square. A region where a node stopped before it had seen all nodes in front
-of it is open, and so is one at either end of a range of the order, as it may be cut there. Open regions that by then are one component are done. In the others all pairs from
-different components are compared, on full sets where the sketch lets them pass: the nodes are dealt into
-blocks, and a task takes two blocks. Only this part can grow with a square, of nodes that are alike
-but not linked.
+of it is open, and so is one at either end of a range of the order, as it may be cut there. Open regions
+that by then are one component are done. In the others all pairs from different components are
+compared, on full sets: regions with the same largest component are taken together, their nodes are
+dealt into blocks of half a million shingles, and a task takes two blocks. A group of near copies is
+then some blocks against the few nodes beside it. Only a family whose members are alike but not linked,
+and more than fill a block, is sent out more than once per region: as often as it has blocks.
 
 Recall. Every two nodes of different components that share a prefix of four values in a tree are compared.
 Two nodes at the threshold share one in a tree with probability 0.41; that all 24 trees miss them has
@@ -35,7 +37,8 @@ from countylens.llm import common as c
 from countylens.llm.components import components
 
 TREES, DEPTH, LEAST, REACH, NEAREST = 24, 8, 4, 64, 3
-BLOCK, BLOCK_MEMBERS = 256, 1 << 18
+#: Shingles of the sets in a block.
+BLOCK = 1 << 19
 _HASHES = TREES * DEPTH
 _FACTOR = (c.numbers(11, _HASHES) | np.uint64(1))[:, None]
 _SHIFT = c.numbers(12, _HASHES)[:, None]
@@ -247,71 +250,73 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def mixed(signed: DataFrame, open_: DataFrame, comps: DataFrame) -> DataFrame:
-    """(region, node, comp, major, minors, majors) of the open regions with more than one component.
+    """(top, node, major, minors, majors) of the open regions with more than one component.
 
-    major: whether the node is of the largest component there; minors and majors: blocks of the others and of it.
+    top is the largest component of a region. Regions with the same one are taken together, so a node
+    is named once for all of them. major: whether the node is of that component; minors and majors: how
+    many blocks the other nodes and those of the component are dealt into, by the size of their sets.
     """
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: region(t, F.col("labels")))
     at = (signed.filter("node is not null").select("node", "n", F.explode(trees).alias("region"))
           .join(open_, "region", "left_semi").distinct())
     at = c.staged(at.join(comps, "node", "left").select(
         "region", "node", "n", F.coalesce("comp", "node").alias("comp")), "open")
-    spread = at.groupBy("region", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
-    most = F.max(F.struct("m", "n", "comp"))
-    sizes = spread.groupBy("region").agg(
-        F.count("*").alias("kinds"), F.sum("m").alias("m"), F.sum("n").alias("n"), most.alias("top"))
-
-    def blocks(m, n):
-        return F.ceil(F.greatest(m / BLOCK, n / BLOCK_MEMBERS)).cast("int")
-
-    sizes = sizes.filter("kinds > 1").select(
-        "region", F.col("top.comp").alias("top"), blocks(F.col("top.m"), F.col("top.n")).alias("majors"),
-        blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("minors"))
-    return c.staged(at.join(sizes, "region").select(
-        "region", "node", "comp", (F.col("comp") == F.col("top")).alias("major"), "minors", "majors"),
-        "mixed")
-
-
-def remaining(rows: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between different components in the regions that `mixed` gives, enough to join all.
-
-    Reads (node, n, bits, labels) and (node, members). A pair is left to the first tree in which it shares
-    a region; if that region is not open, the pair has been compared.
+    spread = at.groupBy("region", "comp").agg(F.count("*").alias("m"))
+    tops = spread.groupBy("region").agg(F.count("*").alias("kinds"), F.max(F.struct("m", "comp")).alias("top"))
+    tops = tops.filter("kinds > 1").select("region", F.col("top.comp").alias("top"))
+    named = c.staged(at.join(tops, "region").select(
+        "top", "node", "n", "comp", (F.col("comp") == F.col("top")).alias("major")).distinct(), "named")
+    size = {name: F.ceil(F.sum(F.when(F.col("major") == (name == "majors"), F.col("n"))) / BLOCK).cast("int")
+            for name in ("minors", "majors")}
+    sizes = named.groupBy("top").agg(*[x.alias(name) for name, x in size.items()])
+    return c.staged(named.join(sizes, "top").select("top", "node", "comp", "major", "minors", "majors"), "mixed")
+
+
+def remaining(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different components in what `mixed` gives, enough to join all.
+
+    A task takes two blocks, never two of the largest component. It holds the sets of the first as one sorted list of hashes with
+    their owners, looks up each set of the second in it, and so has all its overlaps at once, exactly.
     """
-    percent, far = round(100 * threshold), most_apart(threshold)
+    percent = round(100 * threshold)
 
     def compared(key, table):
-        tree, p, q = key[0].as_py()[-1], key[1].as_py(), key[2].as_py()
-        block, n = (np.asarray(table.column(x)) for x in ("block", "n"))
-        names, comp, members = (table.column(x).to_pylist() for x in ("node", "comp", "members"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, 2)
-        heads = np.frombuffer(b"".join(table.column("labels").to_pylist()), np.uint64).reshape(
-            len(n), TREES, -1)[:, :tree, 0]
+        p, q = key[1].as_py(), key[2].as_py()
+        block = table.column("block").to_numpy()
+        names, comp = table.column("node").to_pylist(), table.column("comp").to_pylist()
+        members = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+        n = np.array([len(x) for x in members])
         label = np.unique(np.array(comp, object), return_inverse=True)[1]
-        second = np.flatnonzero(block == q)
+        first, second = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        if not len(first) or not len(second):
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        held = np.concatenate([members[i] for i in first])
+        order = np.argsort(held, kind="stable")
+        owner = np.repeat(np.arange(len(first)), n[first])[order]
+        values, start = np.unique(held[order], return_index=True)
+        size = np.diff(start, append=len(held))
         a, b = [], []
-        for i in np.flatnonzero(block == p):
-            j = second[second > i] if p == q else second
-            j = j[(label[j] != label[i])
-                  & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))]
-            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= far]
-            j = j[~(heads[j] == heads[i]).any(axis=1)]
-            for k in j:
-                if label[k] != label[i] and alike(np.frombuffer(members[i], np.uint64),
-                                                  np.frombuffer(members[k], np.uint64), percent):
-                    label[label == label[k]] = label[i]
-                    a.append(min(names[i], names[k]))
-                    b.append(max(names[i], names[k]))
+        for j in second:
+            place = np.minimum(np.searchsorted(values, members[j]), len(values) - 1)
+            place = place[values[place] == members[j]]
+            many = size[place]
+            rows_ = np.repeat(start[place] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            both = np.bincount(owner[rows_], minlength=len(first))
+            for i in first[100 * both >= percent * (n[first] + n[j] - both)]:
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+                    a.append(min(names[i], names[j]))
+                    b.append(max(names[i], names[j]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     block = F.when(F.col("major"), F.col("minors") + F.pmod(F.xxhash64("node"), "majors")).otherwise(
         F.pmod(F.xxhash64("node"), "minors"))
     last = F.when(F.col("major"), F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1
-    dealt = rows.select("region", "node", "comp", block.cast("int").alias("block"), F.explode(
-        F.sequence(F.lit(0), last)).alias("other"))
-    return (dealt.join(nodes, "node").join(sets, "node")
-            .withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
-            .groupBy("region", "p", "q").applyInArrow(compared, "a binary, b binary").distinct())
+    dealt = rows.join(sets, "node").select(
+        "top", "node", "comp", "members", block.cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return (dealt.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
+            .groupBy("top", "p", "q").applyInArrow(compared, "a binary, b binary").distinct())
 
 
 def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -331,12 +336,15 @@ def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
                     threshold: float = 0.8) -> DataFrame:
-    """doc_id, keys `__i`, `__t`, n_shingles, component_id and kept, a row per row of docs."""
+    """doc_id, keys `__i`, `__t`, n_shingles, component_id, stays and kept, a row per row of docs.
+
+    kept: whether the row bears its component's id; stays: whether it has the lowest key of the component.
+    """
     keyed = docs.withColumns(c.key_columns(doc_id, text)).select(
         F.col(doc_id).cast("bigint").alias("doc_id"), "__i", "__t", F.col(text).alias("text"))
     signed = c.staged(signatures(keyed, words), "signatures")
     nodes = signed.filter("node is not null").groupBy("node").agg(
-        F.min(F.struct((F.col("__t") >= 1 << 32).alias("late"), "__i", "__t")).alias("low"),
+        F.min(F.struct(c.late().alias("late"), "__i", "__t")).alias("low"),
         F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("labels").alias("labels"))
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(
         t.alias("tree"), F.substring("labels", t * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("label")))
@@ -346,7 +354,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ends = pairs.filter("late < 2").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     lows = signed.filter("node is not null").groupBy("node").agg(
-        F.min(F.struct((F.col("__t") >= 1 << 32).alias("late"), "__i", "__t")).alias("low"))
+        F.min(F.struct(c.late().alias("late"), "__i", "__t")).alias("low"))
     lows = c.staged(lows.select("node", "low.late", "low.__i", "low.__t"), "lows")
     wanted = lows.join(ends, "node", "left_semi").select("node", "__i", "__t")
     sets = c.staged(full_sets(keyed, wanted, words), "sets")
@@ -367,27 +375,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         lacking = lows.join(names, "node", "left_semi").join(
             sets.select("node"), "node", "left_anti").select("node", "__i", "__t")
         sets = sets.unionByName(c.staged(full_sets(keyed, lacking, words), "sets"))
-        plain = signed.select("node", "n", "bits", "labels").join(
-            names, "node", "left_semi").dropDuplicates(["node"])
-        comps = joined(comps, c.staged(remaining(rest, plain, sets, threshold), "links"))
+        comps = joined(comps, c.staged(remaining(rest, sets, threshold), "links"))
 
+    # The lowest key of a component names it and says which of its rows stays.
     placed = c.staged(lows.join(comps, "node", "left").select(
-        "node", F.coalesce("comp", "node").alias("comp"),
-        F.when(~F.col("late"), F.col("__i")).alias("id")), "placed")
-    least = c.staged(placed.groupBy("comp").agg(F.min("id").alias("component_id")), "least")
-    of_node = c.staged(placed.join(least, "comp").select("node", "component_id"), "of_node")
+        "node", F.coalesce("comp", "node").alias("comp"), F.struct("late", "__i", "__t").alias("low")), "placed")
+    least = c.staged(placed.groupBy("comp").agg(F.min("low").alias("least")), "least")
+    of_node = c.staged(placed.join(least, "comp").select(
+        "node", F.when(~F.col("least.late"), F.col("least.__i")).alias("component_id"),
+        F.col("least.__i").alias("__li"), F.col("least.__t").alias("__lt")), "of_node")
     out = signed.select("doc_id", "__i", "__t", "n", "node").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "__i", "__t", F.col("n").cast("bigint").alias("n_shingles"),
-                      component.alias("component_id")).withColumn(
+                      component.alias("component_id"),
+                      ((F.col("__i") == F.col("__li")) & (F.col("__t") == F.col("__lt"))).alias("stays")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
           threshold: float = 0.8) -> DataFrame:
-    """The documents, one of each component: the one with the smallest id. Columns stay, whatever their names."""
+    """The documents, one row of each component: of the smallest id, null last; of equal ids the one whose
+    text has the lowest hash; of equal rows any one. Texts with no word all stay. Columns stay, whatever
+    their names.
+    """
     plain, (i, x) = c.by_position(docs, doc_id, text)
-    found = near_duplicates(plain, i, x, words, threshold)
-    gone = c.staged(found.filter(~F.col("kept")).select("__i", "__t").distinct(), "gone")
+    found = near_duplicates(plain, i, x, words, threshold).select("__i", "__t", "stays", "n_shingles")
+    rows = c.staged(found.groupBy("__i", "__t").agg(
+        F.count("*").alias("rows"), F.first("stays").alias("stays"), F.max("n_shingles").alias("n")), "keys")
+    gone = rows.filter("n > 0 and not stays").select("__i", "__t")
+    many = rows.filter("n > 0 and stays and rows > 1").select("__i", "__t")
     keyed = plain.withColumns(c.key_columns(i, x))
-    return keyed.join(gone, ["__i", "__t"], "left_anti").select(*plain.columns).toDF(*docs.columns)
+    if many.isEmpty():
+        kept = keyed.join(gone, ["__i", "__t"], "left_anti")
+    else:
+        kept = keyed.join(gone.unionByName(many), ["__i", "__t"], "left_anti").unionByName(
+            keyed.join(many, ["__i", "__t"], "left_semi").dropDuplicates(["__i", "__t"]))
+    return kept.select(*plain.columns).toDF(*docs.columns)

@@ -172,6 +172,84 @@ def test_regions_cut_by_ranges_are_open(spark):
     assert sum(r.late < 2 for r in found) == 3 or bytes(9) in {bytes(r.a) for r in found if r.late == 2}
 
 
+def test_templated_rows_grow_with_the_family(spark):
+    """The rows that are sent out to be compared, for families of 300 to 2,400 members hardly ever linked."""
+    pick, sent = random.Random(5), {}
+    slots = [[f"s{k}v{v}" for v in range(3)] for k in range(40)]
+    for m in (300, 2400):
+        base = [f"b{k}" for k in range(60)]
+        rows = [(k, " ".join(base + [pick.choice(s) for s in slots])) for k in range(m)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        seen = []
+        whole = near_dups.remaining
+
+        def counted(rest, sets, threshold):
+            dealt = rest.select((F.when(F.col("major"), F.col("minors")).otherwise(
+                F.col("minors") + F.col("majors"))).alias("times"))
+            seen.append(dealt.agg(F.sum("times")).first()[0])
+            return whole(rest, sets, threshold)
+
+        near_dups.remaining = counted
+        try:
+            near_dups.near_duplicates(df, words=1).count()
+        finally:
+            near_dups.remaining = whole
+        sent[m] = sum(seen)
+    assert 0 < sent[2400] < 12 * max(sent[300], 300)
+
+
+def test_unrelated_texts_without_ids(spark):
+    """Null ids: rows are told apart by their whole text; of equal rows and of near copies one stays."""
+    copy = " ".join(prose(50, 60))
+    near = copy + " end"
+    other = " ".join(prose(51, 60))
+    rows = [(1, copy), (None, near), (None, other), (None, other), (None, other), (7, copy), (7, near), (8, None),
+            (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = sorted(map(repr, (tuple(r) for r in near_dups.dedup(df, words=2).collect())))
+    assert left == sorted(map(repr, [(1, copy), (None, other), (8, None), (None, None), (None, "")]))
+
+
+def test_near_copies_that_share_an_id(spark):
+    """Every row has the component's id; still one row of them stays."""
+    base = prose(60, 80)
+    rows = [(3, " ".join(base + [f"x{k}"])) for k in range(4)] + [(3, " ".join(base + ["x1"]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert near_dups.dedup(df, words=2).count() == 1
+    assert {r.component_id for r in near_dups.near_duplicates(df, words=2).collect()} == {3}
+
+
+def test_words_hashed_together():
+    """Texts hashed in one go have the hashes they have alone; words do not run on into the next text."""
+    import numpy as np
+    import pyarrow as pa
+
+    from countylens.llm import common
+
+    pick = random.Random(8)
+    texts = ["", None, " ", "a", "b ", " c d", "é", "x" * 300] + [
+        "".join(pick.choice("ab \n\tÀ\u3000") for _ in range(pick.randrange(40))) for _ in range(200)]
+    column = pa.array([t.encode() if t is not None else None for t in texts], pa.binary())
+    for part in (column, column[5:60], column[0:3]):
+        hashes, ends = common.hashed(part)
+        want = [common.word_hashes(t) for t in ((x or b"") for x in part.to_pylist())]
+        assert ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+        assert hashes.tolist() == np.concatenate(want).tolist()
+        runs = list(common.pieces(part, 30))
+        assert [r for a, b in runs for r in range(a, b)] == list(range(len(part)))
+
+
+def test_keys_of_rows(spark):
+    from countylens.llm import common
+
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (None, "b"), (0, "a"), (None, None), (None, "")],
+                               "doc_id bigint, text string")
+    keys = [(r["__i"], r["__t"], r.late) for r in df.select(
+        *[x.alias(n) for n, x in common.key_columns("doc_id", "text").items()]).withColumn("late", common.late()).collect()]
+    assert len(set(keys)) == 6 and [k[2] for k in keys] == [False, False, True, True, False, True, True]
+    assert [k[0] for k in keys[:2]] == [1, 1] and keys[4][0] == 0
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert substrings.digest(empty).count() == 0
