@@ -190,8 +190,8 @@ def key_columns(doc_id: str, text: str) -> dict[str, Column]:
     """
     digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
-    def half(start: int) -> Column:
-        return F.conv(F.substring(digest, start, 16), 16, -10).cast("bigint")
+    def half(start: int) -> Column:  # never null, and Spark is to know it: a join then filters nothing
+        return F.coalesce(F.conv(F.substring(digest, start, 16), 16, -10).cast("bigint"), F.lit(0))
 
     marked = half(17).bitwiseAND(F.lit(-2)).bitwiseOR(F.col(doc_id).isNull().cast("bigint"))
     return {"__i": F.coalesce(F.col(doc_id).cast("bigint"), half(1)), "__t": marked}

@@ -19,36 +19,62 @@ Null ids come last in the order. A null or short text has no factor and is left
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from countylens.llm import common as c
 
 KEY = ["__i", "__t"]
 
 
-def representatives(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Hash and place of the representatives, and for each the first and last window it stands for."""
+def representatives(hashes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of the words of some texts: hash and place of the representatives, and for each the text and the
+    first and last window it stands for. Places are counted over all these texts."""
+    empty = np.zeros(0, np.int64)
     if len(hashes) < window:
-        empty = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), empty, empty, empty
+        return np.zeros(0, np.uint64), empty, empty, empty, empty
     grams = c.shingles(hashes, gram)
-    pick = sliding_window_view(grams, window - gram + 1).argmin(axis=1) + np.arange(
-        len(hashes) - window + 1)
-    first = np.flatnonzero(np.diff(pick, prepend=-1))
-    last = np.append(first[1:], len(pick)) - 1
-    at = pick[first]
-    return grams[at], at, first, last
-
-
-def candidate_windows(hashes: np.ndarray, window: int, gram: int, hits: np.ndarray) -> np.ndarray:
+    last_window = np.repeat(ends - window, np.diff(ends, prepend=0))[:len(hashes) - window + 1]
+    start = np.flatnonzero(np.arange(len(last_window)) <= last_window)  # windows inside one text
+    if not len(start):
+        return np.zeros(0, np.uint64), empty, empty, empty, empty
+    pick = (sliding_window_view(grams, window - gram + 1).argmin(axis=1) + np.arange(len(last_window)))[start]
+    text = np.searchsorted(ends, start, "right")
+    begin = np.flatnonzero((np.diff(pick, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+    last = np.append(begin[1:], len(pick)) - 1
+    at = pick[begin]
+    return grams[at], at, text[begin], start[begin], start[last]
+
+
+def candidate_windows(hashes: np.ndarray, ends: np.ndarray, window: int, gram: int, hits: np.ndarray) -> np.ndarray:
     """Starts of the windows whose representative, by place, is one of the hits."""
-    _, at, first, last = representatives(hashes, window, gram)
+    _, at, _, first, last = representatives(hashes, ends, window, gram)
     chosen = np.isin(at, hits)
-    runs = [np.arange(a, b + 1) for a, b in zip(first[chosen], last[chosen])]
-    return np.concatenate(runs) if runs else np.zeros(0, np.int64)
+    first, size = first[chosen], last[chosen] - first[chosen] + 1
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def candidates(texts: pa.BinaryArray, hits: pa.ListArray, window: int, gram: int
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words' hashes of some texts, where each text ends, and of each candidate window its start, counted
+    over all, and its text. Hits are counted in their own text."""
+    hashes, ends = c.hashed(texts)
+    begins = np.concatenate([[0], ends[:-1]])
+    places = _flat(hits, begins)
+    starts = candidate_windows(hashes, ends, window, gram, places)
+    return hashes, ends, starts, np.searchsorted(ends, starts, "right")
+
+
+def _flat(lists: pa.ListArray, shift: np.ndarray) -> np.ndarray:
+    """The numbers of all lists, each moved by its list's shift."""
+    sizes = np.nan_to_num(np.asarray(pc.list_value_length(lists), float)).astype(np.int64)
+    return np.asarray(lists.flatten()).astype(np.int64) + np.repeat(shift, sizes)
 
 
 def parse(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -68,40 +94,43 @@ def factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     ones, the windows of those, and the rows themselves once.
     """
     rows = docs.withColumns(c.key_columns(doc_id, text))
-    texts = rows.select(*KEY, F.col(text).alias("text"))
+    texts = rows.select(*KEY, F.col(text).cast("binary").alias("text"))
 
     def hashes_only(parts):
         for part in parts:
-            for t in part.column(0).to_pylist():
-                if t:
-                    found = representatives(c.word_hashes(t.encode()), window, gram)[0]
-                    if len(found):
-                        yield pa.record_batch({"rep": pa.array(found.view(np.int64))})
+            for a, b in c.pieces(part.column(0)):
+                found = representatives(*c.hashed(part.column(0)[a:b]), window, gram)[0]
+                if len(found):
+                    yield pa.record_batch({"rep": pa.array(found.view(np.int64))})
 
     def places(parts):
         for part in parts:
-            for i, t, x in zip(*(col.to_pylist() for col in part.columns)):
-                if x:
-                    rep, at, *_ = representatives(c.word_hashes(x.encode()), window, gram)
-                    if len(rep):
-                        yield pa.record_batch({
-                            "rep": pa.array(rep.view(np.int64)),
-                            "__i": pa.array(np.full(len(rep), i, np.int64)),
-                            "__t": pa.array(np.full(len(rep), t, np.int64)),
-                            "at": pa.array(at.astype(np.int32))})
+            for a, b in c.pieces(part.column("text")):
+                hashes, ends = c.hashed(part.column("text")[a:b])
+                rep, at, of, *_ = representatives(hashes, ends, window, gram)
+                if len(rep):
+                    of_text = pa.array(of)
+                    yield pa.record_batch({
+                        "rep": pa.array(rep.view(np.int64)), "__i": part.column("__i")[a:b].take(of_text),
+                        "__t": part.column("__t")[a:b].take(of_text),
+                        "at": pa.array((at - np.concatenate([[0], ends[:-1]])[of]).astype(np.int32))})
 
     def windows(parts):
         for part in parts:
-            for i, t, x, hits in zip(*(part.column(n).to_pylist()
-                                       for n in (*KEY, text, "__hits"))):
-                h = c.word_hashes(x.encode())
-                starts = candidate_windows(h, window, gram, np.array(hits))
-                seen, first = np.unique(c.shingles(h, window)[starts], return_index=True)
+            column = part.column(text).cast(pa.binary())
+            for a, b in c.pieces(column):
+                hashes, ends, starts, of = candidates(column[a:b], part.column("__hits")[a:b], window, gram)
+                if not len(starts):
+                    continue
+                found = c.shingles(hashes, window)[starts]
+                order = np.lexsort((starts, found, of))  # each window of a text once, where it starts first
+                new = np.append(True, (np.diff(found[order].view(np.int64)) != 0) | (np.diff(of[order]) != 0))
+                order = order[new]
+                of_text = pa.array(of[order])
                 yield pa.record_batch({
-                    "h": pa.array(seen.view(np.int64)),
-                    "__i": pa.array(np.full(len(seen), i, np.int64)),
-                    "__t": pa.array(np.full(len(seen), t, np.int64)),
-                    "start": pa.array(starts[first].astype(np.int32))})
+                    "h": pa.array(found[order].view(np.int64)), "__i": part.column("__i")[a:b].take(of_text),
+                    "__t": part.column("__t")[a:b].take(of_text),
+                    "start": pa.array((starts - np.concatenate([[0], ends[:-1]])[of])[order].astype(np.int32))})
 
     repeated = c.staged(
         texts.select("text").mapInArrow(hashes_only, "rep bigint").groupBy("rep")
@@ -114,25 +143,36 @@ def factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     found = rows.join(hits, KEY).mapInArrow(
         windows, "h bigint, __i bigint, __t bigint, start int")
     index = found.groupBy("h").agg(F.min(F.struct(
-        (F.col("__t") >= 1 << 32).alias("late"), "__i", "__t", "start")).alias("at"))
+        c.late().alias("late"), "__i", "__t", "start")).alias("at"))
     firsts = index.groupBy(F.col("at.__i").alias("__i"), F.col("at.__t").alias("__t")).agg(
         F.collect_set("at.start").alias("__firsts"))
     return rows.join(hits.join(firsts, KEY, "left"), KEY, "left")
 
 
-def repeats(text: str | None, hits: list[int] | None, firsts: list[int] | None, window: int,
-            gram: int) -> list[tuple[int, int]]:
-    """The factors of one text: candidate windows less those that start first here."""
-    if not text or not hits:
-        return []
-    starts = candidate_windows(c.word_hashes(text.encode()), window, gram, np.array(hits))
-    return parse(np.sort(starts[~np.isin(starts, np.array(firsts or [], np.int64))]), window)
+def repeats(texts: pa.BinaryArray, hits: pa.ListArray, firsts: pa.ListArray, window: int, gram: int
+            ) -> list[list[tuple[int, int]]]:
+    """The factors of each text: candidate windows less those that start first here."""
+    hashes, ends, starts, of = candidates(texts, hits, window, gram)
+    begins = np.concatenate([[0], ends[:-1]])
+    later = ~np.isin(starts, _flat(firsts, begins))
+    starts, of = starts[later] - begins[of[later]], of[later]
+    edges = np.searchsorted(of, np.arange(len(ends) + 1))
+    return [parse(np.sort(starts[a:b]), window) for a, b in zip(edges[:-1], edges[1:])]
+
+
+def factors_of(part: pa.RecordBatch, text: str, window: int, gram: int) -> Iterator[list[tuple[int, int]]]:
+    """The factors of every row of a batch, texts with hits hashed together."""
+    column, hits, firsts = part.column(text).cast(pa.binary()), part.column("__hits"), part.column("__firsts")
+    some = pc.is_valid(hits)
+    chosen = column.filter(some)
+    found = (spans for a, b in c.pieces(chosen) for spans in repeats(
+        chosen[a:b], hits.filter(some)[a:b], firsts.filter(some)[a:b], window, gram))
+    for has in some.to_pylist():
+        yield next(found) if has else []
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """The text less the spans of words; what stands between other words is kept."""
-    import re
-
     if not spans:
         return text
     marks = [m.span() for m in re.finditer(c.WORD_RUN, text)]
@@ -161,21 +201,15 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     plain, (i, words) = c.by_position(docs, doc_id, text)
     parsed = factors(plain, i, words, window, gram)
 
-    def cut(x, hits, firsts):
-        import pandas as pd
-
-        return pd.Series([without(t, repeats(t, h, f, window, gram)) if t else t
-                          for t, h, f in zip(x, _lists(hits), _lists(firsts))], dtype=object)
-
-    cut_ = F.pandas_udf(cut, T.StringType())
-    untouched = F.col("__hits").isNull()
-    return parsed.select(*[
-        F.when(untouched, F.col(n)).otherwise(cut_(F.col(n), F.col("__hits"), F.col("__firsts")))
-        .alias(n) if n == words else F.col(n) for n in plain.columns]).toDF(*docs.columns)
-
+    def cut(parts):
+        for part in parts:
+            spans = factors_of(part, words, window, gram)
+            left = [without(t, s) if s else t for t, s in zip(part.column(words).to_pylist(), spans)]
+            at = part.schema.get_field_index(words)
+            yield part.set_column(at, words, pa.array(left, pa.string())).drop_columns(["__hits", "__firsts"])
 
-def _lists(values) -> list:
-    return [None if v is None else list(v) for v in values]
+    shown = parsed.select(*plain.columns, "__hits", "__firsts")
+    return shown.mapInArrow(cut, plain.schema).toDF(*docs.columns)
 
 
 def digest(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
@@ -188,15 +222,14 @@ def digest(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
 
     def rows(parts):
         for part in parts:
-            for i, x, hits, firsts in zip(*(col.to_pylist() for col in part.columns)):
-                tokens = c.words(x)
-                spans = repeats(x, hits, firsts, window, gram)
-                kept = tokens
-                if spans:
-                    gone = np.zeros(len(tokens), bool)
-                    for start, n in spans:
-                        gone[start:start + n] = True
-                    kept = [w for w, g in zip(tokens, gone) if not g]
+            texts = part.column("text").cast(pa.binary()).to_pylist()
+            for i, x, spans in zip(part.column("doc_id").to_pylist(), texts, factors_of(part, "text", window, gram)):
+                tokens = x.split() if x else []
+                kept, at = [], 0
+                for start, n in merged(spans):
+                    kept += tokens[at:start]
+                    at = start + n
+                kept += tokens[at:]
                 yield (i, len(tokens), len(tokens) - len(kept), c.sha256(b" ".join(kept)),
                        [{"start": s, "length": n} for s, n in spans])
 
