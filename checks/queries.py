@@ -628,6 +628,12 @@ def normalize_words(d: Data) -> DataFrame:
     return topics.normalize(_bag(d), _lexicon(d))
 
 
+@query(t.stem_sql("SELECT DISTINCT word FROM bag"))
+def base_forms(d: Data) -> DataFrame:
+    """Every distinct word with its base form."""
+    return topics.base_forms(_bag(d))
+
+
 @query("SELECT row_number() OVER (ORDER BY count DESC, word) - 1 AS word_id, word, count FROM "
        "(SELECT word, sum(count)::BIGINT AS count FROM bag GROUP BY word)")
 def vocabulary(d: Data) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from countylens import catalog, schemas
-from countylens.functions import areas, texts
+from countylens.functions import areas, stems, texts
 from countylens.operators import clean, indicators
 from countylens.operators.lookup import one_row_per_code
 from countylens.plans import etl, reports
@@ -255,6 +255,51 @@ def letter_tokens_sql(text: str) -> str:
             "lambda t: length(t) BETWEEN 2 AND 15 AND NOT starts_with(t, '_'))")
 
 
+def stem_sql(source: str) -> str:
+    """Words of a query with their base forms: the steps of the cascade as queries inside each other."""
+    def size(text):
+        return f"length({text})"
+
+    def stripped(step):
+        whens = []
+        for r in step:
+            stem = f"left(w, length(w) - {len(r.ending)})"
+            holds = ([f"{size(stem)} >= r{r.region}"] if r.region else []) + (
+                [f"regexp_matches({stem}, {text_sql(r.before)})"] if r.before else [])
+            other = "w" if r.otherwise is None else f"{stem} || {text_sql(r.otherwise)}"
+            new = "w" if r.becomes is None else f"{stem} || {text_sql(r.becomes)}"
+            new = f"CASE WHEN {' AND '.join(holds)} THEN {new} ELSE {other} END" if holds else new
+            whens.append(f"WHEN ends_with(w, {text_sql(r.ending)}) THEN {new}")
+        return f"CASE {' '.join(whens)} ELSE w END"
+
+    def step(sql, w, more=""):
+        return f"SELECT * REPLACE ({w} AS w){more} FROM ({sql})"
+
+    unless = "CASE WHEN stays THEN w ELSE {} END"
+    sql = (f"SELECT word, regexp_replace(regexp_replace(word, '^y', 'Y'), '({stems.VOWEL})y', '\\1Y', 'g') AS w "
+           f"FROM ({source})")
+    sql = step(sql, stripped(stems.POSSESSIVE))
+    sql = f"SELECT *, {size(f'regexp_extract(w, {text_sql(f"^({stems.PREFIXES})|{stems.BEFORE_REGION}")}, 0)')} AS f FROM ({sql})"
+    sql = f"SELECT *, CASE WHEN f > 0 THEN f ELSE length(w) END AS r1 FROM ({sql})"
+    sql = f"SELECT *, {size(f'regexp_extract(substr(w, r1 + 1), {text_sql(stems.BEFORE_REGION)}, 0)')} AS g FROM ({sql})"
+    sql = f"SELECT *, CASE WHEN g > 0 THEN r1 + g ELSE length(w) END AS r2 FROM ({sql})"
+    sql = step(sql, stripped(stems.PLURAL))
+    sql = f"SELECT *, w IN ({', '.join(map(text_sql, stems.STAY))}) AS stays, {stripped(stems.PAST)} AS p FROM ({sql})"
+    mended = (f"CASE WHEN regexp_matches(p, '(at|bl|iz)$') THEN p || 'e' WHEN regexp_matches(p, '({'|'.join(stems.DOUBLES)})$') "
+              f"THEN left(p, length(p) - 1) WHEN length(p) <= r1 AND regexp_matches(p, {text_sql(stems.SHORT)}) "
+              "THEN p || 'e' ELSE p END")
+    sql = step(sql, unless.format(f"CASE WHEN length(w) - length(p) > 1 AND NOT regexp_matches(w, 'eed(ly)?$') THEN {mended} ELSE p END"))
+    for rules in (stems.LAST_Y, stems.LONG, stems.MIDDLE, stems.SHORTER):
+        sql = step(sql, unless.format(stripped(rules)))
+    stem = "left(w, length(w) - 1)"
+    sql = step(sql, unless.format(
+        f"CASE WHEN ends_with(w, 'e') THEN CASE WHEN length(w) - 1 >= r2 OR (length(w) - 1 >= r1 AND NOT "
+        f"regexp_matches({stem}, {text_sql(stems.SHORT)})) THEN {stem} ELSE w END ELSE {stripped([stems.LAST_L])} END"))
+    special = " ".join(f"WHEN word = {text_sql(a)} THEN {text_sql(b)}" for a, b in stems.SPECIAL.items())
+    return (f"SELECT word, CASE WHEN length(word) <= 2 THEN word {special} ELSE translate(w, 'Y', 'y') END AS base "
+            f"FROM ({sql})")
+
+
 def title_sql(name: str) -> str:
     runs = f"regexp_extract_all(lower({name}), '(\\p{{L}}+|\\P{{L}}+)')"
     return (f"array_to_string(list_transform({runs}, "

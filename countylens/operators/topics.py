@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from countylens import storage
-from countylens.functions import measures, texts
+from countylens.functions import measures, stems, texts
 from countylens.operators import words
 
 TOPICS = 10
@@ -50,6 +50,11 @@ def normalize(bag: DataFrame, lexicon: DataFrame, doc: str = "doc_id") -> DataFr
             .agg(F.sum("count").alias("count")))
 
 
+def base_forms(bag: DataFrame) -> DataFrame:
+    """A lexicon for ``normalize``: every distinct word with its base form by rules, for English."""
+    return stems.with_stems(bag.select("word").distinct())
+
+
 def vocabulary(bag: DataFrame) -> DataFrame:
     """Every word with its total count and its number, 0 for the most frequent."""
     totals = bag.groupBy("word").agg(F.sum("count").alias("count"))
