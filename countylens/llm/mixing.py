@@ -12,18 +12,24 @@ a last coin rounds. So a source misses its target by less than one document.
 Coins are hashes of seed, level and document, and leaves are hashes of the document, so reruns agree and a
 lost task is repeated alike. Only keys and numbers are shuffled.
 
-Documents are told apart by doc_id and text; rows with equal both share one draw and are taken alike. A null
-text has size 0. Documents of size 0 are rounded by a coin of their own. An empty table gives an
-empty result; a mix whose sizes are all 0 has targets of 0.
+Targets come from a table of one row per source: places in code point order are numbered by ranges of that
+order, and the stop is a level that rises until no source passes it, each time one aggregation. The driver
+holds one number per range and a few sums, whatever the number of sources.
+
+Of n rows with equal doc_id, text and source and fraction x, floor(n x) take one copy more, and one fraction for
+what is left goes into the tree; which of the equal rows take it is told by their place in the table. A null
+text has size 0, a very long one is counted whole where it lies. Documents of size 0 are rounded by a coin
+of their own. An empty table gives an empty result; a mix whose sizes are all 0 has targets of 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from countylens.llm import common as c
 
@@ -31,28 +37,46 @@ WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 LEAF, FAN = 256, 64
 
 
-def targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, share: float = SHARE,
-            most: float = MOST) -> dict[str | None, float]:
-    """Words wanted of each source: share of all words by weight, none above most times its size.
+def sources(rows: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """(source, source_size, weight): in code point order, null last, the weights in turn.
 
-    Sources in code point order, null last, take the weights in turn. What goes beyond a stop is dealt
-    to the others by weight, until none is above.
+    A row's place is its place in its range of the order, behind as many as the ranges before hold.
     """
-    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(x) for x in s])
-    order += [None] if None in sizes else []
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
-    out: dict[str | None, float] = {}
-    left, free = share * sum(sizes.values()), set(order)
-    while free:
-        whole = sum(weight[s] for s in free)
-        over = {s for s in free if left * weight[s] / whole > most * sizes[s]}
-        if not over:
-            return out | {s: left * weight[s] / whole for s in free}
-        out |= {s: most * sizes[s] for s in over}
-        left -= sum(most * sizes[s] for s in over)
-        free -= over
-        left = max(left, 0.0)
-    return out
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    order = F.asc_nulls_last("source")
+    dealt = c.staged(totals.repartitionByRange(order).sortWithinPartitions(order).withColumn(
+        "at", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("at", 33)
+    held = sorted(map(tuple, dealt.groupBy(part).count().collect()))  # one number per range
+    before = np.cumsum([0] + [n for _, n in held]).tolist()
+    offsets = rows.sparkSession.createDataFrame(
+        [(p, b) for (p, _), b in zip(held, before)], "part bigint, before bigint")
+    turn = F.pmod(F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(len(weights)))
+    return dealt.withColumn("part", part).join(F.broadcast(offsets), "part").select(
+        "source", "source_size", F.element_at(F.array(*map(F.lit, weights)), turn.cast("int") + 1).alias("weight"))
+
+
+def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The sources with target: share of all words by weight, none above most times its size.
+
+    What goes beyond a stop is dealt to the others by weight. A source stops where its stop over its weight is
+    below the level, the words per weight left to those that do not; as sources stop the level rises.
+    """
+    stop = most * F.col("source_size")
+
+    def over(level: float) -> Column:
+        return F.lit(level) * F.col("weight") > stop
+
+    level, stopped = 0.0, -1
+    while True:
+        past = over(level)
+        n, held, free, words = sizes.agg(
+            F.count_if(past), F.sum(F.when(past, stop)), F.sum(F.when(~past, F.col("weight"))),
+            F.sum("source_size")).first()
+        if n == stopped or not free:
+            break
+        level, stopped = max(share * words - (held or 0.0), 0.0) / free, n
+    return sizes.withColumn("target", F.when(over(level), stop).otherwise(F.lit(level) * F.col("weight")))
 
 
 def coins(seed: int, level: int, key: np.ndarray) -> np.ndarray:
@@ -130,48 +154,72 @@ def _round(rows: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
     return dealt.mapInArrow(reduce, _STATE)
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 1
-        ) -> DataFrame:
-    """Keys `__i`, `__t`, source, size, source_size, target and copies, a row per row of docs."""
-    keyed = docs.withColumns(c.key_columns(doc_id, text)).select(
-        F.col(doc_id).cast("bigint").alias("doc_id"), "__i", "__t", F.col(source).alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(c.WORD_RUN)), F.lit(0)).cast("bigint").alias("size"))
-    sized = c.staged(keyed, "sizes")
-    totals = {r.source: r.size for r in sized.groupBy("source").agg(
-        F.sum("size").alias("size")).collect()}  # one row per source
-    wanted = targets(totals, weights, share, most)
-    plan = docs.sparkSession.createDataFrame(
-        [(s, totals[s], t, t / totals[s] if totals[s] else 0.0) for s, t in wanted.items()],
-        "source string, source_size bigint, target double, rate double")
-    sized = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).drop(
-        plan["source"])
-    sized = sized.withColumn("whole", F.floor("rate"))
-    n = sized.count()
-    leaves = max(1, -(-n // LEAF))
-    state = sized.filter("rate > whole").select(
-        "source", "__i", "__t", "size", (F.col("rate") - F.col("whole")).alias("x"),
-        F.pmod(F.xxhash64("__i", "__t"), F.lit(leaves)).alias("node")).distinct()
+def _same(*names: str) -> Column:
+    return reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names])
+
+
+def _apart(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumnsRenamed({n: f"_{n}" for n in names})
+
+
+def drawn(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST,
+          seed: int = 1) -> DataFrame:
+    """source, `__i`, `__t`, size and `__m`, a number per row, with source_size, target and copies."""
+    spark = rows.sparkSession
+    key = ("source", "__i", "__t")
+    plan = c.staged(targets(c.staged(sources(rows, weights), "weighed"), share, most).withColumn(
+        "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    ).withColumn("whole", F.floor("rate")).drop("weight"), "targets")
+    # Equal rows are counted by where they lie, so that no task numbers all of a large group.
+    lot = F.pmod(F.shiftright("__m", 33), F.lit(c.width(spark)))
+    cells = rows.groupBy(*key, "size", lot.alias("lot")).agg(F.count("*").alias("n"))
+    equal = Window.partitionBy(*key)
+    cells = cells.withColumns({"before": F.sum("n").over(equal.orderBy("lot")) - F.col("n"),
+                               "equal": F.sum("n").over(equal)})
+    cells = c.staged(cells.join(_apart(plan, "source"), _same("source")).drop("_source").withColumn(
+        "share", F.col("equal") * (F.col("rate") - F.col("whole"))).withColumn("sure", F.floor("share")), "cells")
+    open_ = cells.filter("before = 0 and share > sure")
+    leaves = max(1, -(-open_.count() // LEAF))
+    state = open_.select("source", "__i", "__t", "size", (F.col("share") - F.col("sure")).alias("x"),
+                         F.pmod(F.xxhash64("__i", "__t"), F.lit(leaves)).alias("node"))
     settled: list[DataFrame] = []
     level = 0
     while True:
         last = leaves == 1
         step = c.staged(_round(state, seed, level, last), "rounded")
-        settled.append(step.filter("x = 0 or x = 1").select("source", "__i", "__t", "x"))
+        settled.append(step.filter("x = 1").select("source", "__i", "__t", F.lit(1).alias("one")))
         if last:
             break
         leaves = -(-leaves // FAN)
         level += 1
         state = step.filter("x > 0 and x < 1").withColumn(
             "node", F.call_function("div", F.col("node"), F.lit(FAN)))
-    rounded = settled[0]
-    for more in settled[1:]:
-        rounded = rounded.unionByName(more)
-    rounded = rounded.withColumn("__s", F.coalesce(F.sha2("source", 256), F.lit(""))).drop("source")
-    out = sized.withColumn("__s", F.coalesce(F.sha2("source", 256), F.lit(""))).join(
-        rounded, ["__s", "__i", "__t"], "left")
-    return out.select("doc_id", "__i", "__t", "source", "size", "source_size", "target", (
-        F.col("whole") + F.coalesce("x", F.lit(0.0))).cast("int").alias("copies"))
+    up = _apart(reduce(DataFrame.unionByName, settled), *key)
+    cells = cells.join(up, _same(*key), "left").select(
+        *key, "lot", "before", "source_size", "target", "whole", (F.col("sure") + F.coalesce("one", F.lit(0)))
+        .alias("more"))
+    place = F.row_number().over(Window.partitionBy(*key, "lot").orderBy("__m"))
+    numbered = rows.withColumn("lot", lot).withColumn("place", place)
+    out = numbered.join(_apart(cells, *key, "lot"), _same(*key, "lot"))
+    return out.select("source", "__i", "__t", "size", "__m", "source_size", "target", (
+        F.col("whole") + (F.col("before") + F.col("place") <= F.col("more")).cast("int")).cast("int").alias("copies"))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+        weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 1
+        ) -> DataFrame:
+    """doc_id, keys `__i`, `__t`, source, size, source_size, target and copies, a row per row of docs."""
+    keyed = docs.withColumns(c.key_columns(doc_id, text)).select(
+        F.col(doc_id).cast("bigint").alias("doc_id"), "__i", "__t", F.col(source).alias("source"),
+        _size(text).alias("size"), F.monotonically_increasing_id().alias("__m"))
+    sized = c.staged(keyed, "sizes")
+    out = drawn(sized.drop("doc_id"), weights, share, most, seed)
+    doc = F.when(~c.late(), F.col("__i"))
+    return out.select(doc.alias("doc_id"), "__i", "__t", "source", "size", "source_size", "target", "copies")
+
+
+def _size(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(c.WORD_RUN)), F.lit(0)).cast("bigint")
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
@@ -179,11 +227,10 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
           ) -> DataFrame:
     """The documents, each as often as the mix takes it. Columns stay, whatever their names."""
     plain, (i, x, s) = c.by_position(docs, doc_id, text, source)
-    copies = c.staged(mix(plain, i, x, s, weights, share, most, seed).select(
-        "__i", "__t", F.coalesce(F.sha2("source", 256), F.lit("")).alias("__s"), "copies")
-        .filter("copies > 0").distinct(), "copies")
-    keyed = plain.withColumns(c.key_columns(i, x)).withColumn(
-        "__s", F.coalesce(F.sha2(s, 256), F.lit("")))
-    taken = keyed.join(copies, ["__i", "__t", "__s"])
+    keyed = c.staged(plain.withColumns(c.key_columns(i, x) | {
+        "__size": _size(x), "__m": F.monotonically_increasing_id()}), "keyed")
+    rows = keyed.select(F.col(s).alias("source"), "__i", "__t", F.col("__size").alias("size"), "__m")
+    copies = drawn(rows, weights, share, most, seed).filter("copies > 0").select("__m", "copies")
+    taken = keyed.join(c.staged(copies, "copies"), "__m")
     return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
         *plain.columns).toDF(*docs.columns)

@@ -13,12 +13,53 @@ FOLDER = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables are not here")
 
 
-def test_targets():
+def plain_targets(sizes, weights=(5.0, 2.0, 1.0)):
+    """The stated rule, source by source."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: list(map(ord, s)))
+    order += [None] if None in sizes else []
+    weight = {s: weights[k % 3] for k, s in enumerate(order)}
+    left, out = 1.5 * sum(sizes.values()), {}
+    while True:
+        free = [s for s in order if s not in out]
+        whole = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / whole > 2 * sizes[s]]
+        if not over:
+            return out | {s: left * weight[s] / whole for s in free}
+        out |= {s: 2 * sizes[s] for s in over}
+        left -= sum(2 * sizes[s] for s in over)
+
+
+def found_targets(spark, sizes):
+    rows = spark.createDataFrame(list(sizes.items()), "source string, size bigint")
+    return {r.source: r.target for r in mixing.targets(mixing.sources(rows)).collect()}
+
+
+def test_targets(spark):
     sizes = {"b": 100, "a": 1000, None: 10, "c": 400}
-    want = mixing.targets(sizes)  # a, b, c, null weigh 5, 2, 1, 5
+    want = found_targets(spark, sizes)  # a, b, c, null weigh 5, 2, 1, 5
     assert want["b"] == 200 and want[None] == 20 and sum(want.values()) == pytest.approx(1.5 * 1510)
     assert want["a"] / want["c"] == pytest.approx(5)
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
+    assert found_targets(spark, {"a": 0}) == {"a": 0.0}
+    pick = random.Random(8)
+    for n in (3, 40, 3000):
+        sizes = {"é%d" % k if k % 3 else "\U0001F600%d" % k: int(10 ** (5 * pick.random())) for k in range(n)}
+        sizes[None] = 7
+        assert found_targets(spark, sizes) == pytest.approx(plain_targets(sizes))
+
+
+def test_equal_rows_do_not_miss_the_target(spark):
+    """Half of a source are copies of one row."""
+    rows = [(1, "w " * 30, "a")] * 3000 + [(k, "w " * (1 + k % 60), "a") for k in range(2, 3002)]
+    rows += [(None, "x y", "b")] * 900 + [(None, "z", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(9)
+    out = mixing.mix(df).groupBy("source").agg(
+        F.count("*").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"),
+        F.max("copies").alias("most")).collect()
+    assert {r.source: r.n for r in out} == {"a": 6000, "b": 900, None: 1}
+    for r in out:
+        assert abs(r.taken - r.target) <= 60 and r.most <= 2
+    assert mixing.mixed(df).filter("source = 'a'").agg(
+        F.sum(F.size(F.split(F.trim("text"), " ")))).first()[0] == [r.taken for r in out if r.source == "a"][0]
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +88,7 @@ def test_mix_meets_targets(docs):
 def test_mixed_rows(docs):
     rows = mixing.mix(docs).agg(F.sum("copies")).first()[0]
     out = mixing.mixed(docs)
-    assert out.columns == docs.columns and out.filter("doc_id <> 5").count() <= rows
+    assert out.columns == docs.columns and out.count() == rows
     assert mixing.mixed(docs.filter("false")).count() == 0
 
 
