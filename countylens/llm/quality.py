@@ -1,29 +1,36 @@
 """Quality rules: robust multivariate outliers.
 
-Each document has a vector of transformed statistics. For every language and source the minimum covariance
-determinant estimate is found by concentration steps over all its documents: start from medians and
-quartiles, keep the share H of documents nearest in Mahalanobis distance, take their mean and
-covariance, repeat. Distances are scaled to the median of a normal sample; a document beyond CUT
-is rejected. All steps are sums per group, added up before each shuffle; the cut at H comes from a histogram of
-distances in fine logarithmic bins, so no group is ever sorted or collected.
-
-A group of fewer than LEAST documents takes the estimate of its language, and if that is as small, of all; if
-all are fewer, nothing is rejected by distance. FLOORS are the least deviations of each statistic, so that
-one that hardly varies does not reject on its own.
-
-A null text has no word and fails the base rules. Null languages and sources are groups of their own.
+Each document has a vector of transformed statistics. For every language and source, every language, and all
+documents the minimum covariance determinant estimate is found by concentration steps over all documents
+of the group: keep the share H of documents nearest in Mahalanobis distance, take their mean and covariance,
+repeat until these no longer change. Steps start once from medians and quartiles and once from the plain mean
+and covariance; the smaller determinant wins. All steps are sums per group, added up before each
+shuffle; the cut at H comes from a histogram of distances in fine logarithmic bins, so no group is ever sorted or
+collected. A group that is settled is not read again.
+
+Covariances take the factor that makes them right for normal data. A group of n kept documents counts
+n / (n + PRIOR) and its parent's estimate the rest: source in language, language in all, all in FLOORS alone. So small
+groups lean on larger ones by degrees, at no size by a switch. FLOORS are the least deviations of each
+statistic, so that one that hardly varies does not reject on its own. A document is rejected beyond the
+1 - TAIL quantile of the chi-squared distribution with as many degrees as statistics.
+
+A null text has no word and fails the base rules; a text of any length is read whole, one at a time. Null
+languages and sources are groups of their own. Repeated rows count as often as they come. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from countylens.llm import common as c
 
-H, STEPS, LEAST, CUT = 0.75, 3, 200, 150.0
-FLOORS = {"size": 0.5, "length": 0.1, "symbols": 0.4, "lines": 0.1, "repeats": 0.05, "upper": 0.4,
+H, STEPS, PRIOR, TAIL = 0.75, 30, 70.0, 1e-6
+FLOORS = {"size": 0.5, "length": 0.1, "symbols": 0.4, "lines": 0.4, "repeats": 0.1, "upper": 0.4,
           "marks": 0.3}
 NAMES = tuple(FLOORS)
 P = len(NAMES)
@@ -32,6 +39,22 @@ SPACES = "\x20\t\n\x0b\x0c\r"
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
+def chi_squared(share: float, degrees: int) -> float:
+    """Quantile by the cube root of Wilson and Hilferty."""
+    k = 2 / (9 * degrees)
+    return degrees * (1 - k + NormalDist().inv_cdf(share) * k ** 0.5) ** 3
+
+
+def consistency(share: float, degrees: int) -> float:
+    """How much larger a normal sample's covariance is than that of its share nearest to the middle."""
+    k = 2 / (9 * (degrees + 2))
+    x = chi_squared(share, degrees) / (degrees + 2)
+    return share / NormalDist().cdf((x ** (1 / 3) - 1 + k) / k ** 0.5)
+
+
+CUT = chi_squared(1 - TAIL, P)
+
+
 def base_statistics(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     if not text:
@@ -107,81 +130,131 @@ def bin_of(d: Column) -> Column:
     return F.floor(32 * F.log2(d + 1e-6)).cast("int")
 
 
-def estimates(sums: DataFrame) -> DataFrame:
-    """(g, n, mean, inverse) from n, sums and sums of products."""
-    floor = np.diag(np.square(list(FLOORS.values())))
-    kinds = {"g": pa.string(), "n": pa.int64(), "mean": pa.list_(pa.float64()),
-             "inverse": pa.list_(pa.float64())}
+def sums(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        *[F.sum(n).alias(f"s{i}") for i, n in enumerate(NAMES)],
+        *[F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q{i}_{j}") for i, j in PAIRS])
+
+
+def square(triangle: list[float]) -> np.ndarray:
+    """A symmetric matrix from its upper triangle row by row."""
+    out = np.zeros((P, P))
+    for v, (i, j) in zip(triangle, PAIRS):
+        out[i, j] = out[j, i] = v
+    return out
+
+
+def triangle(matrix: np.ndarray) -> list[float]:
+    return [float(matrix[i, j]) for i, j in PAIRS]
+
+
+FLOOR = np.diag(np.square(list(FLOORS.values())))
+
+
+def estimates(of: DataFrame) -> DataFrame:
+    """(g, start, n, mean, inverse, spread, size) from n, sums and sums of products.
+
+    spread is the covariance, inverse that of the covariance with the floors, size the log of its determinant.
+    """
+    kinds = {"g": pa.string(), "start": pa.int32(), "n": pa.int64(), "mean": pa.list_(pa.float64()),
+             "inverse": pa.list_(pa.float64()), "spread": pa.list_(pa.float64()), "size": pa.float64()}
 
     def rows(parts):
         for part in parts:
             for r in part.to_pylist():
                 mean = np.array([r[f"s{i}"] for i in range(P)]) / r["n"]
-                second = np.zeros((P, P))
-                for i, j in PAIRS:
-                    second[i, j] = second[j, i] = r[f"q{i}_{j}"] / r["n"]
-                inverse = np.linalg.inv(second - np.outer(mean, mean) + floor)
-                yield r["g"], r["n"], mean.tolist(), [inverse[i, j] for i, j in PAIRS]
+                spread = square([r[f"q{i}_{j}"] / r["n"] for i, j in PAIRS]) - np.outer(mean, mean)
+                whole = spread + FLOOR
+                yield (r["g"], r["start"], r["n"], mean.tolist(), triangle(np.linalg.inv(whole)),
+                       triangle(spread), float(np.linalg.slogdet(whole)[1]))
 
-    return sums.mapInArrow(lambda parts: c.batches(kinds, rows(parts)),
-                           "g string, n bigint, mean array<double>, inverse array<double>")
+    return of.mapInArrow(lambda parts: c.batches(kinds, rows(parts)),
+                         "g string, start int, n bigint, mean array<double>, inverse array<double>, "
+                         "spread array<double>, size double")
 
 
 def started(rows: DataFrame) -> DataFrame:
-    """First estimates: medians, and variances from quartiles."""
+    """First estimates: medians with variances from quartiles, and the plain mean and covariance."""
     quartiles = [F.percentile_approx(n, [0.25, 0.5, 0.75], 1000).alias(n) for n in NAMES]
     per = rows.groupBy("g").agg(F.count("*").alias("n"), *quartiles)
     variance = {n: F.pow((F.col(n)[2] - F.col(n)[0]) / 1.349, 2) + FLOORS[n] ** 2 for n in NAMES}
-    return per.select("g", "n", F.array(*[F.col(n)[1] for n in NAMES]).alias("mean"), F.array(*[
+    middle = per.select("g", F.lit(0).alias("start"), F.array(*[F.col(n)[1] for n in NAMES]).alias("mean"), F.array(*[
         1 / variance[NAMES[i]] if i == j else F.lit(0.0) for i, j in PAIRS]).alias("inverse"))
+    plain = estimates(sums(rows, "g").withColumn("start", F.lit(1)))
+    return middle.unionByName(plain.select(*middle.columns))
 
 
 def cuts(rows: DataFrame, share: float) -> DataFrame:
-    """(g, cut): the bin of distances at the share of each group's documents."""
-    spread = rows.groupBy("g", bin_of(distance()).alias("bin")).agg(F.count("*").alias("m"))
-    up = Window.partitionBy("g").orderBy("bin")  # as many rows as bins, under 3,000
-    whole = Window.partitionBy("g")
+    """(g, start, cut): the bin of distances at the share of each group's documents."""
+    spread = rows.groupBy("g", "start", bin_of(distance()).alias("bin")).agg(F.count("*").alias("m"))
+    whole = Window.partitionBy("g", "start")
+    up = whole.orderBy("bin")  # as many rows as bins, under 3,000
     return (spread.withColumn("so_far", F.sum("m").over(up))
             .withColumn("all", F.sum("m").over(whole))
-            .filter(F.col("so_far") >= share * F.col("all")).groupBy("g")
+            .filter(F.col("so_far") >= share * F.col("all")).groupBy("g", "start")
             .agg(F.min("bin").alias("cut")))
 
 
 def covariance_estimates(rows: DataFrame, steps: int = STEPS, share: float = H) -> DataFrame:
-    """(g, n, mean, inverse, scale) for every group g of the rows."""
+    """(g, n, mean, spread) for every group g of the rows: n documents were kept."""
     now = c.staged(started(rows), "estimates")
-    for _ in range(steps):
-        near = c.staged(cuts(rows.join(now.drop("n"), "g"), share), "cuts")
-        inside = rows.join(now.drop("n"), "g").join(near, "g").filter(
-            bin_of(distance()) <= F.col("cut"))
-        sums = inside.groupBy("g").agg(
-            F.count("*").alias("n"),
-            *[F.sum(n).alias(f"s{i}") for i, n in enumerate(NAMES)],
-            *[F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q{i}_{j}") for i, j in PAIRS])
-        now = c.staged(estimates(sums), "estimates")
-    middle = cuts(rows.join(now.drop("n"), "g"), 0.5)
-    normal = P * (1 - 2 / (9 * P)) ** 3  # median of a chi-squared variable
-    scale = normal / F.pow(F.lit(2.0), (F.col("cut") + 0.5) / 32)
-    return now.join(middle, "g").select(
-        "g", "mean", "inverse", F.least(scale, F.lit(1.0)).alias("scale"))
-
-
-def judged(docs: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:
+    found: list[DataFrame] = []
+    for step in range(steps):
+        # `now` holds the groups that still change, a row each and start.
+        apart = rows.join(now.select("g", "start", "mean", "inverse"), "g")
+        near = c.staged(cuts(apart, share), "cuts")
+        inside = apart.join(near, ["g", "start"]).filter(bin_of(distance()) <= F.col("cut"))
+        old = now.select("g", "start", F.col("mean").alias("old_mean"), F.col("inverse").alias("old_inverse"))
+        moved = F.exists(F.arrays_zip("mean", "old_mean"), lambda v: F.abs(v["mean"] - v["old_mean"]) > 1e-7) | \
+            F.exists(F.arrays_zip("inverse", "old_inverse"), lambda v: F.abs(v["inverse"] - v["old_inverse"]) > 1e-5 * (
+                1 + F.abs(v["old_inverse"])))
+        new = c.staged(estimates(sums(inside, "g", "start")).join(old, ["g", "start"]).withColumn(
+            "moved", moved).drop("old_mean", "old_inverse"), "estimates")
+        last = step == steps - 1
+        found.append((new if last else new.filter("not moved")).select("g", "start", "n", "mean", "spread", "size"))
+        now = new.filter("moved")
+        if last or now.isEmpty():
+            break
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    best = F.min_by(F.struct("n", "mean", "spread"), F.struct("size", "start"))
+    return every.groupBy("g").agg(best.alias("b")).select("g", "b.*")
+
+
+def leaning(found: DataFrame, groups: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(g, mean, inverse) of the groups (g, m, a), with those of their languages m and of all, a, mixed in."""
+    factor = consistency(H, P)
+    kinds = {"g": pa.string(), "mean": pa.list_(pa.float64()), "inverse": pa.list_(pa.float64())}
+
+    def rows(parts):
+        for part in parts:
+            for r in part.to_pylist():
+                mean, spread = None, np.zeros((P, P))
+                for level in (r["all"], r["mid"], r["fine"]):
+                    own = level["n"] / (level["n"] + prior)
+                    at = np.array(level["mean"])
+                    mean = at if mean is None else own * at + (1 - own) * mean
+                    spread = own * factor * square(level["spread"]) + (1 - own) * spread
+                yield r["g"], mean.tolist(), triangle(np.linalg.inv(spread + FLOOR))
+
+    def of(level: str, key: str) -> DataFrame:
+        return found.select(F.col("g").alias(key), F.struct("n", "mean", "spread").alias(level))
+
+    return groups.join(of("fine", "g"), "g").join(of("mid", "m"), "m").join(of("all", "a"), "a").select(
+        "g", "fine", "mid", "all").mapInArrow(lambda parts: c.batches(kinds, rows(parts)),
+                                              "g string, mean array<double>, inverse array<double>")
+
+
+def judged(docs: DataFrame, cut: float = CUT, prior: float = PRIOR) -> DataFrame:
     """doc_id, lang, source, base statistics, base_failed, distance and kept of every row."""
-    rows = c.staged(statistics(docs), "statistics")
-    fine, mid, all_ = _group("lang", "source"), _group("lang"), _group()
-    levels = rows.select(F.explode(F.array(fine, mid, all_)).alias("g"), *NAMES)
-    sizes = levels.groupBy("g").agg(F.count("*").alias("members")).filter(
-        F.col("members") >= least)
-    large = c.staged(sizes.select("g"), "large")
-    used = c.staged(levels.join(large, "g", "left_semi"), "levels")
-    found = c.staged(covariance_estimates(used), "estimates")
-    fine_ok = large.select(F.col("g").alias("g2"))
-    mid_ok = large.select(F.col("g").alias("g1"))
-    placed = (rows.withColumns({"f": fine, "m": mid}).join(fine_ok, F.col("f") == F.col("g2"), "left")
-              .join(mid_ok, F.col("m") == F.col("g1"), "left")
-              .withColumn("g", F.coalesce("g2", "g1", all_)))
-    far = placed.join(found, "g", "left").withColumn("distance", distance() * F.col("scale"))
+    groups = {"g": _group("lang", "source"), "m": _group("lang"), "a": _group()}
+    rows = c.staged(statistics(docs).withColumns(groups), "statistics")
+    levels = rows.select(F.explode(F.array(*groups)).alias("g"), *NAMES)
+    found = c.staged(covariance_estimates(levels), "estimates")
+    models = c.staged(leaning(found, rows.select(*groups).distinct(), prior), "models")
+    far = rows.join(models, "g").withColumn("distance", distance())
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return far.select("doc_id", "lang", "source", *BASE, failed.alias("base_failed"), "distance", (
-        ~failed & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept"))
+        ~failed & (F.col("distance") <= cut)).alias("kept"))

@@ -238,10 +238,65 @@ def test_outliers(spark):
         rows.append((k, " ".join(words), "en", f"s{k % 3}"))
     rows += [(500, None, "en", "s0"), (501, "short", None, None), (502, " ".join(["a"] * 80), "en", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
-    got = {r.doc_id: r for r in quality.judged(docs, least=100).collect()}
+    got = {r.doc_id: r for r in quality.judged(docs).collect()}
     assert len(got) == 403
     assert all(got[k].kept == (k % 40 != 0) for k in range(400))
     assert all(got[k].base_failed and not got[k].kept for k in (500, 501, 502))
-    few = quality.judged(docs.limit(5)).collect()  # too few for any estimate
-    assert all(r.kept == (not r.base_failed) for r in few)
+    few = quality.judged(docs.limit(5)).collect()  # five are judged as many are, by the floors
+    assert sorted(r.doc_id for r in few if r.kept) == [1, 2, 3, 4]
     assert quality.judged(docs.filter("false")).count() == 0
+
+
+def vectors(spark, groups):
+    return spark.createDataFrame(
+        [(g, *map(float, v)) for g, rows in groups.items() for v in rows],
+        "g string, " + ", ".join(f"{n} double" for n in quality.NAMES))
+
+
+def test_chi_squared():
+    assert quality.chi_squared(0.5, 7) == pytest.approx(6.346, abs=0.02)
+    assert quality.chi_squared(0.999, 7) == pytest.approx(24.32, rel=0.01)  # the cube root is that near
+    draws = np.random.default_rng(1).normal(size=(200_000, 7))
+    d = (draws ** 2).sum(axis=1)
+    near = draws[d <= np.quantile(d, quality.H)]
+    assert quality.consistency(quality.H, 7) == pytest.approx(1 / near.var(axis=0).mean(), rel=0.02)
+
+
+def test_least_determinant_by_brute_force(spark):
+    """Of all shares of small groups, the estimate takes the one of least determinant, or one hardly larger."""
+    from itertools import combinations
+
+    pick = np.random.default_rng(4)
+    groups = {}
+    for k in range(6):
+        rows = pick.normal(size=(14, quality.P))
+        rows[:2] += pick.normal(size=quality.P) * 30  # two far ones
+        groups[f"g{k}"] = rows
+    found = {r.g: r for r in quality.covariance_estimates(vectors(spark, groups)).collect()}
+
+    def size(rows):
+        return np.linalg.slogdet(np.cov(rows.T, bias=True) + quality.FLOOR)[1]
+
+    for g, rows in groups.items():
+        got = found[g]
+        least = min(size(rows[list(some)]) for some in combinations(range(14), 11))
+        own = np.linalg.slogdet(quality.square(got.spread) + quality.FLOOR)[1]
+        assert got.n == 11 and least - 1e-9 <= own <= least + 1.0
+        # A step more changes nothing: the estimate is that of the documents nearest to it.
+        off = rows - np.array(got.mean)
+        far = np.einsum("ij,jk,ik->i", off, np.linalg.inv(quality.square(got.spread) + quality.FLOOR), off)
+        kept = rows[np.argsort(far)[:11]]
+        assert np.allclose(kept.mean(axis=0), got.mean) and not {0, 1} & set(np.argsort(far)[:11])
+
+
+def test_no_switch_by_size(spark):
+    """One document more or less moves distances by little, at any size of a group."""
+    pick = random.Random(2)
+    rows = [(k, " ".join(f"w{pick.randrange(10 ** 6)}" for _ in range(pick.randrange(60, 200))), "en", s)
+            for s, n in (("a", 201), ("b", 4)) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    some = [{(r.source, r.doc_id): r.distance for r in quality.judged(docs.filter(f"doc_id < {n}")).collect()}
+            for n in (199, 200, 201)]
+    for key, d in some[0].items():
+        assert some[1][key] == pytest.approx(d, rel=0.25, abs=0.3)
+        assert some[2][key] == pytest.approx(d, rel=0.25, abs=0.3)
