@@ -2,27 +2,32 @@
 
 Texts are lower-cased, runs of anything but letters become one blank, and blanks are put around. The n-grams of ORDER
 characters of every learning document are counted on the executors, in numpy, and summed up by Spark
-per language. From these counts follow the continuation counts of the lower orders and an
-interpolated Kneser-Ney probability for each n-gram in each language. The model is a sorted array of
-n-gram hashes with a row of log probabilities, and one such pair of arrays per lower order for
-n-grams not met, of which the weight left by longer contexts is part. A document gets the language
-of least cross-entropy per character, over its whole text.
-
-Rejection is calibrated: a sixteenth of the learning documents is not counted and shows how the margin
+per language. From all of them follow, by joins and sums over tables, the continuation counts of the lower orders,
+the totals and kinds of each context, and an interpolated Kneser-Ney probability for each n-gram.
+
+Then n-grams go that hardly matter: those whose share of a language's n-grams times the bits they save
+against the shorter context is under LEAST. What they held is given to the weight that their context leaves
+to shorter ones, so that probabilities still add up to 1. The shares of an order add up to 1 and no n-gram
+saves more bits than its probability lies above the least one, so some tens over LEAST is the most that a
+language can keep, however large the corpus; the rule is the same at every size and all counts are whole.
+What is kept is a sorted array of n-gram hashes per order, with a row of log probabilities per language. A
+document gets the language of least cross-entropy per character, over its whole text.
+
+Rejection is calibrated: a model that lacks a sixteenth of the learning documents shows on these how the margin
 between the best two languages, times the square root of the characters, relates to being right. The score is
-that probability, and `accepted` is whether it reaches ACCEPT; the language is named either way.
-
-Bound: per language at most the MOST most frequent n-grams enter the model, found from how many there are of each
-count, nearly equal counts all in or all out. Memory follows the number of languages, not of documents.
+that probability, and `accepted` is whether it reaches ACCEPT; the language is named either way. The model in use
+then learns from all of them.
 
 A null text or one without a letter is `und` with score 0. Documents without a language, or held out,
-teach nothing. If nothing can be learned, everything is `und`.
+teach nothing. If nothing can be learned, everything is `und`; an empty table gives an empty result. Repeated rows
+count as often as they come; a tie goes to the first language by name. Texts are read one at a time.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from countylens.llm import common as c
 
-ORDER, MOST, DISCOUNT, ACCEPT, UNKNOWN = 4, 200_000, 0.75, 0.5, "und"
+ORDER, LEAST, DISCOUNT, ACCEPT, UNKNOWN = 4, 2e-6, 0.75, 0.5, "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -60,18 +65,18 @@ def gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, n) summed over all rows of (lang, text)."""
+    """(lang, aside, gram, n) summed over all rows of (lang, aside, text)."""
     def counts(parts) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            of: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(*(col.to_pylist() for col in part.columns)):
+            of: dict[tuple[str, bool], list[np.ndarray]] = {}
+            for lang, aside, text in zip(*(col.to_pylist() for col in part.columns)):
                 points = codes(letters(text))
                 if len(points) >= order:
-                    of.setdefault(lang, []).append(points)
-            for lang, many in of.items():
-                yield from batch(lang, many)
+                    of.setdefault((lang, aside), []).append(points)
+            for (lang, aside), many in of.items():
+                yield from batch(lang, aside, many)
 
-    def batch(lang, many):
+    def batch(lang, aside, many):
         # Separate texts by 0, which no text holds once cleaned, and drop the runs across.
         joined = np.concatenate([x for t in many for x in (t, np.zeros(1, np.uint64))])
         m = len(joined) - order + 1
@@ -82,74 +87,98 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
         runs = joined[at[first][:, None] + np.arange(order)].astype("<u4")
         grams = [r.tobytes().decode("utf-32-le") for r in runs]
         yield pa.record_batch({"lang": pa.array([lang] * len(grams), pa.string()),
+                               "aside": pa.array([aside] * len(grams), pa.bool_()),
                                "gram": pa.array(grams, pa.string()), "n": pa.array(n, pa.int64())})
 
-    return docs.mapInArrow(counts, "lang string, gram string, n bigint").groupBy(
-        "lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(counts, "lang string, aside boolean, gram string, n bigint").groupBy(
+        "lang", "aside", "gram").agg(F.sum("n").alias("n"))
+
+
+def probabilities(counts: DataFrame, order: int = ORDER, least: float = LEAST) -> tuple[DataFrame, DataFrame, float]:
+    """(k, lang, gram, p), (k, lang, head, left) and the probability below all, from (lang, gram, n).
+
+    p is the interpolated probability of a gram's last character after the others, for grams that are kept; left
+    is what a context leaves to shorter ones, for contexts with a gram that is kept.
+    """
+    levels = {order: counts}
+    for k in range(order, 1, -1):  # of how many different characters a shorter run is the continuation
+        levels[k - 1] = c.staged(levels[k].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(
+            F.count("*").alias("n")), "continuations")
+    base = 1.0 / (levels[1].select("gram").distinct().count() + 1)
+    grams, lefts = [], []
+    lower = None
+    for k in range(1, order + 1):
+        head, tail = F.substring("gram", 1, k - 1), F.substring("gram", 2, k)
+        rows = levels[k].withColumns({"head": head, "tail": tail})
+        contexts = rows.groupBy("lang", "head").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        every = contexts.groupBy("lang").agg(F.sum("total").alias("all"))
+        rows = rows.join(contexts, ["lang", "head"]).join(every, "lang")
+        # shorter: of the whole model; short: of the one that is kept
+        rows = rows.withColumns({"shorter": F.lit(base), "short": F.lit(base)}) if lower is None else rows.join(
+            lower, ["lang", "tail"])
+        own = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total")
+        backed = DISCOUNT * F.col("kinds") / F.col("total") * F.col("shorter")
+        bits = F.col("n") / F.col("all") * F.log2((own + backed) / backed)
+        rows = c.staged(rows.withColumns({"p": own + backed, "kept": (bits >= least) | F.lit(k == 1)}), "order")
+        some = [F.sum(F.when(F.col("kept"), F.col(x))).alias(y) for x, y in (("p", "held"), ("short", "would"))]
+        plain = F.first(DISCOUNT * F.col("kinds") / F.col("total"))
+        left = c.staged(rows.groupBy("lang", "head").agg(
+            *some, plain.alias("plain"), F.min("kept").alias("whole"), F.max("kept").alias("any")).filter("any").select(
+            "lang", "head", _left(k).alias("left")), "left")
+        grams.append(rows.filter("kept").select(F.lit(k).alias("k"), "lang", "gram", "p"))
+        lefts.append(left.select(F.lit(k).alias("k"), "lang", "head", "left"))
+        lower = rows.join(left, ["lang", "head"], "left").select(
+            "lang", F.col("gram").alias("tail"), F.col("p").alias("shorter"), F.when(F.col("kept"), F.col("p")).otherwise(
+                F.coalesce("left", F.lit(1.0)) * F.col("short")).alias("short"))
+    return reduce(DataFrame.unionByName, grams), reduce(DataFrame.unionByName, lefts), base
+
+
+def _left(k: int) -> Column:
+    """What the kept grams of a context do not hold, over what shorter contexts say of all others."""
+    if k == 1:
+        return F.col("plain")
+    return F.greatest(1 - F.col("held"), F.lit(1e-12)) / F.greatest(1 - F.col("would"), F.lit(1e-12))
 
 
 class Model:
     """Sorted hashes and log probabilities per language, by order."""
 
-    def __init__(self, grams: pd.DataFrame, order: int):
+    def __init__(self, grams: pd.DataFrame, lefts: pd.DataFrame, base: float, order: int):
         self.order = order
         self.langs = sorted(grams.lang.unique())
+        self.base = np.float32(np.log2(base))
+        self.known = round(1 / base) - 1  # characters met
         self.hashes: list[np.ndarray] = []
         self.logs: list[np.ndarray] = []    # log2 P of the run's last character after the others
         self.contexts: list[np.ndarray] = []
         self.left: list[np.ndarray] = []    # log2 of the weight a context leaves to shorter ones
-        letters_ = {ch for g in grams.gram for ch in g}
-        levels = {lang: self._levels(rows) for lang, rows in grams.groupby("lang")}
-        base = 1.0 / (len(letters_) + 1)
+        place = {lang: j for j, lang in enumerate(self.langs)}
+        runs: dict[int, set[str]] = {order + 1: set()}
+        for k in range(order, 0, -1):  # with the ends of longer runs, for languages that do not know these
+            runs[k] = set(grams.gram[grams.k == k]) | {g[1:] for g in runs[k + 1]}
+        lower = None
         for k in range(1, order + 1):
-            runs = sorted({g for lv in levels.values() for g in lv[k][0]})
-            heads = sorted({g[:-1] for g in runs})
-            logs = np.zeros((len(runs), len(self.langs)))
-            left = np.zeros((len(heads), len(self.langs)))
-            for col, lang in enumerate(self.langs):
-                n, total, kinds = levels[lang][k]
-                left[:, col] = [DISCOUNT * kinds[h] / total[h] if h in total else 1.0 for h in heads]
-                own = np.array([max(n.get(g, 0) - DISCOUNT, 0) / total[g[:-1]]
-                                if g[:-1] in total else 0.0 for g in runs])
-                logs[:, col] = own
-            held = dict(zip(heads, left))
-            lower = self._plain(k - 1, [g[1:] for g in runs], base)
-            value = logs + np.array([held[g[:-1]] for g in runs]) * lower
-            self._add(runs, np.log2(value), heads, np.log2(left))
-        self.base = np.log2(base)
-
-    def _levels(self, rows: pd.DataFrame) -> dict:
-        """Per order: counts (of continuations below the top), their sums and kinds by context."""
-        out, n = {}, dict(zip(rows.gram, rows.n))
-        for k in range(self.order, 0, -1):
-            total: dict[str, int] = {}
-            kinds: dict[str, int] = {}
-            for g, m in n.items():
-                total[g[:-1]] = total.get(g[:-1], 0) + m
-                kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
-            out[k] = (n, total, kinds)
-            shorter: dict[str, int] = {}
-            for g in n:
-                shorter[g[1:]] = shorter.get(g[1:], 0) + 1
-            n = shorter
-        return out
-
-    def _add(self, runs, logs, heads, left) -> None:
-        for keys, values, to, into in ((runs, logs, self.hashes, self.logs),
-                                       (heads, left, self.contexts, self.left)):
-            h = np.array([gram_hashes(codes(g), len(g))[0] if g else 0 for g in keys], np.uint64)
-            at = np.argsort(h)
-            to.append(h[at])
-            into.append(values[at].astype(np.float32))
-
-    def _plain(self, k: int, runs: list[str], base: float) -> np.ndarray:
-        """P of runs of k characters, which are all known."""
-        if not k:
-            return np.full((len(runs), len(self.langs)), base)
-        h = np.concatenate([gram_hashes(codes(g), k) for g in runs])
-        return 2.0 ** self.logs[k - 1][np.searchsorted(self.hashes[k - 1], h)]
+            own, rest = grams[grams.k == k], lefts[lefts.k == k]
+            heads = sorted(set(rest["head"]))
+            left = np.ones((len(heads) + 1, len(self.langs)))  # the last row: a context that is not known
+            at = {h: j for j, h in enumerate(heads)}
+            left[rest["head"].map(at), rest.lang.map(place)] = rest.left
+            names = sorted(runs[k])
+            where = {g: j for j, g in enumerate(names)}
+            short = base if lower is None else lower[1][[lower[0][g[1:]] for g in names]]
+            value = left[[at.get(g[:-1], -1) for g in names]] * short
+            value[own.gram.map(where), own.lang.map(place)] = own.p
+            lower = where, value
+            for keys, values, to, into in ((names, value, self.hashes, self.logs),
+                                           (heads, left[:-1], self.contexts, self.left)):
+                h = _of_rows(codes("".join(keys)).reshape(len(keys), -1)) if keys and keys[-1] else np.zeros(
+                    len(keys), np.uint64)
+                into.append(np.log2(values[np.argsort(h)]).astype(np.float32))
+                to.append(np.sort(h))
 
     def _find(self, table: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(table):
+            return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
         at = np.minimum(np.searchsorted(table, want), len(table) - 1)
         return at, table[at] == want
 
@@ -170,7 +199,9 @@ class Model:
             if k > 1:
                 at, ok = self._find(self.contexts[k - 1], _of_rows(tail[:, :-1]))
                 added[live[ok]] += self.left[k - 1][at[ok]]
-        total += weight[live] @ (added[live] + np.float32(self.base))
+            else:
+                added[live] += self.left[0][0]
+        total += weight[live] @ (added[live] + self.base)
         return -total / weight.sum()
 
     def _runs(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,22 +237,27 @@ def logistic(margins: np.ndarray, right: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
+def built(counts: DataFrame, order: int, least: float) -> Model | None:
+    grams, lefts, base = probabilities(counts, order, least)
+    known = grams.toPandas()  # some tens over `least` rows per language at most
+    return Model(known, lefts.toPandas(), base, order) if len(known) else None
+
+
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: Column | None = None,
-          order: int = ORDER, most: int = MOST, calibrate: int = 20_000):
+          order: int = ORDER, least: float = LEAST, calibrate: int = 20_000):
     """(model, slope, offset) from rows with a language; None if there is none.
 
-    A sixteenth of the rows by `key` is kept for calibration, of which the `calibrate` rows of lowest hash at
-    most are used.
+    Calibration takes the `calibrate` rows of lowest hash at most, of a sixteenth of the rows by `key`.
     """
     h = F.xxhash64(key if key is not None else F.col(text))
     known = docs.filter(F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h"),
         (F.pmod(h, F.lit(16)) == 0).alias("aside"))
-    counts = c.staged(gram_counts(known.filter("not aside").select("lang", "text"), order), "grams")
-    if counts.isEmpty():
-        return None
-    kept = c.most_frequent(counts, most, "lang")
-    model = Model(kept.toPandas(), order)  # at most `most` rows per language
+    parts = c.staged(gram_counts(known.select("lang", "aside", "text"), order), "grams")
+    whole = built(c.staged(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams"), order, least)
+    model = whole and built(parts.filter("not aside").select("lang", "gram", "n"), order, least)
+    if model is None:
+        return whole and (whole, 1.0, 0.0)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def margins(parts):
@@ -240,7 +276,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: Column |
         calibrate).toPandas()
     tried = tried[np.isfinite(tried.m)]
     slope, offset = logistic(tried.m.to_numpy(float), tried.right.to_numpy(bool))
-    return model, slope, offset
+    return whole, slope, offset
 
 
 def predicted(docs: DataFrame, learned, doc_id: str = "doc_id", text: str = "text",

@@ -182,13 +182,65 @@ def test_languages(spoken):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-def test_probabilities_add_up(spoken):
-    """After any context the characters met, and the one share of all others, make 1."""
-    model, *_ = language.learn(spoken, key=F.col("doc_id"))
-    every = sorted({ch for r in spoken.collect() for ch in language.letters(r.text)})
-    for context in ("th ", " sc", "eau"):
+def kneser_ney(texts, order, known):
+    """P(last character of a run of any length up to the order), as the formulas say."""
+    from collections import Counter
+
+    of = {order: Counter(t[k:k + order] for t in texts for k in range(len(t) - order + 1))}
+    for k in range(order, 1, -1):
+        of[k - 1] = Counter(g[1:] for g in of[k])
+    d = language.DISCOUNT
+
+    def p(run):
+        if not run:
+            return 1 / (known + 1)
+        after = [n for g, n in of[len(run)].items() if g[:-1] == run[:-1]]
+        if not after:
+            return p(run[1:])
+        return max(of[len(run)][run] - d, 0) / sum(after) + d * len(after) / sum(after) * p(run[1:])
+
+    return p
+
+
+def test_probabilities_as_the_formulas_say(spoken):
+    rows = [(r.lang, language.letters(r.text)) for r in spoken.collect() if r.lang]
+    model, *_ = language.learn(spoken, key=F.col("doc_id"), least=0.0)
+    texts = {lang: [t for name, t in rows if name == lang and len(t) >= 4] for lang in model.langs}
+    known = len({ch for many in texts.values() for t in many for ch in t[3:]} | {
+        ch for many in texts.values() for t in many for ch in t})
+    pick = random.Random(5)
+    some = pick.sample(sorted({t[k:k + 4] for many in texts.values() for t in many for k in range(len(t) - 3)}), 40)
+    for lang, many in texts.items():
+        p = kneser_ney(many, 4, model.known)
+        for run in some + ["zzqx", "th字", "字字字字", "e th"[:4]]:
+            run = run[:4].rjust(4)
+            assert 2.0 ** -model.entropy(language.codes(run))[model.langs.index(lang)] == pytest.approx(
+                p(run), rel=1e-3), (lang, run)
+    assert model.known <= known
+
+
+@pytest.mark.parametrize("least", [0.0, 1e-4, 1e-2])
+def test_probabilities_add_up(spoken, least):
+    """After any context the characters met, and the one share of all others, make 1, whatever is left out."""
+    model, *_ = language.learn(spoken, key=F.col("doc_id"), least=least)
+    every = sorted({ch for r in spoken.collect() if r.lang for ch in language.letters(r.text)})
+    every = [ch for ch in every if language._of_rows(language.codes(ch).reshape(1, 1))[0] in model.hashes[0]]
+    assert len(every) == model.known
+    for context in ("th ", " sc", "eau", "xqx"):
         total = sum(2.0 ** -model.entropy(language.codes(context + ch)) for ch in every)
-        assert np.allclose(total + 2.0 ** -model.entropy(language.codes(context + "字")), 1, atol=0.05)
+        assert np.allclose(total + 2.0 ** -model.entropy(language.codes(context + "字")), 1, atol=1e-3)
+
+
+def test_learns_from_the_rows_of_calibration(spark):
+    """A language whose few documents all fall into the set aside is known."""
+    rows = [(k, "the cat sat on the mat %s" % chr(97 + k % 26), "en") for k in range(60)]
+    aside = [r.id for r in spark.range(1000, 1400).filter(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).collect()][:2]
+    rows += [(k, "κάτι εντελώς άλλο εδώ", "el") for k in aside]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model, *_ = language.learn(docs, key=F.col("doc_id"))
+    assert model.langs == ["el", "en"]
+    one = spark.createDataFrame([(1, "κάτι άλλο")], "doc_id bigint, text string")
+    assert language.predicted(one, language.learn(docs, key=F.col("doc_id"))).first().lang_pred == "el"
 
 
 def test_nothing_learned(spoken):
