@@ -3,7 +3,7 @@
 Each document has a vector of transformed statistics. For every language and source, every language, and all
 documents the minimum covariance determinant estimate is found by concentration steps over all documents
 of the group: keep the share H of documents nearest in Mahalanobis distance, take their mean and covariance,
-repeat until these no longer change. Steps start once from medians and quartiles and once from the plain mean
+repeat until these no longer change, STEPS times at most. Steps start once from medians and quartiles and once from the plain mean
 and covariance; the smaller determinant wins. All steps are sums per group, added up before each
 shuffle; the cut at H comes from a histogram of distances in fine logarithmic bins, so no group is ever sorted or
 collected. A group that is settled is not read again.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from countylens.llm import common as c
 
-H, STEPS, PRIOR, TAIL = 0.75, 30, 70.0, 1e-6
+H, STEPS, PRIOR, TAIL = 0.75, 8, 70.0, 1e-6
 FLOORS = {"size": 0.5, "length": 0.1, "symbols": 0.4, "lines": 0.4, "repeats": 0.1, "upper": 0.4,
           "marks": 0.3}
 NAMES = tuple(FLOORS)
@@ -185,15 +185,18 @@ def started(rows: DataFrame) -> DataFrame:
     return middle.unionByName(plain.select(*middle.columns))
 
 
-def cuts(rows: DataFrame, share: float) -> DataFrame:
-    """(g, start, cut): the bin of distances at the share of each group's documents."""
-    spread = rows.groupBy("g", "start", bin_of(distance()).alias("bin")).agg(F.count("*").alias("m"))
+def nearest(rows: DataFrame, share: float) -> DataFrame:
+    """(g, start) with n, sums and sums of products of the share of its documents that is nearest.
+
+    Sums are made per bin of distances, so that one read gives the bin that holds the share and what lies up to it.
+    """
+    bins = sums(rows.withColumn("bin", bin_of(distance())), "g", "start", "bin")
     whole = Window.partitionBy("g", "start")
-    up = whole.orderBy("bin")  # as many rows as bins, under 3,000
-    return (spread.withColumn("so_far", F.sum("m").over(up))
-            .withColumn("all", F.sum("m").over(whole))
-            .filter(F.col("so_far") >= share * F.col("all")).groupBy("g", "start")
-            .agg(F.min("bin").alias("cut")))
+    bins = bins.withColumns({  # as many rows as bins, under 3,000
+        "before": F.sum("n").over(whole.orderBy("bin")) - F.col("n"), "all": F.sum("n").over(whole)})
+    added = [n for n in bins.columns if n not in ("g", "start", "bin", "before", "all")]
+    return bins.filter(F.col("before") < share * F.col("all")).groupBy("g", "start").agg(
+        *[F.sum(n).alias(n) for n in added])
 
 
 def covariance_estimates(rows: DataFrame, steps: int = STEPS, share: float = H) -> DataFrame:
@@ -203,13 +206,11 @@ def covariance_estimates(rows: DataFrame, steps: int = STEPS, share: float = H)
     for step in range(steps):
         # `now` holds the groups that still change, a row each and start.
         apart = rows.join(now.select("g", "start", "mean", "inverse"), "g")
-        near = c.staged(cuts(apart, share), "cuts")
-        inside = apart.join(near, ["g", "start"]).filter(bin_of(distance()) <= F.col("cut"))
         old = now.select("g", "start", F.col("mean").alias("old_mean"), F.col("inverse").alias("old_inverse"))
         moved = F.exists(F.arrays_zip("mean", "old_mean"), lambda v: F.abs(v["mean"] - v["old_mean"]) > 1e-7) | \
             F.exists(F.arrays_zip("inverse", "old_inverse"), lambda v: F.abs(v["inverse"] - v["old_inverse"]) > 1e-5 * (
                 1 + F.abs(v["old_inverse"])))
-        new = c.staged(estimates(sums(inside, "g", "start")).join(old, ["g", "start"]).withColumn(
+        new = c.staged(estimates(nearest(apart, share)).join(old, ["g", "start"]).withColumn(
             "moved", moved).drop("old_mean", "old_inverse"), "estimates")
         last = step == steps - 1
         found.append((new if last else new.filter("not moved")).select("g", "start", "n", "mean", "spread", "size"))
