@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from countylens.llm import common as c
 
 H, STEPS, PRIOR, TAIL = 0.75, 8, 70.0, 1e-6
+LOTS = 32  # a group's rows are dealt to so many tasks where its estimate is joined by a shuffle
 FLOORS = {"size": 0.5, "length": 0.1, "symbols": 0.4, "lines": 0.4, "repeats": 0.1, "upper": 0.4,
           "marks": 0.3}
 NAMES = tuple(FLOORS)
@@ -199,13 +200,18 @@ def nearest(rows: DataFrame, share: float) -> DataFrame:
         *[F.sum(n).alias(n) for n in added])
 
 
+def in_lots(few: DataFrame) -> DataFrame:
+    """Every row once for each lot."""
+    return few.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))))
+
+
 def covariance_estimates(rows: DataFrame, steps: int = STEPS, share: float = H) -> DataFrame:
-    """(g, n, mean, spread) for every group g of the rows: n documents were kept."""
+    """(g, n, mean, spread) for every group g of the rows, which are dealt to lots: n documents were kept."""
     now = c.staged(started(rows), "estimates")
     found: list[DataFrame] = []
     for step in range(steps):
         # `now` holds the groups that still change, a row each and start.
-        apart = rows.join(now.select("g", "start", "mean", "inverse"), "g")
+        apart = rows.join(in_lots(now.select("g", "start", "mean", "inverse")), ["g", "lot"])
         old = now.select("g", "start", F.col("mean").alias("old_mean"), F.col("inverse").alias("old_inverse"))
         moved = F.exists(F.arrays_zip("mean", "old_mean"), lambda v: F.abs(v["mean"] - v["old_mean"]) > 1e-7) | \
             F.exists(F.arrays_zip("inverse", "old_inverse"), lambda v: F.abs(v["inverse"] - v["old_inverse"]) > 1e-5 * (
@@ -251,11 +257,12 @@ def leaning(found: DataFrame, groups: DataFrame, prior: float = PRIOR) -> DataFr
 def judged(docs: DataFrame, cut: float = CUT, prior: float = PRIOR) -> DataFrame:
     """doc_id, lang, source, base statistics, base_failed, distance and kept of every row."""
     groups = {"g": _group("lang", "source"), "m": _group("lang"), "a": _group()}
-    rows = c.staged(statistics(docs).withColumns(groups), "statistics")
-    levels = rows.select(F.explode(F.array(*groups)).alias("g"), *NAMES)
+    rows = c.staged(statistics(docs).withColumns(groups | {
+        "lot": F.pmod(F.monotonically_increasing_id(), F.lit(LOTS)).cast("int")}), "statistics")
+    levels = rows.select(F.explode(F.array(*groups)).alias("g"), "lot", *NAMES)
     found = c.staged(covariance_estimates(levels), "estimates")
     models = c.staged(leaning(found, rows.select(*groups).distinct(), prior), "models")
-    far = rows.join(models, "g").withColumn("distance", distance())
+    far = rows.join(in_lots(models), ["g", "lot"]).withColumn("distance", distance())
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return far.select("doc_id", "lang", "source", *BASE, failed.alias("base_failed"), "distance", (
         ~failed & (F.col("distance") <= cut)).alias("kept"))

@@ -301,8 +301,8 @@ def test_outliers(spark):
 
 def vectors(spark, groups):
     return spark.createDataFrame(
-        [(g, *map(float, v)) for g, rows in groups.items() for v in rows],
-        "g string, " + ", ".join(f"{n} double" for n in quality.NAMES))
+        [(g, k % quality.LOTS, *map(float, v)) for g, rows in groups.items() for k, v in enumerate(rows)],
+        "g string, lot int, " + ", ".join(f"{n} double" for n in quality.NAMES))
 
 
 def test_chi_squared():
