@@ -14,6 +14,7 @@ one folder, and each count is written once per level.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,6 +26,11 @@ from countylens.sources.readers import _file_state
 COUNTS = "state string, word string, count bigint"
 # Folders that become one of the next level.
 FOLD = 10
+STATE_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+}
 
 
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +44,55 @@ def running_counts(texts: DataFrame) -> DataFrame:
     return words.word_counts(words.words(texts, keep=("state",)), by=("state",))
 
 
+@contextmanager
+def _state_on_disk(spark: SparkSession):
+    """Queries started meanwhile keep their state in RocksDB on the executors' disks, with bounded memory."""
+    before = {k: spark.conf.get(k, None) for k in STATE_ON_DISK}
+    for k, v in STATE_ON_DISK.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def start_running(texts: DataFrame, out: str, checkpoint: str, available_now: bool = True,
+                  every: str = "1 minute") -> StreamingQuery:
+    """Counts kept in stream state, written whole to ``out`` after each batch; ``running_so_far`` reads them.
+
+    State lies on disk and counts go from the executors to the store, so neither is bound by a heap. The
+    folder before the newest stays for readers that are at work.
+    """
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        for earlier in _whole(batch.sparkSession, out):
+            if earlier < batch_id - 1:
+                storage.remove(batch.sparkSession, f"{out}/batch={earlier}")
+
+    trigger = {"availableNow": True} if available_now else {"processingTime": every}
+    with _state_on_disk(texts.sparkSession):
+        return (running_counts(texts).writeStream.outputMode("complete").foreachBatch(write_batch)
+                .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+
+
+def _whole(spark: SparkSession, out: str) -> list[int]:
+    """The batches whose counts are written to the end, in order."""
+    return sorted(int(n[6:]) for n in storage.names(spark, out)
+                  if n.startswith("batch=") and storage.exists(spark, f"{out}/{n}/_SUCCESS"))
+
+
+def running_so_far(spark: SparkSession, out: str) -> DataFrame:
+    """The counts of ``start_running`` after its newest batch."""
+    found = _whole(spark, out)
+    if not found:
+        return spark.createDataFrame([], COUNTS)
+    return spark.read.schema(COUNTS).parquet(f"{out}/batch={found[-1]}")
+
+
 def start(texts: DataFrame, out: str, checkpoint: str, available_now: bool = True,
           every: str = "1 minute") -> StreamingQuery:
     """Counts each batch into ``out``."""

@@ -129,3 +129,31 @@ def test_running_counts(spark, tmp_path):
              .trigger(availableNow=True).start())
     query.awaitTermination()
     assert table(spark.table("running")) == {("FL", "stay"): 1, ("FL", "home"): 2}
+
+
+def test_running_counts_as_a_table(spark, tmp_path):
+    """Each batch's counts are whole, the newest are read, state lies in files of RocksDB, settings stay."""
+    texts, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    assert word_counts.running_so_far(spark, out).count() == 0
+    for k, (state, text) in enumerate([("FL", "stay home home"), ("CA", "stay safe"), ("NY", "stay home")]):
+        write(tmp_path / "in" / f"{state}.txt", text + "\n")
+        word_counts.start_running(word_counts.read_stream(spark, texts), out, checkpoint).awaitTermination()
+        assert table(word_counts.running_so_far(spark, out))[state, "stay"] == 1
+    assert table(word_counts.running_so_far(spark, out)) == {
+        ("FL", "stay"): 1, ("FL", "home"): 2, ("CA", "stay"): 1, ("CA", "safe"): 1, ("NY", "stay"): 1, ("NY", "home"): 1}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["batch=1", "batch=2"]
+    assert list((tmp_path / "checkpoint" / "state").rglob("*.zip")) and spark.conf.get(provider, None) == before
+
+
+def test_running_query_keeps_counts_off_the_driver(spark, tmp_path, plan):
+    from checks.queries import QUERIES
+    from checks.tables import Data
+
+    spark.createDataFrame([(0, "stay home", "src1"), (7, "home home", "src1"), (14, None, "src2")],
+                          "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["running_word_counts"](Data(spark, str(tmp_path)))
+    assert "LocalTableScan" not in plan(found)
+    rows = {r.word: r["count"] for r in found.collect()}
+    assert rows["home"] == 3 and rows["stay"] == 1
