@@ -203,8 +203,13 @@ def read_tweet_ids(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_embeds(spark: SparkSession, folder: str, state: str | None = None) -> DataFrame:
-    """One saved embed per file, one folder per state."""
-    files = spark.read.text(f"{folder}/{state or '*'}/*", wholetext=True)
+    """One saved embed per file, one folder per state.
+
+    Spark is given the folders: with a pattern over files, each file would be a path of its own, looked up by
+    the driver and listed by a task.
+    """
+    pattern = f"{folder}/{state or '*'}"
+    files = spark.read.text(storage.folders(spark, pattern) or f"{pattern}/*", wholetext=True)
     path_state = F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1)
     return files.select(path_state.alias("state"), tweet_fn.embed_lines(F.col("value")).alias("html"))
 

@@ -36,6 +36,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders that match a pattern, as paths that take no character for a pattern."""
+    files, at = _file(spark, pattern)
+    return sorted(_literal(f.getPath().toString()) for f in files.globStatus(at) or () if f.isDirectory())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, at = _file(spark, path)
     files.delete(at, True)
@@ -101,7 +107,11 @@ def data_files(df: DataFrame) -> list[str]:
     """The files a scan reads, as paths that take no character for a pattern."""
     jvm = df.sparkSession._jvm
     paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)).toString() for f in df.inputFiles()]
-    return sorted(re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths)
+    return sorted(map(_literal, paths))
+
+
+def _literal(path: str) -> str:
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

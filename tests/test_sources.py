@@ -192,3 +192,17 @@ def test_catalogue(spark):
     assert catalog.indicators_table(spark).count() == 10
     assert catalog.state_codes(spark).count() == 53
     assert catalog.signal("Daily Deaths per 100K people").source == "usa-facts"
+
+
+def test_embeds_are_listed_by_folder(spark, tmp_path, plan):
+    """Forty files in two folders: two paths to list; a file beside the folders is none of theirs."""
+    for k in range(40):
+        write(tmp_path / "in" / ("FL" if k % 2 else "a[b]") / f"{k}.html", f"<p>{k}</p>\n")
+    write(tmp_path / "in" / "note.html", "no embed")
+    found = readers.read_embeds(spark, str(tmp_path / "in"))
+    assert "InMemoryFileIndex(2 paths)" in plan(found)
+    rows = {(r.state, r.html.strip()) for r in found.collect()}
+    assert rows == {("FL" if k % 2 else "a%5Bb%5D", f"<p>{k}</p>") for k in range(40)}
+    assert readers.read_embeds(spark, str(tmp_path / "in"), "FL").count() == 20
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_embeds(spark, str(tmp_path / "none"))
