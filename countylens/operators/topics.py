@@ -1,10 +1,11 @@
 """Bags of words and topic models.
 
 A model is a table: per word its weight in every topic. It is fitted by variational Bayes with symmetric
-priors of one over the number of topics. In each step the words of some texts are joined with the
-weights; per text, the shares of its topics are settled (numpy on the rows of some texts at a time); what each
-word adds to each topic is summed up per task, then per word. Neither words nor weights are ever
-brought together: the driver sees one number per topic.
+priors of one over the number of topics. Texts are dealt into blocks. In each step the distinct words of every
+block are joined with the weights, so a word's weights travel once per block, not once per text; per text,
+the shares of its topics are settled (numpy on the rows of some texts at a time); what each word adds to each
+topic is summed up per block, then per word. Neither words nor weights are ever brought together: the
+driver sees one number per topic.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from countylens import storage
@@ -25,8 +27,11 @@ PASSES = 10
 TERMS_SHOWN = 10
 # Sweeps over a text's words, and the mean change of its weights below which it has settled.
 SWEEPS, SETTLED = 50, 1e-3
-# Words of a task that are handled at a time, beyond those of its last text.
+# Words of a block that are handled at a time, beyond those of the last text; words of a block, nearly.
 HELD = 1 << 16
+BLOCK = 1 << 19
+# Words of texts from so many are summed by a product of matrices per text; those of shorter ones all at once.
+LONG = 64
 
 
 def bag_of_words(docs: DataFrame, doc: str = "doc_id", text: str = "text",
@@ -105,104 +110,109 @@ def fit(bag: DataFrame, doc: str = "doc_id", topics: int = TOPICS, passes: int =
     """
     spark = bag.sparkSession
     folder = storage.work_folder(spark, "topics")
-    terms = storage.staged(vocabulary(bag), f"{folder}/vocabulary")
+    rows = storage.staged(bag.select(doc, "word", "count"), f"{folder}/bag")
+    weights = storage.staged(vocabulary(rows).select("word_id", "word", _start("word", topics, seed).alias("weights")),
+                             f"{folder}/weights-0")
     batches = max(1, round(1 / batch))
     dealt = F.pmod(F.xxhash64(F.lit(seed), F.col(doc)), F.lit(batches)).cast("int")
-    rows = storage.staged(numbered(bag, terms, doc).withColumn("batch", dealt), f"{folder}/bag")
-    weights = storage.staged(terms.select("word_id", _start("word", topics, seed).alias("weights")),
-                             f"{folder}/weights-0")
-    prior = 1 / topics
+    rows = _in_blocks(rows, doc, batches).withColumn("batch", dealt)
+    uses = storage.staged(rows.select("batch", "_block", "word").distinct(), f"{folder}/uses")
+    prior, totals = 1 / topics, _totals(weights, topics)
     for step in range(passes * batches):
         at, before = step % batches, f"{folder}/weights-{step}"
-        part = rows.filter(F.col("batch") == at) if batches > 1 else rows
-        found = additions(part.select(doc, "word_id", "count"), _factors(weights, _totals(weights)), topics, doc)
+        found = additions(rows.filter(F.col("batch") == at).drop("batch"), uses.filter(F.col("batch") == at).drop("batch"),
+                          _factors(weights, totals), topics, doc)
         pace = 1.0 if batches == 1 else (1 + step) ** -0.5
-        joined = weights.join(found, "word_id", "left")
+        joined = weights.join(found, "word", "left")
         said = [prior + batches * F.coalesce(F.col(f"_t{k}"), F.lit(0.0)) for k in range(topics)]
         moved = F.array(*[(1 - pace) * F.col("weights")[k] + pace * said[k] for k in range(topics)])
-        weights = storage.staged(joined.select("word_id", moved.alias("weights")), f"{folder}/weights-{step + 1}")
+        weights = storage.staged(joined.select("word_id", "word", moved.alias("weights")), f"{folder}/weights-{step + 1}")
+        totals = _totals(weights, topics)
         storage.remove(spark, before)
-    storage.remove(spark, f"{folder}/bag")
-    named = storage.staged(terms.select("word_id", "word").join(weights, "word_id"), f"{folder}/model")
-    return TopicModel(named, _totals(named, topics))
+    for done in ("bag", "uses"):
+        storage.remove(spark, f"{folder}/{done}")
+    return TopicModel(weights, totals)
+
+
+def _in_blocks(rows: DataFrame, doc: str, batches: int = 1) -> DataFrame:
+    """Stored rows of a bag with the block of their text. Blocks hold whole texts, ``BLOCK`` words on average."""
+    blocks = max(1, -(-rows.count() // (batches * BLOCK)))
+    return rows.withColumn("_block", F.pmod(F.xxhash64(F.lit("block"), F.col(doc)), F.lit(blocks)))
 
 
-def additions(rows: DataFrame, factors: DataFrame, topics: int, doc: str = "doc_id") -> DataFrame:
-    """What each word of the texts adds to each topic: (word_id, _t0, _t1, ...)."""
-    def found(parts):
-        for _, _, ids, count, factor, starts in _texts_of(parts, topics):
+def additions(rows: DataFrame, uses: DataFrame, factors: DataFrame, topics: int, doc: str = "doc_id") -> DataFrame:
+    """What each word of the texts adds to each topic: (word, _t0, _t1, ...)."""
+    def found(block: pa.Table, known: pa.Table) -> pa.Table:
+        sums = np.zeros((topics, known.num_rows))
+        for _, _, at, count, factor, starts in _texts_of(block, known, topics):
             share, _ = _settled(count, factor, starts, topics)
-            per_row = count[:, None] * share
-            seen, code = np.unique(ids, return_inverse=True)
-            order = np.argsort(code, kind="stable")
-            sums = np.add.reduceat(per_row[order], np.searchsorted(code[order], np.arange(len(seen))))
-            yield pa.record_batch({"word_id": pa.array(seen)} | {
-                f"_t{k}": pa.array(sums[:, k]) for k in range(topics)})
+            for k in range(topics):
+                sums[k] += np.bincount(at, count * share[:, k], known.num_rows)
+        return pa.table({"word": known.column("known")} | {f"_t{k}": pa.array(sums[k]) for k in range(topics)})
 
     kinds = ", ".join(f"_t{k} double" for k in range(topics))
-    return _by_text(rows, factors, doc).mapInArrow(found, f"word_id bigint, {kinds}").groupBy("word_id").agg(
+    return _by_block(rows, uses, factors).applyInArrow(found, f"word string, {kinds}").groupBy("word").agg(
         *[F.sum(f"_t{k}").alias(f"_t{k}") for k in range(topics)])
 
 
 def assign(bag: DataFrame, model: TopicModel, doc: str = "doc_id") -> DataFrame:
     """The share of every topic in every text: (doc, topic, share). Texts without known words are left out."""
     topics = model.topics
-    factors = _factors(model.weights, model.totals)
+    kind = dict(bag.dtypes)[doc]
+    schema = f"`{doc}` {kind}, topic int, share double"
+    if not topics:
+        return bag.sparkSession.createDataFrame([], schema)
 
-    def found(parts):
-        for docs, spans, _, count, factor, starts in _texts_of(parts, topics):
+    def found(block: pa.Table, known: pa.Table) -> pa.Table:
+        parts = [pa.table({doc: block.column(doc).slice(0, 0), "topic": pa.array([], pa.int32()),
+                           "share": pa.array([], pa.float64())})]
+        for docs, spans, _, count, factor, starts in _texts_of(block, known, topics):
             _, gamma = _settled(count, factor, starts, topics)
             gamma = gamma / gamma.sum(axis=1, keepdims=True)
-            n = len(spans)
-            yield pa.record_batch({
-                doc: docs.take(pa.array(np.repeat(spans, topics))), "topic": pa.array(np.tile(np.arange(topics, dtype=np.int32), n)),
-                "share": pa.array(gamma.ravel())})
-
-    kind = dict(bag.dtypes)[doc]
-    rows = numbered(bag, model.weights, doc)
-    return _by_text(rows, factors, doc).mapInArrow(found, f"`{doc}` {kind}, topic int, share double")
-
-
-def _by_text(rows: DataFrame, factors: DataFrame, doc: str) -> DataFrame:
-    """Rows of a bag with their words' factors, each text in one task and in one piece."""
-    joined = rows.join(factors, "word_id").select(doc, "word_id", "count", "factors")
-    return joined.repartition(doc).sortWithinPartitions(doc, "word_id")
-
-
-def _texts_of(parts, topics: int):
-    """Whole texts, some at a time: their names, the first rows and places of the texts, word numbers,
-    counts and factors."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for part in parts:
-        if not part.num_rows:
-            continue
-        held.append(part)
-        size += part.num_rows
-        if size < HELD:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        code = _codes(table)
-        last = int(np.flatnonzero(np.diff(code, prepend=code[0] - 1))[-1])
-        if last:  # the last text may go on
-            yield _arrays(table.slice(0, last), topics)
-        held = table.slice(last).to_batches()
-        size = 0 if last else -table.num_rows  # one text alone: wait for as much again
-    if held:
-        yield _arrays(pa.Table.from_batches(held).combine_chunks(), topics)
-
-
-def _codes(table: pa.Table) -> np.ndarray:
-    names = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
-    return np.asarray(names.indices).astype(np.int64)
-
-
-def _arrays(table: pa.Table, topics: int):
-    code = _codes(table)
-    starts = np.flatnonzero(np.diff(code, prepend=code[0] - 1))
-    factor = table.column("factors").combine_chunks().flatten().to_numpy().reshape(-1, topics)
-    return (table.column(0).combine_chunks(), starts, table.column("word_id").to_numpy(),
-            table.column("count").to_numpy().astype(float), factor, starts)
+            parts.append(pa.table({
+                doc: docs.take(pa.array(np.repeat(spans, topics))),
+                "topic": pa.array(np.tile(np.arange(topics, dtype=np.int32), len(spans))),
+                "share": pa.array(gamma.ravel())}))
+        return pa.concat_tables(parts)
+
+    folder = storage.work_folder(bag.sparkSession, "assigned")
+    rows = _in_blocks(storage.staged(bag.select(doc, "word", "count"), f"{folder}/bag"), doc)
+    uses = rows.select("_block", "word").distinct()
+    return _by_block(rows, uses, _factors(model.weights, model.totals)).applyInArrow(found, schema)
+
+
+def _by_block(rows: DataFrame, uses: DataFrame, factors: DataFrame):
+    """The rows of each block beside the factors of its words."""
+    # named anew, as rows and uses may come from one scan
+    known = uses.select(F.col("_block").alias("_of"), F.col("word").alias("_word")).join(
+        factors.withColumnRenamed("word", "_word"), "_word").select("_of", F.col("_word").alias("known"), "factors")
+    return rows.groupBy("_block").cogroup(known.groupBy("_of"))
+
+
+def _texts_of(block: pa.Table, known: pa.Table, topics: int):
+    """Whole texts, some at a time: their names, the first rows of the texts in them, the places of the words
+    among the known ones, counts, factors and first rows. Texts are in order and words within them."""
+    if not block.num_rows or not known.num_rows:
+        return
+    at = pc.index_in(block.column("word").combine_chunks(), known.column("known").combine_chunks())
+    block, at = block.filter(at.is_valid()), np.asarray(at.drop_null()).astype(np.int64)
+    if not len(at):
+        return
+    named = block.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+    place = np.argsort(np.asarray(pc.sort_indices(named.dictionary)))
+    ranks = np.argsort(np.asarray(pc.sort_indices(known.column("known"))))
+    code = place[np.asarray(named.indices)]
+    order = np.lexsort((ranks[at], code))
+    code, at, docs = code[order], at[order], block.column(0).combine_chunks().take(pa.array(order))
+    count = block.column("count").to_numpy().astype(float)[order]
+    factors = known.column("factors").combine_chunks().flatten().to_numpy().reshape(-1, topics)
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    first = 0
+    while first < len(starts):
+        behind = max(first + 1, int(np.searchsorted(starts, starts[first] + HELD)))
+        a, b = starts[first], starts[behind] if behind < len(starts) else len(code)
+        yield docs.slice(a, b - a), starts[first:behind] - a, at[a:b], count[a:b], factors[at[a:b]], starts[first:behind] - a
+        first = behind
 
 
 def _settled(count: np.ndarray, factor: np.ndarray, starts: np.ndarray, topics: int
@@ -212,9 +222,20 @@ def _settled(count: np.ndarray, factor: np.ndarray, starts: np.ndarray, topics:
     sizes = np.diff(starts, append=len(count))
     total = np.add.reduceat(count, starts)
     gamma = np.repeat((prior + total / topics)[:, None], topics, axis=1)
-    live = np.arange(n)
-    row, of = np.arange(len(count)), np.repeat(np.arange(n), sizes)
-    for _ in range(SWEEPS):
+    live = np.flatnonzero(sizes >= LONG)
+    texts_ = [(factor[a:b], count[a:b]) for a, b in zip(starts[live], starts[live] + sizes[live])]
+    for _ in range(SWEEPS if len(live) else 0):
+        theta = np.exp(digamma(gamma[live]))
+        new = prior + theta * np.array([(c / (f @ t + 1e-100)) @ f for (f, c), t in zip(texts_, theta)])
+        moving = np.abs(new - gamma[live]).mean(axis=1) > SETTLED
+        gamma[live] = new
+        if not moving.any():
+            break
+        live, texts_ = live[moving], [x for x, m in zip(texts_, moving) if m]
+    live = np.flatnonzero(sizes < LONG)
+    of = np.repeat(np.arange(len(live)), sizes[live])
+    row = np.flatnonzero(np.repeat(sizes < LONG, sizes))
+    for _ in range(SWEEPS if len(live) else 0):
         theta = np.exp(digamma(gamma[live]))
         f = factor[row]
         mass = np.einsum("ij,ij->i", theta[of], f) + 1e-100
@@ -252,7 +273,7 @@ def _start(word: str, topics: int, seed: int) -> Column:
 def _factors(weights: DataFrame, totals: Iterable[float]) -> DataFrame:
     """How much each topic favours a word: the exponent of its expected log weight."""
     whole = digamma(np.maximum(list(totals), 1e-100))
-    return weights.select("word_id", F.array(*[
+    return weights.select("word", F.array(*[
         F.exp(measures.digamma(F.col("weights")[k]) - float(t)) for k, t in enumerate(whole)]).alias("factors"))
 
 

@@ -148,3 +148,42 @@ def test_a_million_words_stay_off_the_driver(spark, plan):
     text = plan(topics.describe(model))
     assert "WindowGroupLimit" in text and "LocalTableScan" not in text
     assert topics.describe(model).count() == 30
+
+
+def test_weights_travel_by_block(spark, monkeypatch):
+    """Texts in many blocks give the same model as in one, and a word has one row of factors in each block."""
+    rows = [(k, f"w{(k * j) % 11}", j) for k in range(300) for j in range(1, 5)]
+    bag = (spark.createDataFrame(rows, "doc_id long, word string, count long")
+           .groupBy("doc_id", "word").agg(F.sum("count").alias("count")))
+    whole = topics.fit(bag, topics=3, passes=2, seed=1)
+    shares = {(r.doc_id, r.topic): r.share for r in topics.assign(bag, whole).collect()}
+    by_block = topics._by_block
+    counted = []
+
+    def watched(rows, uses, factors):
+        blocks = rows.select("_block").distinct().count()
+        counted.append((blocks, uses.count(), rows.count()))
+        return by_block(rows, uses, factors)
+
+    monkeypatch.setattr(topics, "BLOCK", 100)
+    monkeypatch.setattr(topics, "_by_block", watched)
+    split = topics.fit(bag, topics=3, passes=2, seed=1)
+    named = {r.word: r.weights for r in whole.weights.collect()}
+    assert all(np.allclose(r.weights, named[r.word]) for r in split.weights.collect())
+    assert {(r.doc_id, r.topic) for r in topics.assign(bag, split).collect()} == set(shares) and len(shares) == 900
+    for blocks, uses, size in counted:
+        assert 5 < blocks and uses <= 11 * blocks < size
+
+
+def test_bag_is_found_once(spark):
+    """A fit reads its bag once, however often it uses it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(parts):
+        for part in parts:
+            seen.add(part.num_rows)
+            yield part
+
+    bag = spark.createDataFrame([(k, f"w{k % 5}", 1) for k in range(50)], "doc_id long, word string, count long")
+    topics.fit(bag.mapInArrow(noted, bag.schema), topics=2, passes=2)
+    assert seen.value == 50
