@@ -67,14 +67,17 @@ def vocabulary(bag: DataFrame) -> DataFrame:
 
 
 def numbered(bag: DataFrame, terms: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """The bag by numbers of a vocabulary; words outside it are left out."""
-    return bag.join(terms.select("word", "word_id"), "word").select(doc, "word_id", "count")
+    """The bag by numbers of a vocabulary; words outside it are left out. The bag is not sorted for it."""
+    return bag.join(terms.select("word", "word_id").hint("shuffle_hash"), "word").select(doc, "word_id", "count")
 
 
 def vectors(bag: DataFrame, terms: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """A text's words as two lists, numbers in order and counts. Texts without known words are left out."""
+    """A text's words as two lists, numbers in order and counts. Texts without known words are left out.
+
+    Rows are dealt by text before they are gathered: lists of parts of texts would be sorted, and written
+    where they do not fit, on both sides of the shuffle."""
     pairs = F.array_sort(F.collect_list(F.struct("word_id", "count")))
-    held = numbered(bag, terms, doc).groupBy(doc).agg(pairs.alias("pairs"))
+    held = numbered(bag, terms, doc).repartition(doc).groupBy(doc).agg(pairs.alias("pairs"))
     return held.select(doc, F.col("pairs.word_id").alias("word_ids"), F.col("pairs.count").alias("counts"))
 
 

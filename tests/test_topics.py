@@ -187,3 +187,19 @@ def test_bag_is_found_once(spark):
     bag = spark.createDataFrame([(k, f"w{k % 5}", 1) for k in range(50)], "doc_id long, word string, count long")
     topics.fit(bag.mapInArrow(noted, bag.schema), topics=2, passes=2)
     assert seen.value == 50
+
+
+def test_vectors_are_gathered_after_one_shuffle_by_text(spark, plan, tmp_path):
+    """The vocabulary is hashed, no side of its join is sorted; lists are not built before rows lie by text.
+    The query reads a bag that is stored."""
+    from checks.queries import QUERIES
+    from checks.tables import Data
+
+    spark.createDataFrame([(0, "bread butter bread"), (1, "butter"), (2, None)], "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    found = QUERIES["word_vectors"](Data(spark, str(tmp_path)))
+    text = plan(found)
+    assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text
+    assert "REPARTITION_BY_COL" in text and text.index("collect_list") < text.index("REPARTITION_BY_COL")
+    assert text.rindex("collect_list") < text.index("REPARTITION_BY_COL") and "regexp_extract_all" not in text
+    assert {(r.doc_id, r.words) for r in found.collect()} == {(0, "0:2 1:1"), (1, "1:1")}
