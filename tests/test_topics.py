@@ -203,3 +203,16 @@ def test_vectors_are_gathered_after_one_shuffle_by_text(spark, plan, tmp_path):
     assert "REPARTITION_BY_COL" in text and text.index("collect_list") < text.index("REPARTITION_BY_COL")
     assert text.rindex("collect_list") < text.index("REPARTITION_BY_COL") and "regexp_extract_all" not in text
     assert {(r.doc_id, r.words) for r in found.collect()} == {(0, "0:2 1:1"), (1, "1:1")}
+
+
+def test_model_query_finds_its_bag_once(spark, monkeypatch, tmp_path):
+    from checks import queries
+    from checks.tables import Data
+
+    calls, bag = [], queries._bag
+    monkeypatch.setattr(queries, "_bag", lambda d: calls.append(1) or bag(d))
+    words = " ".join(f"word{c}" for c in "abcdefghijkl")
+    spark.createDataFrame([(0, words.replace("word", "")), (1, " ".join(f"name{c} names" for c in "abcdefghijkl"))],
+                          "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.QUERIES["topic_model"](Data(spark, str(tmp_path))).collect()
+    assert len(calls) == 1 and len(rows) == 10 and {r.words for r in rows} == {10}
