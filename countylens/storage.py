@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from countylens.session import shared_dir
 
 _LEFT: set[str] = set()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _file(spark: SparkSession, path: str):
@@ -123,10 +124,20 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, path: str) -> DataFrame:
-    """The rows written to a path and read from there: a lost executor costs a reread, not a new run."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame, path: str, codec: str = "snappy") -> DataFrame:
+    """The rows written to a path and read from there: a lost executor costs a reread, not a new run.
+
+    What was shuffled for it is removed once it is written; else such files stay on the executors' disks until
+    the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path, compression=codec)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:

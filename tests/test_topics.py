@@ -1,10 +1,13 @@
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
+from countylens import storage
 from countylens.catalog import STOPWORDS
 from countylens.functions import measures
 from countylens.operators import topics
@@ -216,3 +219,70 @@ def test_model_query_finds_its_bag_once(spark, monkeypatch, tmp_path):
                           "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     rows = queries.QUERIES["topic_model"](Data(spark, str(tmp_path))).collect()
     assert len(calls) == 1 and len(rows) == 10 and {r.words for r in rows} == {10}
+
+
+def test_texts_travel_packed(spark, monkeypatch):
+    """A step takes a row per text, of a byte or two for each word and for each count, not a row per word."""
+    bag = spark.range(3000).select((F.col("id") % 30).alias("doc_id"), F.concat(
+        F.lit("word"), F.col("id").cast("string")).alias("word"), F.lit(1).cast("bigint").alias("count"))
+    by_block, seen = topics._by_block, []
+
+    def watched(rows, uses, factors):
+        seen.append((rows.count(), rows.agg(F.sum(F.octet_length("places") + F.octet_length("counts"))).first()[0]))
+        return by_block(rows, uses, factors)
+
+    monkeypatch.setattr(topics, "_by_block", watched)
+    topics.fit(bag, topics=2, passes=2)
+    assert [rows for rows, _ in seen] == [30, 30] and all(3000 * 2 <= size < 3000 * 4 for _, size in seen)
+
+
+def test_blocks_normalized_are_as_rows_normalized(spark, monkeypatch):
+    """Base forms put in the words of blocks give the model and shares of base forms put in rows; words and texts
+    that are null, counts that are large or no whole numbers are kept."""
+    monkeypatch.setattr(topics, "BLOCK", 40)
+    rng = random.Random(5)
+    pairs = {(rng.choice([None, *range(20)]), rng.choice(["goal", "goals", "scored", "score", "scoring", "team", None])): 0
+             for _ in range(200)}
+    lexicon = spark.createDataFrame([("goals", "goal"), ("scored", "score"), ("scoring", "score")], "word string, base string")
+    for kind, counts in (("bigint", [1, 2, 200, 1 << 33]), ("double", [0.5, 1.25, 300.0])):
+        bag = spark.createDataFrame([(k, w, rng.choice(counts)) for k, w in pairs], f"doc_id long, word string, count {kind}")
+        plain = topics.normalize(bag, lexicon)
+        held = topics.normalize(topics.blocked(bag), lexicon)
+        rows, blocks = (topics.fit(b, topics=2, passes=2, seed=1) for b in (plain, held))
+        want = {r.word: r.weights for r in rows.weights.collect()}
+        got = {r.word: r.weights for r in blocks.weights.collect()}
+        assert set(got) == set(want) == {"goal", "score", "team", None}
+        assert all(np.allclose(got[w], want[w], rtol=1e-6) for w in want)
+        shares = [{(r.doc_id, r.topic): r.share for r in topics.assign(b, rows).collect()} for b in (plain, held)]
+        assert shares[0].keys() == shares[1].keys() and (None, 0) in shares[0]
+        assert all(shares[1][k] == pytest.approx(v, rel=1e-6) for k, v in shares[0].items())
+
+
+def test_blocks_fit_their_batches(spark):
+    bag = spark.createDataFrame([(0, "goal", 1)], "doc_id long, word string, count long")
+    with pytest.raises(ValueError, match="1 batches"):
+        topics.fit(topics.blocked(bag), batch=0.5)
+
+
+def test_packed_lists_are_read_back():
+    values = np.array([0, 127, 128, 1 << 40, -1, 5, 5, (1 << 63) - 1])
+    data, bounds = topics._bytes(topics.pa.chunked_array([topics._packed(values, np.array([0, 2, 5])).slice(1)]))
+    assert list(topics._unpacked(data)) == list(values[2:]) and len(bounds) == 3
+
+
+def shuffle_files(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for d in held for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+def test_what_a_step_shuffled_is_removed(spark, tmp_path):
+    """Files that were shuffled for a stored table go when it is written, not when the driver collects its garbage."""
+    before = shuffle_files(spark)
+    rows = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    assert storage.staged(rows, str(tmp_path / "t")).count() == 7
+    for _ in range(50):
+        left = {f for f in shuffle_files(spark) - before if f.stat().st_size > 1000}
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(storage.CLEANUP, None) in (None, "false")
